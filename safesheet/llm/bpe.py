@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import python_ready
 
 #: Larger than any (rank, position) key.
 NONE = np.int64(1) << 62
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     grow with the data, are sent to the workers. A worker keeps the ids of at most STORE pieces.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     shared = spark.sparkContext.broadcast((read_ranks(vocabulary), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +239,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for each row of ``encode``'s result; decoded is binary. Null ids count as none."""
     spark = encoded.sparkSession
+    python_ready(spark)
     shared = spark.sparkContext.broadcast((read_ranks(vocabulary), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import python_ready
 from .shingles import window_hashes
 
 #: Tokens of a window; a shorter item is one window, if it has MIN_ITEM tokens. A document holds an item when
@@ -182,21 +182,25 @@ class Index:
             slots: dict[tuple[str, str], str] = {}
             back: dict[tuple[str, str], str] = {}
             covered, where, changed = by_item[row]
+            filled = []
+            alike = True
             for start, pos, width in sorted(own):
-                new = {}
+                new = []
                 for k in range(width):
                     kind = template[start + k]
                     if kind in PLACE:
                         a, b = spans[pos + k]
-                        new[kind, values[start + k]] = text[a:b].lower()
-                # the same value of the item stands for one value of the document, and the other way round
-                fits = all(slots.get(k, v) == v and back.get((k[0], v), k[1]) == k[1] for k, v in new.items())
-                fits = fits and len({(k[0], v) for k, v in new.items()}) == len(new) and self._alike(template, values, tokens, text, spans, start, pos, width)
-                if fits:
-                    slots |= new
-                    back |= {(k[0], v): k[1] for k, v in new.items()}
+                        new.append((kind, values[start + k], text[a:b].lower()))
+                # one value of the item stands for one value of the document, and the other way round
+                for kind, old, now in new:
+                    alike &= slots.setdefault((kind, old), now) == now and back.setdefault((kind, now), old) == old
+                filled.append(all(old == now for _, old, now in new))
+            for (start, pos, width), same in zip(sorted(own), filled, strict=True):
+                if alike or same:
                     covered.update(range(start, start + width))
                     where += [spans[pos][0], spans[pos + width - 1][1]]
+            if not alike:
+                slots = {}
             changed |= {f"{k[1]}={v}" for k, v in slots.items() if k[1] != v}
         out = []
         for row, (covered, where, changed) in by_item.items():
@@ -206,17 +210,6 @@ class Index:
                 out.append((item_id, len(covered), n, min(where), max(where), ";".join(sorted(changed))))
         return out
 
-    @staticmethod
-    def _alike(template, values, tokens, text, spans, start, pos, width) -> bool:
-        """Equal slots of the item's window are equal in the document's."""
-        seen: dict[tuple[str, str], str] = {}
-        for k in range(width):
-            if template[start + k] in PLACE:
-                a, b = spans[pos + k]
-                if seen.setdefault((template[start + k], values[start + k]), text[a:b].lower()) != text[a:b].lower():
-                    return False
-        return True
-
 
 _tokens = Tokens()
 
@@ -225,13 +218,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
     """(doc_id, item_id, n_found, n_item, start, end, slots) of each benchmark item that a document holds.
 
     The documents' template windows are hashed and looked up in the table of the items' windows, which is sent to the workers
-    a block of ``block_items`` items at a time; the template's tokens are compared, and a window counts only where its slots
-    are filled consistently along the copy. Whole texts are searched; nothing is shuffled. start and end are offsets in
+    a block of ``block_items`` items at a time; the template's tokens are compared, and along a copy the slots have to be
+    filled consistently: else only windows with the item's own values count. Whole texts are searched; nothing is shuffled. start and end are offsets in
     characters of what was found; slots lists the item's values that the document changed. Null or empty texts hold nothing;
     items of fewer than MIN_ITEM tokens, or without id, are never found; repeated rows each give their rows, and equal items each theirs.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     kinds = {f.name: f.dataType.simpleString() for f in [docs.schema["doc_id"], benchmark.schema["item_id"]]}
     schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, n_found int, n_item int, start int, end int, slots string"
     blocks, block = [], []

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, fold, small_batches
+from .common import bounded_ids, fold, python_ready
 
 #: Training rows of a language at most, passages taken of each, and characters of a passage.
 MAX_DOCS, PASSAGES, PASSAGE = 1500, 4, 400
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     their row. Nothing is shuffled; the tables sent to the workers have a fixed size.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     model = (net.classes, *net.tables(), net.p["out"].astype(np.float32), net.p["bias"].astype(np.float32)) if net else None
     shared = spark.sparkContext.broadcast(model)

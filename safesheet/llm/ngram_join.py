@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import python_ready, written
 from .shingles import shingle_set
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -59,7 +59,7 @@ def _set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, k1, k2, n, bands) for each row: digest and size of its n-gram set, bucket of each band (none for an empty set)."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = _permutations(bands * rows)
@@ -105,6 +105,7 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Recor
             t = pa.Table.from_batches(held)
             yield from each(t, [0, t.num_rows])
 
+    python_ready(df.sparkSession)
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 

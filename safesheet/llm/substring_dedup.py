@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_null_safe, small_batches
+from .common import join_null_safe, python_ready
 
 #: A run of repeated units goes if it has this many words.
 MIN_WORDS = 25
@@ -28,7 +28,7 @@ def units(text: str) -> Iterator[tuple[int, int, str, int]]:
 
 
 def _unit_rows(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     names = ["doc_id", "row", "at", "start", "end", "words", "again", "h1", "h2"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
 
@@ -84,7 +84,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` without the spans (doc_id, row, start, end) in text, and with ``removed``: their original offsets, sorted; replaces a column of that name."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     columns = [c for c in docs.columns if c != "removed"]
     lists = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("d"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import python_ready
 
 #: Nodes of a worker's trie; beyond, it starts anew.
 NODES = 600_000
@@ -97,7 +97,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     rows each get their row. Nothing is shuffled; the scores, which don't grow with the data, are sent to the workers.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     shared = spark.sparkContext.broadcast(zipf_scores(read_pieces(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,34 +11,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, fold, small_batches, written
+from .common import bounded_ids, fold, python_ready, written
 
 #: Labelled documents of each class that the models are fitted on at most; CALIBRATION in ten of them fit the calibration.
-MAX_DOCS, CALIBRATION = 4000, 3
+MAX_DOCS, CALIBRATION = 4000, 2
 THRESHOLD = 0.3
-DISCOUNT = 0.75
-#: Bigrams seen less often in the sample have no entry of their own: the shared backoff smooths them.
-MIN_BIGRAM = 2
+#: Taken from each count: what was seen in so few contexts is left to the shared backoff altogether.
+DISCOUNT = 2.0
+#: Log ratios under this are also summed apart: a difference in the mix of languages moves every word a little.
+MARGIN = 1.5
 WORD = re.compile(r"\w+")
-FEATURES = 3
+FEATURES = 5
 
 
 class Model:
     """Log ratios of the two models' probabilities. Words have numbers from 1; 0 is any other word.
 
-    P_c(w | v) = (n_c(v w) - D) / n_c(v) + backoff_c(v) P_c(w), and P_c(w) = (N_c(. w) - D) / N_c(. .) + backoff_c P(w), where N_c
-    counts distinct words before w in class c, and P(w) is the share of w in all documents, toxic or not.
+    P_c(w | v) = (N_c(. v w) - D) / N_c(. v .) + backoff_c(v) P_c(w), and P_c(w) = (N_c(. w) - D) / N_c(. .) + backoff_c P(w): N_c
+    counts the distinct words before, in class c, so that copies of a text add nothing, and P(w) is the share of w in all
+    documents, toxic or not. At most the count itself is taken from it, and backoff_c is what was taken in all.
     """
 
-    def __init__(self, words: list[str], cont: np.ndarray, total: np.ndarray, types: np.ndarray, seen: np.ndarray, followers: np.ndarray, keys: np.ndarray, pairs: np.ndarray, corpus: np.ndarray):
-        """cont, seen, followers: by word and class, N_c(. w), n_c(v), N_c(v .); total, types by class; keys, pairs: bigrams and n_c; corpus: counts of each number in all documents."""
+    def __init__(self, words: list[str], cont: np.ndarray, total: np.ndarray, taken: np.ndarray, seen: np.ndarray, follow: np.ndarray, keys: np.ndarray, pairs: np.ndarray, corpus: np.ndarray):
+        """cont, seen, follow: by word and class, N_c(. w), N_c(. v .) and what is taken from its counts; total, taken by class; keys, pairs: bigrams and N_c(. v w); corpus: counts of each number in all documents."""
         self.index = {w: k for k, w in enumerate(words, 1)}
         self.base = len(words) + 1
-        cont, seen, followers = (np.vstack([np.zeros((1, 2)), a]) for a in (cont, seen, followers))
+        cont, seen, follow = (np.vstack([np.zeros((1, 2)), a]) for a in (cont, seen, follow))
         shared = (corpus + 0.5) / (corpus.sum() + 0.5 * len(corpus))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            low = np.maximum(cont - DISCOUNT, 0) / np.maximum(total, 1) + np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1) * shared[:, None]
-            back = np.where(seen > 0, DISCOUNT * followers / np.maximum(seen, 1), 1.0)
+        low = np.maximum(cont - DISCOUNT, 0) / np.maximum(total, 1) + np.where(total > 0, taken / np.maximum(total, 1), 1) * shared[:, None]
+        back = np.maximum(np.where(seen > 0, follow / np.maximum(seen, 1), 1.0), 1e-6)
         self.word = (np.log(low[:, 1]) - np.log(low[:, 0])).astype(np.float32)
         self.back = (np.log(back[:, 1]) - np.log(back[:, 0])).astype(np.float32)
         order = np.argsort(keys)
@@ -54,7 +55,7 @@ class Model:
         return np.array([find(w, 0) for w in WORD.findall(text.lower())], dtype=np.int64)
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Of each text: log likelihood ratio by its length, by the root of its length, and the logarithm of the length."""
+        """Of each text: log likelihood ratio by its length; what ratios have over MARGIN by the length, by its root and as a logarithm; the logarithm of the length."""
         ids = [self.numbers(t) for t in texts]
         n = np.array([len(x) for x in ids])
         flat = np.concatenate([*ids, np.zeros(0, dtype=np.int64)])
@@ -67,11 +68,12 @@ class Model:
         starts = np.cumsum(n) - n
         first = starts[n > 0]
         ratio[first] = self.word[flat[first]]
-        total = np.zeros(len(texts))
+        total, over = np.zeros(len(texts)), np.zeros(len(texts))
         if len(first):
             total[n > 0] = np.add.reduceat(ratio, first, dtype=np.float64)
+            over[n > 0] = np.add.reduceat(np.maximum(ratio - MARGIN, 0), first, dtype=np.float64)
         m = np.maximum(n, 1)
-        return np.stack([total / m, total / np.sqrt(m), np.log1p(n)], axis=1)
+        return np.stack([total / m, over / m, over / np.sqrt(m), np.log1p(over), np.log1p(n)], axis=1)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,14 +94,15 @@ def calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, n
     return mean, scale, w
 
 
-def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found: Counter = Counter()
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             words = WORD.findall((text or "").lower())
-            found.update((v, w, toxic) for v, w in zip(["", *words], words, strict=False))
+            found.update((u, v, w, toxic) for u, v, w in zip(["", "", *words], ["", *words], words, strict=False))
         keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], ["v", "w", "toxic", "n"])
+        own = [pa.array([k[i] for k in keys], pa.string() if i < 3 else pa.int32()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(list(found.values()), pa.int64())], ["u", "v", "w", "toxic", "n"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS):
@@ -110,6 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS):
     labels is toxic if one says so; null labels and ids are left out.
     """
     spark = docs.sparkSession
+    python_ready(spark)
     known = labels.filter((fold(F.col("doc_id"), 4) != 2) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -119,15 +123,16 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS):
     # at most 2 * max_docs ids; equal texts, as copies have, count once
     sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").filter("text is not null").dropDuplicates(["text", "toxic"]), "toxicity-sample")
     late = F.pmod(F.xxhash64("text"), F.lit(10)) < CALIBRATION
-    counted = sample.filter(~late).select("text", "toxic").mapInArrow(_count_bigrams, "v string, w string, toxic int, n long")
-    grams = written(counted.groupBy("v", "w").agg(F.sum(F.expr("n * (1 - toxic)")).alias("n0"), F.sum(F.expr("n * toxic")).alias("n1")), "toxicity-bigrams")
+    counted = sample.filter(~late).select("text", "toxic").mapInArrow(_count_trigrams, "u string, v string, w string, toxic int, n long")
+    each = lambda c: F.count_distinct(F.when(F.col("toxic") == c, F.col("u")))
+    grams = written(counted.groupBy("v", "w").agg(each(0).alias("n0"), each(1).alias("n1"), F.sum("n").alias("n")), "toxicity-bigrams")
     plus = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    cont = grams.groupBy("w").agg(plus("n0").alias("c0"), plus("n1").alias("c1"), F.sum(F.col("n0") + F.col("n1")).alias("n")).filter("n >= 2")
-    heads = grams.filter("v != ''").groupBy("v").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), plus("n0").alias("f0"), plus("n1").alias("f1")).withColumnRenamed("v", "w")
-    table = cont.join(heads, "w", "left").fillna(0).toPandas().sort_values("w").reset_index(drop=True)
+    less = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT)))
+    cont = written(grams.groupBy("w").agg(plus("n0").alias("c0"), plus("n1").alias("c1"), F.sum("n").alias("n")), "toxicity-words")
+    heads = grams.filter("v != ''").groupBy("v").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), less("n0").alias("f0"), less("n1").alias("f1")).withColumnRenamed("v", "w")
+    table = cont.filter("n >= 2").join(heads, "w", "left").fillna(0).toPandas().sort_values("w").reset_index(drop=True)
     words = table["w"].tolist()
-    sums = grams.agg(plus("n0"), plus("n1")).first()
-    types = grams.groupBy("w").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1")).agg(plus("n0"), plus("n1")).first()
+    sums = cont.agg(F.sum("c0"), F.sum("c1"), less("c0"), less("c1")).first()
     if not words:
         return None
     index = {w: k for k, w in enumerate(words, 1)}
@@ -147,12 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS):
     everywhere = np.zeros(len(words) + 1)
     for r in docs.select("text").mapInArrow(corpus, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas().itertuples():
         everywhere[r.k] = r.n
-    often = grams.filter(f"v != '' and n0 + n1 >= {MIN_BIGRAM}").toPandas()
+    often = grams.filter(f"v != '' and greatest(n0, n1) > {DISCOUNT}").toPandas()
     often = often[often["v"].isin(index) & often["w"].isin(index)]
     base = len(words) + 1
     keys = (often["v"].map(index).to_numpy(dtype=np.int64) * base + often["w"].map(index).to_numpy(dtype=np.int64)) if len(often) else np.zeros(0, dtype=np.int64)
     model = Model(
-        words, table[["c0", "c1"]].to_numpy(dtype=float), np.array([sums[0] or 0, sums[1] or 0], dtype=float), np.array([types[0] or 0, types[1] or 0], dtype=float),
+        words, table[["c0", "c1"]].to_numpy(dtype=float), np.array(sums[:2], dtype=float), np.array(sums[2:], dtype=float),
         table[["s0", "s1"]].to_numpy(dtype=float), table[["f0", "f1"]].to_numpy(dtype=float), keys, often[["n0", "n1"]].to_numpy(dtype=float), everywhere,
     )
     rest = _scored(sample.filter(late), model, None, ["toxic"]).toPandas()
@@ -165,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS):
 def _scored(docs: DataFrame, model: Model, calibration, carry: list[str]) -> DataFrame:
     """The carried columns with the features f0.. of each text, and with a calibration the score."""
     spark = docs.sparkSession
-    small_batches(spark)
+    python_ready(spark)
     shared = spark.sparkContext.broadcast((model, calibration))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
