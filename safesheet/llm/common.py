@@ -69,6 +69,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(right, on, how).drop(*other.values())
 
 
+#: Bits of ``likely``'s filter, in words of 64: at most 2**20 rows of 16 bytes are broadcast, however many keys there are.
+FILTER_BITS = 26
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose key isn't in ``wanted``, by a bit filter of fixed size: what a join would throw away needn't be shuffled."""
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    bits = wanted.select(F.shiftright(bit, 6).alias("__word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))").alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+    held = rows.withColumn("__word", F.shiftright(bit, 6)).join(F.broadcast(bits), "__word")
+    return held.filter(f"getbit(__bits, cast(pmod(xxhash64({key}), 64) as int)) = 1").drop("__word", "__bits")
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value computed once: a lambda's variable isn't inlined, a column of a lower projection is."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

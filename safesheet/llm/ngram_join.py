@@ -239,9 +239,10 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD
     sets = written(signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "sets")
     reps = signed.filter("n > 0").join(sets.select("k1", "k2", F.col("rep").alias("doc_id")), ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("rep"), "k1", "k2", "bands").dropDuplicates(["rep", "k1", "k2"])
     reps = written(reps, "representatives")
-    members = reps.select("rep", "k1", F.posexplode("bands").alias("band", "bucket"))
+    members = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     sizes = written(members.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
-    light = members.join(sizes.select("bucket"), "bucket").join(reps.select("rep", "k1", "bands"), ["rep", "k1"])
+    own_band = F.get("bands", F.col("band")) == F.col("bucket")  # of several sets under one doc_id, the one in the bucket
+    light = members.join(sizes.select("bucket"), "bucket").join(reps.select("rep", "bands"), "rep").filter(own_band)
     needed = by_group(_blocks(light, sizes, LIGHT_BLOCK), ["bucket", "i", "j"], _needed, "rep long, band int, bucket long")
     needed = written(needed.distinct(), "needed")
     sizes = needed.groupBy("bucket").agg(F.count("*").alias("m"))
@@ -256,9 +257,9 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.binary())], ["rep", "bands", "shingles"])
 
     wanted = written(needed.select("rep").distinct().join(reps, "rep"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep").select("rep", "text", "k1", "k2", "bands")
+    texts = likely(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), wanted, "rep").join(wanted, "rep").select("rep", "text", "k1", "k2", "bands")
     full = texts.mapInArrow(full_sets, "rep long, bands array<long>, shingles binary")
-    heavy = _blocks(needed, sizes, BLOCK).join(full, "rep")
+    heavy = _blocks(needed, sizes, BLOCK).join(full, "rep").filter(own_band)
     verified = written(by_group(heavy, ["bucket", "i", "j"], _verify(threshold), "rep long, root long, links long"), "verified")
     links = verified.groupBy("rep").agg(F.sum("links").alias("n_links"))
     roots = components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))
