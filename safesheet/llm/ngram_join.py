@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready, written
+from .common import likely, python_ready, written
 from .shingles import shingle_set
 
 WIDTH, THRESHOLD = 5, 0.8
