@@ -11,14 +11,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_ready
+from .common import python_ready, tidy
 
 #: Larger than any (rank, position) key.
 NONE = np.int64(1) << 62
 #: Bits of a position in a tree's key; pieces beyond use the scalar tree, whose integers have no bound.
 SHIFT = 24
 #: Pieces kept with their ids in a worker; beyond, the store starts anew.
-STORE = 300_000
+STORE = 200_000
 #: Characters encoded at once.
 CHUNK = 4_000_000
 
@@ -231,6 +231,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         for b in batches:
             ids = codec.encode([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")

@@ -69,6 +69,19 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(right, on, how).drop(*other.values())
 
 
+def tidy() -> None:
+    """At a task's end, in a Python worker that later tasks use too: gives unused memory back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: Bits of ``likely``'s filter, in words of 64: at most 2**20 rows of 16 bytes are broadcast, however many keys there are.
 FILTER_BITS = 26
 

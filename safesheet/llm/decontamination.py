@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import python_ready
+from .common import python_ready, tidy
 from .shingles import window_hashes
 
 #: Tokens of a window; a shorter item is one window, if it has MIN_ITEM tokens. A document holds an item when
@@ -57,7 +57,7 @@ def canonical(text: str) -> tuple[list[str], list[tuple[int, int]]]:
 #: The tokens, and marks that part them: a name or unit has none before it.
 STREAM = re.compile(TOKEN.pattern + r"|[^\w\s]|_|\n")
 WORD, DIGITS, CAPITAL, MEASURE, SYMBOL, BREAK = range(6)
-STORE = 400_000
+STORE = 200_000
 
 
 class Tokens:
@@ -246,6 +246,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_I
                         rows += [(ids[at + k], *x) for x in index.find(texts[at + k])]
                 columns = list(zip(*rows, strict=True)) or [()] * len(out.names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out.types, strict=True)], out.names)
+            tokens.clear()
+            tidy()
 
         out = arrow
         return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, fold, python_ready
+from .common import bounded_ids, fold, python_ready, tidy
 
 #: Training rows of a language at most, passages taken of each, and characters of a passage.
 MAX_DOCS, PASSAGES, PASSAGE = 1500, 4, 400
@@ -167,6 +167,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             lang, score = predict(*model, texts) if model else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+        tidy()
 
     schema = docs.select(*[docs[f"`{c}`"] for c in columns]).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     return docs.select(*[docs[f"`{c}`"] for c in columns]).mapInArrow(run, schema)

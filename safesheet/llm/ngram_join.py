@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, python_ready, written
-from .shingles import shingle_set
+from .common import likely, python_ready, tidy, written
+from .shingles import forget, shingle_set
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Chance at least that a pair at the threshold meets in a band, and hash functions at most.
@@ -74,6 +74,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 [b.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
                 ["doc_id", "k1", "k2", "n", "bands"],
             )
+        forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
 
@@ -104,6 +105,7 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Recor
         if held:
             t = pa.Table.from_batches(held)
             yield from each(t, [0, t.num_rows])
+        tidy()
 
     python_ready(df.sparkSession)
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
@@ -255,6 +257,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD
                 if _set_key(s) == (k1, k2):
                     out.append((rep, sig, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.binary())], ["rep", "bands", "shingles"])
+        forget()
 
     wanted = written(needed.select("rep").distinct().join(reps, "rep"), "wanted")
     texts = likely(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), wanted, "rep").join(wanted, "rep").select("rep", "text", "k1", "k2", "bands")

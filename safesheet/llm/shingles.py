@@ -7,12 +7,20 @@ import re
 import numpy as np
 import xxhash
 
+from .common import tidy
+
 WORD = re.compile(r"\w+")
 #: Words kept with their codes in a worker.
-STORE = 500_000
+STORE = 150_000
 _known: dict[str, int] = {}
 
 
+def forget() -> None:
+    """Empties the store, at a task's end."""
+    _known.clear()
+    tidy()
+
+
 def word_codes(words: list[str]) -> np.ndarray:
     """64 bits of each word, alike in all processes."""
     get = _known.get

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_null_safe, python_ready
+from .common import join_null_safe, python_ready, tidy, written
 
 #: A run of repeated units goes if it has this many words.
 MIN_WORDS = 25
@@ -50,6 +50,8 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
                     out, hashes = [[] for _ in range(7)], []
             if hashes:
                 yield batch(out, hashes)
+                out, hashes = [[] for _ in range(7)], []
+        tidy()
 
     def batch(out: list[list], hashes: list[bytes]) -> pa.RecordBatch:
         both = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
@@ -70,8 +72,6 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ones, have no spans. Digests are grouped after partial sums; the digests found twice are a written table, so
     that the join with all units reads two plain tables and Spark can split a hot digest.
     """
-    from .common import written
-
     made = _unit_rows(docs)
     first = written(made.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-units")
     found = made.join(first, ["h1", "h2"]).filter("again or doc_id > first").select("doc_id", "row", "at", "start", "end", "words", "first")

@@ -9,10 +9,10 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import python_ready
+from .common import python_ready, tidy
 
 #: Nodes of a worker's trie; beyond, it starts anew.
-NODES = 600_000
+NODES = 400_000
 #: The mark that stands for the space before a word.
 MARK = "▁"
 
@@ -109,6 +109,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
         for b in batches:
             found = list(trie.counts(t or "" for t in b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["doc_id", "n_tokens", "n_pretokens"])
+        tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_pretokens long")

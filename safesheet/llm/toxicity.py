@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, fold, python_ready, written
+from .common import bounded_ids, fold, python_ready, tidy, written
 
 #: Labelled documents of each class that the models are fitted on at most; CALIBRATION in ten of them fit the calibration.
 MAX_DOCS, CALIBRATION = 4000, 2
@@ -184,6 +184,7 @@ def _scored(docs: DataFrame, model: Model, calibration, carry: list[str]) -> Dat
                 own.append(pa.array(1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[:-1] + w[-1], -30, 30))), pa.float64()))
                 names.append("score")
             yield pa.RecordBatch.from_arrays(own, names)
+        tidy()
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     fields = [f"{c} {types[c]}" for c in carry] + [f"f{k} double" for k in range(FEATURES)] + ["score double"] * bool(calibration)
