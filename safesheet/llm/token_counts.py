@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .common import python_ready, tidy
 
 #: Nodes of a worker's trie; beyond, it starts anew.
-NODES = 400_000
+NODES = 1_000_000
 #: The mark that stands for the space before a word.
 MARK = "▁"
 
@@ -37,13 +37,16 @@ class Trie:
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        #: Length of the longest piece that ends in a character.
+        self.longest: dict[str, int] = {}
+        for p in scores:
+            self.longest[p[-1:]] = max(self.longest.get(p[-1:], 0), len(p))
         #: A character without a piece becomes its bytes, each a token, at a score below all others.
         self.fallback = min(scores.values(), default=0.0) - 10.0
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}  # by node and character
         self.best, self.tokens = [0.0], [0]
         self.terminal: dict[str, int] = {}
 
@@ -53,11 +56,12 @@ class Trie:
         path = [0]
         node = 0
         for end, c in enumerate(token, 1):
-            nxt = child.get((node, c))
+            key = node << 21 | ord(c)
+            nxt = child.get(key)
             if nxt is None:
                 size = len(c.encode("utf-8", "surrogatepass"))
                 top, n = best[node] + self.fallback * size, tokens[node] + size
-                for start in range(max(0, end - longest), end):
+                for start in range(max(0, end - longest.get(c, 0)), end):
                     s = scores.get(token[start:end])
                     if s is not None:
                         at = path[start]
@@ -65,7 +69,7 @@ class Trie:
                         if v > top or v == top and tokens[at] + 1 < n:
                             top, n = v, tokens[at] + 1
                 nxt = len(best)
-                child[node, c] = nxt
+                child[key] = nxt
                 best.append(top)
                 tokens.append(n)
             node = nxt
