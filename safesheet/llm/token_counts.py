@@ -84,7 +84,7 @@ class Trie:
                 self.clear()
             words = (text if text.isascii() or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)).split()
             known = self.terminal
-            for w in set(words) - known.keys():
+            for w in [x for x in set(words) if x not in known]:
                 self.insert(MARK + w)
                 known[w] = known.pop(MARK + w)
             yield sum(map(known.__getitem__, words)), len(words)
