@@ -41,9 +41,9 @@ QUERIES = {
     "batch_summary": "SELECT count(*) AS total, CAST(sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) AS BIGINT) AS ok, round(100.0E0 * sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) / count(*), 4) AS percent FROM sds_documents",
     "phase1_totals": "SELECT CAST(sum(n) AS BIGINT) AS total FROM (SELECT count(*) AS n FROM rules UNION ALL SELECT count(*) FROM hazards UNION ALL SELECT count(*) FROM cas_maker) x",
     "folder_stats": "SELECT lang, CASE WHEN n_chars < 50 THEN 'incomplete' WHEN n_chars > 20000 THEN 'too large' ELSE 'taken' END AS reason, count(*) AS n FROM documents GROUP BY 1, 2",
-    "ml_training_set": "SELECT document_id, field_name, confidence, validation_status AS tier FROM extractions WHERE validation_status <> 'invalid' AND value IS NOT NULL AND document_id <= 300",
+    "ml_training_set": "SELECT document_id, field_name, confidence, validation_status AS tier FROM extractions WHERE validation_status <> 'invalid' AND value IS NOT NULL",
     "ml_tier_distribution": "SELECT validation_status AS tier, count(*) AS n FROM extractions GROUP BY validation_status",
-    "ml_fallback": "SELECT document_id, field_name, round(least(1.0E0, 0.5E0 + 0.2E0 * confidence + 0.1E0 * CASE WHEN validation_status = 'valid' THEN 1 ELSE 0 END), 6) AS score FROM extractions WHERE ord <= 3",
+    "ml_fallback": "SELECT document_id, field_name, round(least(1.0E0, 0.5E0 + 0.2E0 * confidence + 0.1E0 * CASE WHEN validation_status = 'valid' THEN 1 ELSE 0 END), 6) AS score FROM extractions",
     "consensus": """SELECT user_id, field_name, CASE WHEN n_values = 1 AND n > 1 THEN round(least(1.0E0, mean + 0.15E0), 6) ELSE round(best * 0.95E0, 6) END AS confidence, CASE WHEN n_values = 1 AND n > 1 THEN 'consensus' ELSE 'best-effort' END AS source FROM (
         SELECT model AS user_id, field_name, count(DISTINCT id % 2) AS n_values, count(*) AS n, avg(confidence) AS mean, max(confidence) AS best FROM llm_calls WHERE success GROUP BY model, field_name) x""",
     "llm_fallback": "SELECT id, field_name, CASE WHEN success AND confidence >= 0.6 THEN 'primary' ELSE 'fallback' END AS used FROM llm_calls",

@@ -5,7 +5,7 @@ START = "(SELECT min(cas_a) AS cas FROM rules WHERE rule = 'I')"
 QUERIES = {
     "graph_edges": "SELECT src, dst, 'incompatible_with' AS kind FROM both_ways UNION ALL SELECT cas, manufacturer, 'manufactured_by' FROM (SELECT DISTINCT cas, manufacturer FROM cas_maker) m",
     "graph_nodes": "SELECT src AS id, 'chemical' AS kind FROM both_ways UNION SELECT cas, 'chemical' FROM hazards UNION SELECT manufacturer, 'manufacturer' FROM cas_maker",
-    "transitive_incompat": f"""WITH one AS (SELECT r.cas_a, r.cas_b, 1 AS depth FROM rules r JOIN {START} s ON r.cas_a = s.cas), two AS (SELECT o.cas_a, r.cas_b, 2 AS depth FROM one o JOIN rules r ON r.cas_a = o.cas_b), three AS (SELECT o.cas_a, r.cas_b, 3 AS depth FROM two o JOIN rules r ON r.cas_a = o.cas_b)
+    "transitive_incompat": f"""WITH one AS (SELECT r.cas_a, r.cas_b, 1 AS depth FROM rules r JOIN {START} s ON r.cas_a = s.cas), two AS (SELECT DISTINCT o.cas_a, r.cas_b, 2 AS depth FROM one o JOIN rules r ON r.cas_a = o.cas_b), three AS (SELECT DISTINCT o.cas_a, r.cas_b, 3 AS depth FROM two o JOIN rules r ON r.cas_a = o.cas_b)
         SELECT DISTINCT cas_a, cas_b, depth FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) x ORDER BY depth, cas_b""",
     "bfs_incompat": f"""WITH one AS (SELECT DISTINCT e.dst AS cas FROM both_ways e JOIN {START} s ON e.src = s.cas), two AS (SELECT DISTINCT e.dst AS cas FROM both_ways e JOIN one ON e.src = one.cas)
         SELECT cas, min(depth) AS depth FROM (SELECT cas, 0 AS depth FROM {START} s UNION ALL SELECT cas, 1 FROM one UNION ALL SELECT cas, 2 FROM two) x GROUP BY cas HAVING min(depth) > 0""",
@@ -13,9 +13,12 @@ QUERIES = {
         SELECT concat(a, '>', b) AS path FROM one UNION ALL SELECT concat(a, '>', b, '>', c) FROM two""",
     "k_hop": f"SELECT DISTINCT e.src, e.dst FROM both_ways e WHERE e.src IN (SELECT cas FROM {START} s UNION SELECT x.dst FROM both_ways x JOIN {START} s ON x.src = s.cas)",
     "by_hazard_flag": "SELECT cas FROM hazards WHERE JSON_STRING(hazard_flags, '$.flammable') = 'true'",
-    "similar_ghs": "SELECT a.cas AS cas_a, b.cas AS cas_b FROM (SELECT cas, hazard_class FROM chem WHERE document_id <= 300) a JOIN (SELECT cas, hazard_class FROM chem WHERE document_id <= 300) b ON a.hazard_class = b.hazard_class AND a.cas < b.cas",
-    "hazard_jaccard": """SELECT cas_a, cas_b, round(CAST(common AS DOUBLE) / every, 6) AS score FROM (SELECT a.cas AS cas_a, b.cas AS cas_b, CAST(a.flammable AND b.flammable AS INT) + CAST(a.toxic AND b.toxic AS INT) + CAST(a.corrosive AND b.corrosive AS INT) AS common,
-        CAST(a.flammable OR b.flammable AS INT) + CAST(a.toxic OR b.toxic AS INT) + CAST(a.corrosive OR b.corrosive AS INT) AS every FROM (SELECT * FROM hazards WHERE idlh <= 30) a JOIN (SELECT * FROM hazards WHERE idlh <= 30) b ON a.cas < b.cas) x WHERE every > 0 AND common * 2 > every""",
+    "similar_ghs": "SELECT c.cas, c.hazard_class, s.n - 1 AS n_similar FROM (SELECT DISTINCT cas, hazard_class FROM chem) c JOIN (SELECT hazard_class, count(DISTINCT cas) AS n FROM chem GROUP BY hazard_class) s ON s.hazard_class = c.hazard_class WHERE s.n > 1",
+    "hazard_jaccard": """WITH profiled AS (SELECT cas, concat(CASE WHEN flammable THEN 'f' ELSE '' END, CASE WHEN toxic THEN 't' ELSE '' END, CASE WHEN corrosive THEN 'c' ELSE '' END) AS profile FROM hazards),
+        held AS (SELECT profile, count(*) AS n FROM profiled WHERE profile <> '' GROUP BY profile), flagged AS (SELECT h.profile, EXPLODE(ALL_MATCHES(h.profile, '[ftc]')) AS flag FROM held h),
+        near AS (SELECT a.profile AS x, b.profile AS y, count(*) AS common FROM flagged a JOIN flagged b ON a.flag = b.flag GROUP BY a.profile, b.profile)
+        SELECT p.cas, near.y AS partner_profile, round(CAST(near.common AS DOUBLE) / (length(near.x) + length(near.y) - near.common), 6) AS score, h.n - CASE WHEN near.x = near.y THEN 1 ELSE 0 END AS n_partners
+        FROM profiled p JOIN near ON near.x = p.profile JOIN held h ON h.profile = near.y WHERE near.common * 2 > length(near.x) + length(near.y) - near.common AND h.n > CASE WHEN near.x = near.y THEN 1 ELSE 0 END""",
     "subgraph": "SELECT r.cas_a, r.cas_b, r.rule FROM rules r WHERE r.cas_a IN (SELECT cas FROM hazards WHERE toxic) AND r.cas_b IN (SELECT cas FROM hazards WHERE toxic)",
     "graph_stats": "SELECT n AS nodes, m AS edges, round(2.0E0 * m / n, 6) AS avg_degree, round(m / (n * (n - 1.0E0)), 8) AS density FROM (SELECT count(DISTINCT src) AS n, count(*) AS m FROM both_ways) x",
     "degree_top": "SELECT src AS cas, count(*) AS degree FROM both_ways GROUP BY src ORDER BY degree DESC, cas LIMIT 10",
@@ -26,7 +29,8 @@ QUERIES = {
     "family_of": "SELECT DISTINCT b.cas FROM cas_maker a JOIN cas_maker b ON a.manufacturer = b.manufacturer AND a.cas <> b.cas WHERE a.document_id = 8",
     "enriched_stats": "SELECT concat(CAST(sum(CASE WHEN h.cas IS NOT NULL THEN 1 ELSE 0 END) AS STRING), '/', CAST(count(*) AS STRING)) AS with_hazards FROM chem c LEFT JOIN hazards h ON h.cas = c.cas",
     "chemical_clusters": "SELECT src AS cas, count(DISTINCT dst) AS n, SORTED_SET(dst) AS partners FROM both_ways GROUP BY src HAVING count(DISTINCT dst) >= 5",
-    "shared_incompat": "SELECT DISTINCT a.src AS cas_1, b.src AS cas_2, a.dst AS shared FROM both_ways a JOIN both_ways b ON a.dst = b.dst AND a.src < b.src WHERE a.src LIKE '1%' AND b.src LIKE '1%'",
+    "shared_incompat": """WITH given AS (SELECT src FROM both_ways GROUP BY src ORDER BY count(*) DESC, src LIMIT 2)
+        SELECT min(src) AS cas_1, max(src) AS cas_2, dst AS shared FROM (SELECT DISTINCT src, dst FROM both_ways WHERE src IN (SELECT src FROM given)) x GROUP BY dst HAVING count(*) = 2""",
     "hazardous_clusters": "SELECT r.cas_a, r.cas_b, a.idlh AS idlh_a, b.idlh AS idlh_b FROM rules r JOIN hazards a ON a.cas = r.cas_a AND a.idlh >= 100 JOIN hazards b ON b.cas = r.cas_b AND b.idlh >= 100",
     "ghs_path": "SELECT DISTINCT a.hazard_class AS class_a, b.hazard_class AS class_b, r.rule FROM rules r JOIN wide a ON a.cas_number = r.cas_a JOIN wide b ON b.cas_number = r.cas_b WHERE a.hazard_class <> '' AND b.hazard_class <> ''",
     "neighborhood": f"SELECT w.document_id, w.product_name, w.cas_number FROM wide w WHERE w.cas_number IN (SELECT e.dst FROM both_ways e JOIN {START} s ON e.src = s.cas UNION SELECT cas FROM {START} t)",

@@ -18,7 +18,7 @@ QUERIES = {
     "hash_exists": "SELECT id FROM sds_documents WHERE file_hash IN (SELECT file_hash FROM sds_documents WHERE status = 'failed')",
     "domain_allowed": """SELECT page_id, host FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages) p JOIN (VALUES ('example.com'), ('therin.example.net')) AS a(allowed)
         ON host = allowed OR host LIKE concat('%.', allowed)""",
-    "ingredients_ordered": "SELECT document_id, cas_number, line_no, round(concentration_max, 6) AS concentration_max, confidence FROM ingredients WHERE document_id <= 200 ORDER BY document_id, confidence DESC NULLS LAST, cas_number, line_no",
+    "ingredients_ordered": "SELECT document_id, cas_number, line_no, round(concentration_max, 6) AS concentration_max, confidence FROM ingredients ORDER BY document_id, confidence DESC NULLS LAST, cas_number, line_no",
     "packet_files": "SELECT d.filename, c.cas FROM sds_documents d JOIN chem c ON c.document_id = d.id WHERE replace(c.cas, '-', '') LIKE '12%'",
     "danger_report": "SELECT document_id AS codigo, product_name AS produto, cas_number AS numero_cas, hazard_class AS classe_de_perigo, completeness AS completude FROM wide WHERE is_dangerous ORDER BY codigo",
     "hazard_matrix": "SELECT document_id, coalesce(nullif(product_name, ''), 'Unknown') AS product, coalesce(nullif(hazard_class, ''), 'Unknown') AS hazard, coalesce(un_number, '') AS un, coalesce(packing_group, '') AS packing, coalesce(avg_confidence, 0.0E0) AS confidence FROM wide",
@@ -52,15 +52,17 @@ QUERIES = {
         WHERE e.field_name = 'cas_number' AND e.value IS NOT NULL AND e.value NOT IN ('', 'NOT_FOUND', 'N/A', 'ERROR') UNION ALL SELECT cas_number, chemical_name, confidence, document_id, confidence * 1000000 - document_id / 1000000.0E0 FROM ingredients) x GROUP BY cas""",
     "hazardous_combinations": """SELECT r.cas_a, r.cas_b, r.rule FROM rules r WHERE r.rule IN ('I', 'R') AND r.cas_a IN (SELECT cas_number FROM ingredients) AND r.cas_b IN (SELECT cas_number FROM ingredients)""",
     "cas_hazard": "SELECT c.value AS cas, h.value AS hazard FROM extractions c LEFT JOIN extractions h ON h.document_id = c.document_id AND h.field_name = 'hazard_class' WHERE c.field_name = 'cas_number' AND c.value NOT IN ('NOT_FOUND', 'N/A') AND h.value IS NOT NULL",
-    "hazard_rule_pairs": """SELECT cas_a, cas_b, min(priority) AS priority FROM (SELECT least(a.cas, b.cas) AS cas_a, greatest(a.cas, b.cas) AS cas_b, r.priority FROM (VALUES ('1', '5', 1), ('3', '5', 2), ('8', '4', 3), ('3', '1', 4), ('6', '8', 5)) AS r(x, y, priority)
-        JOIN (SELECT cas, hazard_class FROM chem WHERE document_id <= 400) a ON a.hazard_class = r.x JOIN (SELECT cas, hazard_class FROM chem WHERE document_id <= 400) b ON b.hazard_class = r.y AND a.cas <> b.cas) p GROUP BY cas_a, cas_b""",
+    "hazard_rule_pairs": """WITH chemical AS (SELECT DISTINCT cas, hazard_class FROM chem), held AS (SELECT hazard_class, count(*) AS n FROM chemical GROUP BY hazard_class),
+        given AS (SELECT x, y, priority FROM (VALUES ('1', '5', 1), ('3', '5', 2), ('8', '4', 3), ('3', '1', 4), ('6', '8', 5)) AS r(x, y, priority)), pair AS (SELECT x, y, min(priority) AS priority FROM (SELECT x, y, priority FROM given UNION ALL SELECT y, x, priority FROM given) u GROUP BY x, y)
+        SELECT c.cas, c.hazard_class, p.y AS partner_class, p.priority, h.n - CASE WHEN p.x = p.y THEN 1 ELSE 0 END AS n_partners FROM chemical c JOIN pair p ON p.x = c.hazard_class JOIN held h ON h.hazard_class = p.y""",
     "name_to_cas": "SELECT n.n_name, min(c.cas) AS cas FROM nation n LEFT JOIN chem c ON lower(c.product_name) LIKE concat('%', lower(substr(n.n_name, 1, 2)), '%') GROUP BY n.n_name",
     "rules_with_names": "SELECT r.cas_a, a.name AS name_a, r.cas_b, b.name AS name_b, r.rule FROM rules r LEFT JOIN hazards a ON a.cas = r.cas_a LEFT JOIN hazards b ON b.cas = r.cas_b",
     "rules_for_cas": "SELECT r.cas_a, r.cas_b, r.rule FROM rules r JOIN (SELECT min(cas_a) AS cas FROM rules) x ON r.cas_a = x.cas UNION SELECT r.cas_a, r.cas_b, r.rule FROM rules r JOIN (SELECT min(cas_a) AS cas FROM rules) x ON r.cas_b = x.cas",
     "mixture_pairs": "SELECT DISTINCT a.document_id, r.cas_a, r.cas_b, r.rule FROM ingredients a JOIN ingredients b ON a.document_id = b.document_id AND a.cas_number < b.cas_number JOIN rules r ON r.cas_a = a.cas_number AND r.cas_b = b.cas_number",
-    "product_families": """SELECT a.manufacturer, least(a.cas, b.cas) AS cas_a, greatest(a.cas, b.cas) AS cas_b FROM (SELECT DISTINCT cas, manufacturer FROM cas_maker WHERE document_id <= 500) a JOIN (SELECT DISTINCT cas, manufacturer FROM cas_maker WHERE document_id <= 500) b ON a.manufacturer = b.manufacturer AND a.cas < b.cas""",
-    "profile_pairs": """SELECT a.cas AS cas_a, b.cas AS cas_b, least(0.95E0, 0.7E0 + 0.05E0 * a.n) AS score FROM (SELECT cas, concat(CAST(flammable AS STRING), CAST(toxic AS STRING), CAST(corrosive AS STRING)) AS profile, CAST(flammable AS INT) + CAST(toxic AS INT) + CAST(corrosive AS INT) AS n FROM hazards WHERE idlh <= 60) a
-        JOIN (SELECT cas, concat(CAST(flammable AS STRING), CAST(toxic AS STRING), CAST(corrosive AS STRING)) AS profile FROM hazards WHERE idlh <= 60) b ON a.profile = b.profile AND a.cas < b.cas WHERE a.n > 0""",
+    "product_families": """WITH member AS (SELECT DISTINCT cas, manufacturer FROM cas_maker)
+        SELECT m.manufacturer, m.cas, f.n - 1 AS n_partners FROM member m JOIN (SELECT manufacturer, count(*) AS n FROM member GROUP BY manufacturer HAVING count(*) > 1) f ON f.manufacturer = m.manufacturer""",
+    "profile_pairs": """WITH profiled AS (SELECT cas, concat(CAST(flammable AS STRING), CAST(toxic AS STRING), CAST(corrosive AS STRING)) AS profile, CAST(flammable AS INT) + CAST(toxic AS INT) + CAST(corrosive AS INT) AS n FROM hazards)
+        SELECT p.cas, p.profile, least(0.95E0, 0.7E0 + 0.05E0 * p.n) AS score, s.members - 1 AS n_partners FROM profiled p JOIN (SELECT profile, count(*) AS members FROM profiled GROUP BY profile HAVING count(*) > 1) s ON s.profile = p.profile WHERE p.n > 0""",
     "un_class_check": """SELECT u.document_id, u.value AS un_number, t.expected, h.value AS found, CASE WHEN t.expected <> h.value THEN round(h.confidence * 0.7E0, 6) ELSE h.confidence END AS confidence FROM extractions u JOIN (VALUES ('1005', '2'), ('1017', '2'), ('1090', '3'), ('1170', '3'), ('1203', '3'), ('1789', '8'), ('1824', '8'), ('1830', '8'), ('2014', '5')) AS t(un, expected) ON t.un = u.value
         JOIN extractions h ON h.document_id = u.document_id AND h.field_name = 'hazard_class' WHERE u.field_name = 'un_number'""",
     "mixture_hazards": """SELECT i.document_id, t.code, min(i.cas_number) AS cas, round(max(i.concentration_max), 6) AS concentration FROM ingredients i JOIN hazards h ON replace(h.cas, '-', '') = replace(i.cas_number, '-', '') JOIN (VALUES ('H225', 10.0E0), ('H300', 0.1E0), ('H315', 10.0E0)) AS t(code, least_conc)
@@ -69,7 +71,7 @@ QUERIES = {
     "external_validation": """SELECT c.document_id, c.product_name, CASE WHEN n.name IS NOT NULL AND c.cas = h.cas THEN 0.15E0 WHEN h.cas IS NOT NULL THEN 0.08E0 WHEN n.name IS NOT NULL THEN 0.1E0 ELSE 0.0E0 END AS boost FROM chem c LEFT JOIN hazards h ON h.cas = c.cas LEFT JOIN (SELECT DISTINCT name FROM hazards WHERE env_risk) n ON n.name = c.product_name""",
     # the matrix
     "wide_results": "SELECT document_id, filename, status, product_name, cas_number, hazard_class, manufacturer, un_number, packing_group, h_statements, p_statements, incompatibilities, completeness, avg_confidence FROM wide ORDER BY processed_at DESC NULLS LAST, document_id LIMIT 500",
-    "incompat_matrix": """WITH p AS (SELECT document_id, product_name, cas_number, incompatibilities FROM wide WHERE product_name IS NOT NULL ORDER BY document_id LIMIT 200),
+    "incompat_matrix": """WITH p AS (SELECT document_id, product_name, cas_number, incompatibilities FROM wide WHERE product_name IS NOT NULL ORDER BY processed_at DESC NULLS LAST, document_id LIMIT 500),
         pair AS (SELECT a.document_id AS id_a, b.document_id AS id_b, a.product_name AS product_a, b.product_name AS product_b, a.cas_number AS cas_1, b.cas_number AS cas_2,
             lower(a.incompatibilities) LIKE concat('%', lower(b.product_name), '%') AS named FROM p a CROSS JOIN p b)
         SELECT id_a, id_b, CASE WHEN product_a = product_b THEN 'Self' WHEN r.rule = 'I' THEN 'Incompatible' WHEN r.rule = 'R' THEN 'Restricted' WHEN named THEN 'Incompatible'

@@ -12,7 +12,7 @@ QUERIES = {
     "is_dangerous": "SELECT document_id, value, value IN ('1', '3', '4', '5', '6', '7', '8') AS dangerous FROM extractions WHERE field_name = 'hazard_class' AND value IS NOT NULL",
     "code_penalty": "SELECT document_id, value, CASE WHEN length(value) < 5 AND value = upper(value) THEN confidence * 0.6E0 ELSE confidence END AS confidence FROM extractions WHERE field_name = 'packing_group'",
     "score_field": "SELECT document_id, field_name, round(greatest(0.0E0, least(1.0E0, (confidence + 0.15E0 * 0.5E0) * (0.9E0 + 0.8E0) / 2)), 6) AS score FROM extractions",
-    "quality_tier": "SELECT document_id, field_name, CASE WHEN confidence - 0.75 >= 0.15 THEN 'excellent' WHEN confidence >= 0.75 THEN 'good' WHEN confidence - 0.75 >= -0.10 THEN 'acceptable' WHEN confidence - 0.75 >= -0.20 THEN 'poor' ELSE 'unreliable' END AS tier FROM extractions WHERE ord = 1",
+    "quality_tier": "SELECT document_id, field_name, CASE WHEN confidence - 0.75 >= 0.15 THEN 'excellent' WHEN confidence >= 0.75 THEN 'good' WHEN confidence - 0.75 >= -0.10 THEN 'acceptable' WHEN confidence - 0.75 >= -0.20 THEN 'poor' ELSE 'unreliable' END AS tier FROM extractions",
     "h_codes": "SELECT document_id, DISTINCT_LIST(ALL_MATCHES(value, 'H(2[0-9][0-9]|3[0-9][0-9]|40[0-9]|41[0-3])')) AS codes FROM extractions WHERE field_name = 'h_statements'",
     "p_codes": "SELECT document_id, DISTINCT_LIST(ALL_MATCHES(value, 'P[1-4][0-9][0-9]')) AS codes FROM extractions WHERE field_name = 'p_statements'",
     "ghs_categories": "SELECT code, count(*) AS n FROM (SELECT EXPLODE(ALL_MATCHES(value, 'H[234]')) AS code FROM extractions WHERE field_name = 'h_statements') x GROUP BY code",
@@ -32,8 +32,8 @@ QUERIES = {
     "file_lang": "SELECT id, CASE WHEN lower(filename) LIKE '%pt%' THEN 'pt' ELSE 'en' END AS lang FROM sds_documents",
     "clean_name": "SELECT document_id, trim(REPLACE_ALL(value, '[ ]+', ' ')) AS name FROM extractions WHERE field_name = 'product_name' AND length(value) > 3",
     "page_fields": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang FROM pages",
-    "few_shot_prompt": "SELECT conv_id, turn, concat_ws(': ', role, text) AS line FROM conversations WHERE turn < 2",
+    "few_shot_prompt": "SELECT conv_id, turn, concat_ws(': ', role, text) AS line FROM conversations",
     "pictograms": "SELECT document_id, CASE hazard_class WHEN '1' THEN 'explosive' WHEN '3' THEN 'flame' WHEN '5' THEN 'oxidizer' WHEN '6' THEN 'skull' WHEN '8' THEN 'corrosion' ELSE 'none' END AS pictogram FROM wide",
-    "concentration": "SELECT document_id, cas_number, line_no, round(least(concentration_min, concentration_max), 6) AS low, round(greatest(concentration_min, concentration_max), 6) AS high FROM ingredients WHERE document_id <= 500",
+    "concentration": "SELECT document_id, cas_number, line_no, round(least(concentration_min, concentration_max), 6) AS low, round(greatest(concentration_min, concentration_max), 6) AS high FROM ingredients",
     "ml_features": "SELECT document_id, field_name, length(value) AS n_chars, CAST(MATCHES(value, '[0-9]') AS INT) AS has_digit, CAST(value = upper(value) AS INT) AS is_upper, confidence FROM extractions WHERE value IS NOT NULL",
 }
