@@ -12,7 +12,7 @@ QUERIES = {
     "search_hazards": "SELECT cas, name, idlh, pel, env_risk FROM hazards WHERE env_risk AND idlh <= 100 ORDER BY cas LIMIT 50",
     "rule_lookup": "SELECT r.cas_a, r.cas_b, r.rule FROM rules r JOIN (SELECT min(cas_a) AS a, min(cas_b) AS b FROM rules WHERE rule = 'R') x ON r.cas_a = least(x.a, x.b) AND r.cas_b = greatest(x.a, x.b)",
     "hazard_lookup": "SELECT cas, JSON_STRING(hazard_flags, '$.flammable') AS flammable, JSON_STRING(hazard_flags, '$.toxic') AS toxic, idlh FROM hazards WHERE cas LIKE '1%'",
-    "rag_documents_list": "SELECT id, source_type, source_url, content_hash, chunk_count, CAST(indexed_at AS STRING) AS indexed_at FROM rag_documents ORDER BY rag_documents.indexed_at DESC NULLS LAST, id LIMIT 200",
+    "rag_documents_list": "SELECT id, source_type, source_url, content_hash, chunk_count, CAST(indexed_at AS STRING) AS indexed_at FROM rag_documents ORDER BY rag_documents.indexed_at DESC NULLS LAST, id",
     "manufacturers": f"SELECT DISTINCT trim(value) AS name FROM extractions WHERE field_name = 'manufacturer' AND {FOUND} ORDER BY name",
     "recent_decisions": "SELECT id, filename, CAST(processed_at AS STRING) AS processed_at FROM sds_documents WHERE processed_at > DATE '2024-07-01' - INTERVAL '7' DAY",
     "hash_exists": "SELECT id FROM sds_documents WHERE file_hash IN (SELECT file_hash FROM sds_documents WHERE status = 'failed')",
@@ -26,6 +26,10 @@ QUERIES = {
     "backup_rules": "SELECT cas_a, cas_b, rule, source FROM rules ORDER BY cas_a, cas_b",
     "backup_hazards": "SELECT cas, hazard_flags, idlh, pel, env_risk FROM hazards ORDER BY cas",
     "backup_documents": "SELECT id, source_type, content_hash, chunk_count FROM rag_documents ORDER BY id",
+    "collection_stats": "SELECT source_type, count(*) AS n_documents, count(DISTINCT content_hash) AS n_contents, CAST(sum(chunk_count) AS BIGINT) AS n_chunks FROM rag_documents GROUP BY source_type",
+    "regex_validation": """SELECT field_name, n, matched, round(100.0E0 * matched / n, 4) AS percent, CASE WHEN matched * 10 >= n * 9 THEN 'good' WHEN matched * 10 >= n * 7 THEN 'fair' ELSE 'poor' END AS status FROM (
+        SELECT e.field_name, count(*) AS n, CAST(sum(CASE WHEN MATCHES(e.value, p.pattern) THEN 1 ELSE 0 END) AS BIGINT) AS matched FROM extractions e
+        JOIN (VALUES ('cas_number', '^[0-9]{2,7}-[0-9]{2}-[0-9]$'), ('un_number', '^[0-9]{4}$'), ('packing_group', '^I{1,3}$'), ('hazard_class', '^[1-9]([.][1-6])?$')) AS p(field_name, pattern) ON p.field_name = e.field_name GROUP BY e.field_name) x""",
     # the benchmark set of ten statements
     "bench_q01": "SELECT id, filename, status FROM sds_documents WHERE status = 'success'",
     "bench_q02": "SELECT id, filename FROM sds_documents WHERE is_dangerous",
