@@ -1,8 +1,9 @@
-"""Substring dedup by hashing lines and their sentences (operator 4)."""
+"""Substring dedup by hashing documents, paragraphs, lines and sentences (operator 4)."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import join_null_safe, python_ready, tidy, written
 
-#: A run of repeated units goes if it has this many words.
+#: A run of repeated sentences goes if it has this many words; a repeated line, paragraph or document goes whatever its length.
 MIN_WORDS = 25
 #: A unit: a line, or a sentence of it, so that a passage set inside a longer line is seen.
 UNIT = re.compile(r"[^\n.!?]+[.!?]*")
@@ -27,6 +28,105 @@ def units(text: str) -> Iterator[tuple[int, int, str, int]]:
             yield m.start(), m.end(), " ".join(words), len(words)
 
 
+#: Kinds of units: WHOLE is a line, a paragraph of several lines or a text of several paragraphs.
+WHOLE, SENTENCE = range(2)
+WORD = re.compile(r"\S+")
+
+
+def whole_units(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised) of the text if it has several paragraphs, of each paragraph (between blank lines) of several
+    lines, and of each line that isn't blank; larger ones after those inside. Normalised as in ``units``, but marks alone stay."""
+
+    def normal(words: list[str]) -> str:
+        whole = " ".join(words)
+        return whole.rstrip(".!?").rstrip() or whole
+
+    at, paragraphs, open_ = 0, [], []
+    for line in [*text.split("\n"), ""]:
+        words = line.lower().split()
+        if words:
+            yield at, at + len(line), normal(words)
+            open_.append((at, at + len(line), words))
+        elif open_:
+            paragraphs.append((open_[0][0], open_[-1][1], [w for x in open_ for w in x[2]]))
+            if len(open_) > 1:
+                yield *paragraphs[-1][:2], normal(paragraphs[-1][2])
+            open_ = []
+        at += len(line) + 1
+    if len(paragraphs) > 1:
+        yield paragraphs[0][0], paragraphs[-1][1], normal([w for x in paragraphs for w in x[2]])
+
+
+def all_units(text: str) -> list[tuple[int, int, int, int, int, str]]:
+    """(start, end, first word, word after, kind, normalised) of the whole units and sentences, in order of their start, larger
+    ones first. Words are counted over the text, a word belongs where it starts. A sentence that is a line is that line only."""
+    places = [m.start() for m in WORD.finditer(text)]
+    place = lambda a, b: (bisect_left(places, a), bisect_left(places, b))
+    out = [(a, b, *place(a, b), WHOLE, norm) for a, b, norm in whole_units(text)]
+    lines = {(u[0], u[5]) for u in out}
+    out += [(a, b, *place(a, b), SENTENCE, norm) for a, b, norm, _ in units(text) if (a, norm) not in lines]
+    return sorted(out, key=lambda u: (u[0], -u[1], u[4]))
+
+
+def _all_rows(docs: DataFrame) -> DataFrame:
+    python_ready(docs.sparkSession)
+    schema = "doc_id long, row long, start int, end int, w0 int, w1 int, kind int, again boolean, h1 long, h2 long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            rows: list[tuple] = []
+            hashes: list[bytes] = []
+            for doc_id, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+                seen: set[bytes] = set()
+                for start, end, w0, w1, kind, norm in all_units(text):
+                    h = digest(norm.encode("utf-8", "surrogatepass"))
+                    hashes.append(h)
+                    rows.append((doc_id, row, start, end, w0, w1, kind, h in seen))
+                    seen.add(h)
+                if len(hashes) > 50_000:
+                    yield batch(rows, hashes)
+                    rows, hashes = [], []
+            if hashes:
+                yield batch(rows, hashes)
+        tidy()
+
+    def batch(rows: list[tuple], hashes: list[bytes]) -> pa.RecordBatch:
+        both = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(both[:, 0]), pa.array(both[:, 1])], names)
+
+    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    return rows.mapInArrow(run, schema)
+
+
+def _islands(found: DataFrame) -> DataFrame:
+    """``found`` with island: a number for the units of a text that overlap or follow each other without a word between."""
+    order = Window.partitionBy("doc_id", "row").orderBy("w0", F.desc("w1"), "start", "kind")
+    reach = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("island", F.coalesce(F.col("w0") > reach, F.lit(True)).cast("int")).withColumn("island", F.sum("island").over(order))
+
+
+def removable_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, row, start, end, n_words, n_units, kept_doc_id): a row for each stretch of a text that goes; what op4 returns.
+
+    Every repeated line, paragraph and whole text goes whatever its length, and so does every run of repeated units, sentences
+    among them, of ``min_words`` words. Which occurrence stays, ids, rows and offsets are as in ``repeated_spans``; lines,
+    paragraphs and texts are compared without regard to line ends and blanks. n_units counts the repeated units in the span.
+    """
+    made = _all_rows(docs)
+    first = written(made.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-units")
+    found = made.join(first, ["h1", "h2"]).filter("again or doc_id > first").select("doc_id", "row", "start", "end", "w0", "w1", "kind", "first")
+    found = found.repartition("doc_id", "row").dropDuplicates(["doc_id", "row", "start", "end", "kind"])
+    of = Window.partitionBy("doc_id", "row", "island")
+    found = _islands(found).withColumn("run", F.max("w1").over(of) - F.min("w0").over(of))
+    gone = _islands(found.filter((F.col("kind") == WHOLE) | (F.col("run") >= min_words)).drop("island"))
+    return gone.groupBy("doc_id", "row", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).cast("long").alias("n_words"), F.count("*").alias("n_units"), F.min("first").alias("kept_doc_id")
+    ).drop("island")
+
+
 def _unit_rows(docs: DataFrame) -> DataFrame:
     python_ready(docs.sparkSession)
     names = ["doc_id", "row", "at", "start", "end", "words", "again", "h1", "h2"]
@@ -62,7 +162,7 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, row, start, end, n_words, n_units, kept_doc_id): a row for each run of repeated units that goes.
+    """(doc_id, row, start, end, n_words, n_units, kept_doc_id): a row for each long run of repeated sentences; ``removable_spans`` has all that goes.
 
     Units (lines, and their sentences) are normalised and hashed to 128 bits; of equal ones over all documents, that in
     the least doc_id, and there the first in its text, stays, and the others are repeats. Neighbouring repeats of a text with

@@ -404,6 +404,42 @@ def test_substring_dedup_of_repeated_rows(spark):
     assert [(r["doc_id"], r["kept_doc_id"]) for r in got] == [(2, 1)]
 
 
+def brute_gone(rows, least):
+    first, out = {}, set()
+    for doc_id, text in sorted(rows):
+        for a, _, _, _, _, norm in substring_dedup.all_units(text):
+            first.setdefault(norm, (doc_id, a))
+    for doc_id, text in rows:
+        repeats = [u for u in substring_dedup.all_units(text) if first[u[5]] != (doc_id, u[0])]
+        cover = {k for u in repeats for k in range(u[2], u[3])}
+        run = lambda k: next(j for j in itertools.count(k) if j not in cover) - next(j for j in itertools.count(k, -1) if j not in cover) - 1
+        out |= {(doc_id, k) for u in repeats for k in range(u[2], u[3]) if u[4] == substring_dedup.WHOLE or run(k) >= least}
+    return out
+
+
+def test_substring_dedup_removes_short_lines_paragraphs_and_documents(spark):
+    line = "see our terms and the other pages for more"
+    rows = [(1, "Short copy."), (2, "short  copy"), (3, f"own a b\n{line}\nown c d"), (4, f"else e f\n{line.upper()}!\nelse g h. Short copy. Else i"), (5, "x one\n\ny two\nz three"), (6, "q four\n\ny\ntwo z three\n\nr five"), (7, "twice\nnew k\ntwice")]
+    df = frame(spark, rows)
+    spans = substring_dedup.removable_spans(df)
+    text = {r["doc_id"]: r["text"] for r in substring_dedup.remove_spans(df, spans).collect()}
+    assert text == {1: "Short copy.", 2: "", 3: rows[2][1], 4: "else e f\n\nelse g h. Short copy. Else i", 5: rows[4][1], 6: "q four\n\n\n\nr five", 7: "twice\nnew k\n"}
+    assert {(r["doc_id"], r["n_words"], r["kept_doc_id"]) for r in spans.collect()} == {(2, 2, 1), (4, 9, 3), (6, 4, 5), (7, 1, 7)}
+
+
+def test_substring_dedup_removes_what_brute_force_finds(spark):
+    rng = random.Random(12)
+    sentence = lambda: " ".join(words(rng, rng.randint(1, 9))) + rng.choice([".", "!", "?\n", "\n", ".\n\n"])
+    pool = [sentence() for _ in range(25)]
+    rows = [(k, " ".join(rng.choice(pool) if rng.random() < 0.6 else sentence() for _ in range(15))) for k in range(30)]
+    got = set()
+    for r in substring_dedup.removable_spans(frame(spark, rows)).collect():
+        at = len(dict(rows)[r["doc_id"]][: r["start"]].split())
+        got |= {(r["doc_id"], k) for k in range(at, at + r["n_words"])}
+    assert got == brute_gone(rows, substring_dedup.MIN_WORDS) and len(got) > 100
+    assert substring_dedup.removable_spans(frame(spark, ODD)).count() == 0
+
+
 def test_shingles():
     assert len(shingles.shingle_set("a b c d e f", 5)) == 2 and len(shingles.shingle_set("a b", 5)) == 1 and not len(shingles.shingle_set("--", 5))
     assert hashlib.sha256(shingles.shingle_set("A, b C d e", 5).tobytes()).hexdigest() == hashlib.sha256(shingles.shingle_set("a b c d e", 5).tobytes()).hexdigest()
