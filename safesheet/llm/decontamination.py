@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,10 @@ from .common import python_ready, tidy
 from .shingles import window_hashes
 
 #: Tokens of a window; a shorter item is one window, if it has MIN_ITEM tokens. A document holds an item when
-#: consistent windows cover MIN_TOKENS of its tokens, or half of it where that is more; all of it where it is shorter.
+#: consistent windows cover MIN_TOKENS of its tokens, or half of it where that is more; all of it where it is shorter. MIN_TOKENS
+#: in a row are enough for an item of any length.
 WINDOW, MIN_ITEM, MIN_TOKENS, MIN_SHARE = 8, 5, 13, 0.5
-#: Of a window's tokens at least this share are words, not placeholders.
+#: Of a template window's tokens at least this share are words, not placeholders; literal windows are taken at all places.
 MIN_WORDS = 0.5
 #: Benchmark items searched at once: the table of their windows is sent to the workers, so a larger benchmark goes in blocks.
 BLOCK_ITEMS = 20_000
@@ -60,6 +63,16 @@ WORD, DIGITS, CAPITAL, MEASURE, SYMBOL, BREAK = range(6)
 STORE = 200_000
 
 
+class Known(dict):
+    """Numbers of tokens; a new one is added by ``add``."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, token: str) -> int:
+        return self.add(token)
+
+
 class Tokens:
     """A worker's table of the tokens it has seen: kind and code. Codes are alike in all processes."""
 
@@ -67,9 +80,8 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.kinds: list[int] = []
-        self.codes: list[int] = []
+        self.index = Known(self.add)
+        self.kinds, self.codes = array("b"), array("Q")
 
     def add(self, token: str) -> int:
         c = token[0]
@@ -85,30 +97,34 @@ class Tokens:
         else:
             kind = CAPITAL if c.isupper() else WORD
         self.kinds.append(kind + (8 if c.isupper() else 0))
-        self.codes.append(code_of(low))
+        self.codes.append(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")))
         self.index[token] = len(self.kinds) - 1
         return self.index[token]
 
     def stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the template tokens of all texts in turn, and the text of each: what ``canonical`` gives, without places."""
+        code, _, of = self.both(texts)
+        return code, of
+
+    def both(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``stream``, with the codes of the lower-case tokens themselves as the second of three."""
         if len(self.index) > STORE:
             self.clear()
-        get, add = self.index.get, self.add
         parts = [STREAM.findall(t) for t in texts]
-        ids = [[k if (k := get(t)) is not None else add(t) for t in p] for p in parts]
-        lengths = [len(p) + 1 for p in ids]
-        end = get("\n") if get("\n") is not None else add("\n")
-        flat = np.array([k for p in ids for k in (*p, end)], dtype=np.int64)
+        for p in parts:
+            p.append("\n")
+        lengths = [len(p) for p in parts]
+        flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=sum(lengths))
         of = np.repeat(np.arange(len(texts)), lengths)
-        kinds, code = np.array(self.kinds)[flat], np.array(self.codes, dtype=np.uint64)[flat]
+        kinds, literal = np.frombuffer(self.kinds, dtype=np.int8)[flat], np.frombuffer(self.codes, dtype=np.uint64)[flat]
         upper, kinds = kinds >= 8, kinds & 7
         before = np.concatenate([[BREAK], kinds[:-1]])
         tight, number = before != BREAK, before == DIGITS
         unit = (kinds == SYMBOL) | (kinds == MEASURE) & number
         name = upper & tight & ~unit
-        code = np.where(kinds == DIGITS, code_of(NUMBER), np.where(unit, code_of(UNIT), np.where(name, code_of(NAME), code)))
+        code = np.where(kinds == DIGITS, code_of(NUMBER), np.where(unit, code_of(UNIT), np.where(name, code_of(NAME), literal)))
         solid = kinds != BREAK
-        return code[solid], of[solid]
+        return code[solid], literal[solid], of[solid]
 
 
 def code_of(token: str) -> np.uint64:
@@ -122,8 +138,12 @@ def codes(tokens: list[str]) -> np.ndarray:
 PLACE = {NUMBER, NAME, UNIT}
 
 
+TEMPLATE, LITERAL = range(2)
+
+
 class Index:
-    """Windows of a block of items: sorted hashes by width, each with its (item, position)."""
+    """Windows of a block of items: sorted hashes by kind and width, each with its (item, position). Template windows find new
+    parameters, literal ones (lower-case tokens as they are) copies without regard to numbers' share, capitals and marks."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = []
@@ -133,11 +153,17 @@ class Index:
             if len(tokens) < MIN_ITEM:
                 continue
             row = len(self.items)
-            self.items.append((item_id, tokens, [text[a:b].lower() for a, b in spans]))
+            values = [text[a:b].lower() for a, b in spans]
+            self.items.append((item_id, tokens, values))
             width = min(WINDOW, len(tokens))
+            plain = lambda window: sum(t not in PLACE for t in window) >= MIN_WORDS * width  # noqa: B023, E731
             for at, h in enumerate(window_hashes(codes(tokens), width).tolist()):
-                if sum(t not in PLACE for t in tokens[at : at + width]) >= MIN_WORDS * width:
-                    entries[width][h].append((row, at))
+                if plain(tokens[at : at + width]):
+                    entries[TEMPLATE, width][h].append((row, at))
+            if plain(named := [NAME, *tokens[1:width]]) and tokens[0] not in PLACE:  # as it stands after other words
+                entries[TEMPLATE, width][int(window_hashes(codes(named), width)[0])].append((row, 0))
+            for at, h in enumerate(window_hashes(codes(values), width).tolist()):
+                entries[LITERAL, width][h].append((row, at))
         self.tables = {w: (np.array(sorted(e), dtype=np.uint64), dict(e)) for w, e in entries.items()}
         self.filters = {w: self._bits(keys) for w, (keys, _) in self.tables.items()}
 
@@ -149,11 +175,11 @@ class Index:
 
     def candidates(self, texts: list[str], tokens: Tokens) -> list[int]:
         """Texts that have the hash of some window."""
-        code, of = tokens.stream(texts)
+        *code, of = tokens.both(texts)
         found: set[int] = set()
-        for width, (keys, _) in self.tables.items():
-            h = window_hashes(code, width)
-            maybe = np.nonzero(self.filters[width][(h & np.uint64((1 << 20) - 1)).astype(np.int64)])[0]
+        for (kind, width), (keys, _) in self.tables.items():
+            h = window_hashes(code[kind], width)
+            maybe = np.nonzero(self.filters[kind, width][(h & np.uint64((1 << 20) - 1)).astype(np.int64)])[0]
             own = h[maybe]
             at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
             found.update(of[maybe[keys[at] == own]].tolist())
@@ -164,19 +190,27 @@ class Index:
         tokens, spans = canonical(text)
         if len(tokens) < MIN_ITEM or not self.tables:
             return []
-        code = codes(tokens)
+        lower = [text[a:b].lower() for a, b in spans]
+        code = codes(tokens), codes(lower)
         hits = defaultdict(list)  # by item and diagonal: slots are filled alike along one copy
-        for width, (keys, places) in self.tables.items():
-            h = window_hashes(code, width)
-            maybe = np.nonzero(self.filters[width][(h & np.uint64((1 << 20) - 1)).astype(np.int64)])[0]
+        for (kind, width), (keys, places) in self.tables.items():
+            h = window_hashes(code[kind], width)
+            maybe = np.nonzero(self.filters[kind, width][(h & np.uint64((1 << 20) - 1)).astype(np.int64)])[0]
             if len(maybe):
                 own = h[maybe]
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 for pos in maybe[keys[at] == own].tolist():
                     for row, start in places[int(h[pos])]:
-                        if tokens[pos : pos + width] == self.items[row][1][start : start + width]:
-                            hits[row, pos - start].append((start, pos, width))
+                        _, template, values = self.items[row]
+                        if kind == LITERAL:
+                            same = lower[pos : pos + width] == values[start : start + width]
+                        else:
+                            first = tokens[pos] == template[start] or start == 0 and tokens[pos] == NAME
+                            same = first and tokens[pos + 1 : pos + width] == template[start + 1 : start + width]
+                        if same:
+                            hits[row, pos - start].append((start, pos, width, kind))
         by_item = defaultdict(lambda: (set(), [], set()))
+        longest: dict[int, int] = defaultdict(int)
         for (row, _), own in sorted(hits.items()):
             item_id, template, values = self.items[row]
             slots: dict[tuple[str, str], str] = {}
@@ -184,19 +218,21 @@ class Index:
             covered, where, changed = by_item[row]
             filled = []
             alike = True
-            for start, pos, width in sorted(own):
+            for start, pos, width, of in sorted(own):
                 new = []
-                for k in range(width):
-                    kind = template[start + k]
+                for k in range(width if of == TEMPLATE else 0):
+                    kind = tokens[pos + k]
                     if kind in PLACE:
-                        a, b = spans[pos + k]
-                        new.append((kind, values[start + k], text[a:b].lower()))
+                        new.append((kind, values[start + k], lower[pos + k]))
                 # one value of the item stands for one value of the document, and the other way round
                 for kind, old, now in new:
                     alike &= slots.setdefault((kind, old), now) == now and back.setdefault((kind, now), old) == old
                 filled.append(all(old == now for _, old, now in new))
-            for (start, pos, width), same in zip(sorted(own), filled, strict=True):
+            begin = end = -1
+            for (start, pos, width, _), same in zip(sorted(own), filled, strict=True):
                 if alike or same:
+                    begin, end = begin if start <= end else start, start + width
+                    longest[row] = max(longest[row], end - begin)
                     covered.update(range(start, start + width))
                     where += [spans[pos][0], spans[pos + width - 1][1]]
             if not alike:
@@ -206,7 +242,7 @@ class Index:
         for row, (covered, where, changed) in by_item.items():
             item_id, template, _ = self.items[row]
             n = len(template)
-            if covered and len(covered) >= min(n, max(MIN_TOKENS, MIN_SHARE * n)):
+            if covered and (len(covered) >= min(n, max(MIN_TOKENS, MIN_SHARE * n)) or longest[row] >= MIN_TOKENS):
                 out.append((item_id, len(covered), n, min(where), max(where), ";".join(sorted(changed))))
         return out
 
@@ -217,9 +253,9 @@ _tokens = Tokens()
 def find_items(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, n_found, n_item, start, end, slots) of each benchmark item that a document holds.
 
-    The documents' template windows are hashed and looked up in the table of the items' windows, which is sent to the workers
-    a block of ``block_items`` items at a time; the template's tokens are compared, and along a copy the slots have to be
-    filled consistently: else only windows with the item's own values count. Whole texts are searched; nothing is shuffled. start and end are offsets in
+    The documents' template and literal windows are hashed and looked up in the table of the items' windows, which is sent to the workers
+    a block of ``block_items`` items at a time; the tokens are compared, and along a copy the template's slots have to be
+    filled consistently: else only windows with the item's own values count. An item's first word may be plain or a name. Whole texts are searched; nothing is shuffled. start and end are offsets in
     characters of what was found; slots lists the item's values that the document changed. Null or empty texts hold nothing;
     items of fewer than MIN_ITEM tokens, or without id, are never found; repeated rows each give their rows, and equal items each theirs.
     """

@@ -279,6 +279,30 @@ def test_decontamination_wants_consistent_slots():
     assert not index.find("well there are 8 red balls and then 7 blue balls and 8 green balls in the box")
 
 
+def test_decontamination_finds_copies_whatever_their_kind_of_tokens(spark):
+    long = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)).replace("word", "w")
+    items = [
+        (1, "Compute 12 + 7, 15 + 9, 20 + 31, 44 + 5 and 18 + 3 now."), (2, "What is the capital city of the country Peru?"),
+        (3, "When Ann Lee and Bob Ray met Cy Fox in Rome and Oslo they saw Dan Poe and Eve Orr"), (4, long), (5, "12 13 14 15 16"),
+    ]
+    own = long.split()
+    rows = [
+        (1, f"see {items[0][1]} then"), (2, "answer this What is the capital city of the country Peru? Well"), (3, "answer this What is the capital city of the country Chile? Well"),
+        (4, f"so {items[2][1].lower()} there"), (5, "so " + " ".join(own[20:33]) + " there"), (6, "so " + " ".join(own[20:32]) + " there"), (7, "x 12 13 14 15 16 y"),
+        (8, "Compute 13 + 7, 16 + 9, 21 + 31, 45 + 5 and 19 + 3 then."), (9, " ".join(own[:12]) + " no " + " ".join(own[12:20])),
+    ]
+    found = decontamination.find_items(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 1), (2, 2), (3, 2), (4, 3), (5, 4), (7, 5)]
+    assert {r["doc_id"]: (r["n_found"], r["slots"]) for r in found if r["doc_id"] in (2, 3, 4)} == {2: (9, ""), 3: (9, "peru=chile"), 4: (20, "")}
+
+
+def test_literal_stream_equals_lower_case_tokens():
+    for text in ("Tom has 3.5 km, 20 % and Day\nÄpfel ² Hour 漢", "3 Hours AND €5 _x"):
+        tokens, spans = decontamination.canonical(text)
+        template, literal, _ = decontamination.Tokens().both([text])
+        assert literal.tolist() == decontamination.codes([text[a:b].lower() for a, b in spans]).tolist() and template.tolist() == decontamination.codes(tokens).tolist()
+
+
 # 7
 
 
