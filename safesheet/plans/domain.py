@@ -35,8 +35,7 @@ DOMAIN = {
         (l_linenumber * 7 + l_suppkey % 10) / 100.0E0 AS confidence, l_orderkey FROM lineitem JOIN chem c ON c.document_id = (l_partkey % 97 + l_linenumber) * 10 + 1""",
     "rules": """SELECT cas_a, cas_b, CASE min(flag) WHEN 'R' THEN 'R' WHEN 'A' THEN 'I' ELSE 'C' END AS rule, 'orders' AS source FROM (
         SELECT least(a.cas, b.cas) AS cas_a, greatest(a.cas, b.cas) AS cas_b, least(x.l_returnflag, y.l_returnflag) AS flag
-        FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey JOIN chem a ON a.document_id = x.l_partkey + 1 JOIN chem b ON b.document_id = y.l_partkey + 1
-        WHERE x.l_partkey % 10 = 0 AND y.l_partkey % 10 = 0) AS pairs GROUP BY cas_a, cas_b""",
+        FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey JOIN chem a ON a.document_id = x.l_partkey + 1 JOIN chem b ON b.document_id = y.l_partkey + 1) AS pairs GROUP BY cas_a, cas_b""",
     "hazards": """SELECT cas, p_size % 2 = 0 AS flammable, p_size % 3 = 0 AS toxic, p_size % 5 = 0 AS corrosive, CAST(p_size * 5 AS DOUBLE) AS idlh, p_size * 0.5E0 AS pel, document_id % 4 = 0 AS env_risk,
         concat('{"flammable": ', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END, ', "toxic": ', CASE WHEN p_size % 3 = 0 THEN 'true' ELSE 'false' END, '}') AS hazard_flags, product_name AS name FROM chem WHERE document_id % 3 <> 0""",
     "rag_documents": """SELECT doc_id AS id, source AS source_type, concat('http://', source, '.example.org/', CAST(doc_id AS STRING)) AS source_url, md5(text) AS content_hash, CAST(ceil(n_chars / 800.0E0) AS BIGINT) AS chunk_count,

@@ -1,9 +1,11 @@
 """Queries against DuckDB over the supplied tables, and the literal fixtures."""
 
 import glob
+import itertools
 import json
 import math
 import os
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from safesheet.functions.chem import cas_valid, codes, unordered
 from safesheet.functions.texts import context_score, json_from_text
 from safesheet.operators import catalog
+from safesheet.plans.domain import duckdb_query
 from safesheet.sources import jsonl
 from safesheet.streaming import metrics
 
@@ -45,6 +48,29 @@ def test_every_query_has_an_oracle():
     assert catalog.queries().keys() - catalog.oracle_sql().keys() == {"ml_train"}  # a forest has no SQL
 
 
+def test_rules_hold_every_pair_of_an_order(spark, con):
+    cas = dict(con.sql("SELECT document_id - 1, cas FROM (" + duckdb_query("SELECT document_id, cas FROM chem") + ")").fetchall())
+    orders = defaultdict(list)
+    for order, part, flag in con.sql("SELECT l_orderkey, l_partkey, l_returnflag FROM lineitem").fetchall():
+        orders[order].append((part, flag))
+    flags = defaultdict(set)
+    for lines in orders.values():
+        for (x, f), (y, g) in itertools.permutations(lines, 2):
+            if x < y:
+                flags[tuple(sorted((cas[x], cas[y])))].add(min(f, g))
+    expect = {(*pair, {"R": "R", "A": "I"}.get(min(own), "C")) for pair, own in flags.items()}
+    assert {(r["cas_a"], r["cas_b"], r["rule"]) for r in catalog.queries()["backup_rules"](spark, SF).collect()} == expect
+    near = defaultdict(set)
+    for a, b, _ in expect:
+        near[a].add(b)
+    start = min(a for a, _, rule in expect if rule == "I")
+    front, walk = {start}, set()
+    for depth in (1, 2, 3):
+        front = set().union(*(near[a] for a in front))
+        walk |= {(start, b, depth) for b in front}
+    assert {(r["cas_a"], r["cas_b"], r["depth"]) for r in catalog.queries()["transitive_incompat"](spark, SF).collect()} == walk
+
+
 def test_check_digit(spark):
     rows = [("64-17-5", True), ("64-17-6", False), ("7732-18-5", True), ("1310-73-2", True), ("x", False), (None, None)]
     df = spark.createDataFrame(rows, "cas string, ok boolean").withColumn("got", cas_valid(F.col("cas")))
