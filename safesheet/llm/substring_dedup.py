@@ -1,4 +1,4 @@
-"""Substring dedup by hashing documents, paragraphs, lines and sentences (operator 4)."""
+"""Substring dedup by hashing documents, paragraphs, lines, sentences and chunks of words (operator 4)."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_null_safe, python_ready, tidy, written
+from .common import join_null_safe, python_ready, written
+from .shingles import forget, window_hashes, word_codes
 
 #: A run of repeated sentences goes if it has this many words; a repeated line, paragraph or document goes whatever its length.
 MIN_WORDS = 25
@@ -28,8 +29,10 @@ def units(text: str) -> Iterator[tuple[int, int, str, int]]:
             yield m.start(), m.end(), " ".join(words), len(words)
 
 
-#: Kinds of units: WHOLE is a line, a paragraph of several lines or a text of several paragraphs.
-WHOLE, SENTENCE = range(2)
+#: Kinds of units: WHOLE is a line, a paragraph of several lines or a text of several paragraphs; CHUNK doesn't depend on marks.
+WHOLE, SENTENCE, CHUNK = range(3)
+#: A chunk may begin where the hash of a word and the one before is 0 modulo CHUNK_STEP, and no chunk does so at the two words before.
+CHUNK_STEP = np.uint64(4)
 WORD = re.compile(r"\S+")
 
 
@@ -57,14 +60,29 @@ def whole_units(text: str) -> Iterator[tuple[int, int, str]]:
         yield paragraphs[0][0], paragraphs[-1][1], normal([w for x in paragraphs for w in x[2]])
 
 
+def chunk_places(words: list[str]) -> np.ndarray:
+    """Words at which chunks begin or end; four words around decide on each, so that a passage has the same ones in any text."""
+    if len(words) < 2:
+        return np.zeros(0, dtype=np.int64)
+    raw = np.concatenate([[False], window_hashes(word_codes(words), 2) % CHUNK_STEP == 0])
+    clear = raw.copy()
+    clear[1:] &= ~raw[:-1]
+    clear[2:] &= ~raw[:-2]
+    return np.nonzero(clear)[0]
+
+
 def all_units(text: str) -> list[tuple[int, int, int, int, int, str]]:
-    """(start, end, first word, word after, kind, normalised) of the whole units and sentences, in order of their start, larger
+    """(start, end, first word, word after, kind, normalised) of the whole units, sentences and chunks, in order of their start, larger
     ones first. Words are counted over the text, a word belongs where it starts. A sentence that is a line is that line only."""
-    places = [m.start() for m in WORD.finditer(text)]
+    spans = [m.span() for m in WORD.finditer(text)]
+    places = [a for a, _ in spans]
+    words = [text[a:b].lower() for a, b in spans]
     place = lambda a, b: (bisect_left(places, a), bisect_left(places, b))
     out = [(a, b, *place(a, b), WHOLE, norm) for a, b, norm in whole_units(text)]
     lines = {(u[0], u[5]) for u in out}
     out += [(a, b, *place(a, b), SENTENCE, norm) for a, b, norm, _ in units(text) if (a, norm) not in lines]
+    cuts = chunk_places(words).tolist()
+    out += [(spans[i][0], spans[j - 1][1], i, j, CHUNK, "\n" + " ".join(words[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)]
     return sorted(out, key=lambda u: (u[0], -u[1], u[4]))
 
 
@@ -91,7 +109,7 @@ def _all_rows(docs: DataFrame) -> DataFrame:
                     rows, hashes = [], []
             if hashes:
                 yield batch(rows, hashes)
-        tidy()
+        forget()
 
     def batch(rows: list[tuple], hashes: list[bytes]) -> pa.RecordBatch:
         both = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
@@ -112,7 +130,7 @@ def removable_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, row, start, end, n_words, n_units, kept_doc_id): a row for each stretch of a text that goes; what op4 returns.
 
     Every repeated line, paragraph and whole text goes whatever its length, and so does every run of repeated units, sentences
-    among them, of ``min_words`` words. Which occurrence stays, ids, rows and offsets are as in ``repeated_spans``; lines,
+    and chunks among them, of ``min_words`` words. Which occurrence stays, ids, rows and offsets are as in ``repeated_spans``; lines,
     paragraphs and texts are compared without regard to line ends and blanks. n_units counts the repeated units in the span.
     """
     made = _all_rows(docs)
@@ -151,7 +169,7 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
             if hashes:
                 yield batch(out, hashes)
                 out, hashes = [[] for _ in range(7)], []
-        tidy()
+        forget()
 
     def batch(out: list[list], hashes: list[bytes]) -> pa.RecordBatch:
         both = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)

@@ -464,6 +464,17 @@ def test_substring_dedup_removes_what_brute_force_finds(spark):
     assert substring_dedup.removable_spans(frame(spark, ODD)).count() == 0
 
 
+def test_substring_dedup_sees_passages_without_sentence_ends(spark):
+    rng = random.Random(13)
+    new = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [new(60) for _ in range(20)]
+    rows = [(2 * k + side, f"{new(30)} {p} {new(30)}") for k, p in enumerate(passages) for side in (0, 1)]
+    spans = substring_dedup.removable_spans(frame(spark, rows)).collect()
+    lost = {r["doc_id"]: r for r in spans}
+    assert len(lost) == len(spans) >= 18 and all(d % 2 and 25 <= r["n_words"] <= 60 and r["kept_doc_id"] == d - 1 for d, r in lost.items())
+    assert all(dict(rows)[d][r["start"] : r["end"]] in passages[d // 2] for d, r in lost.items())
+
+
 def test_shingles():
     assert len(shingles.shingle_set("a b c d e f", 5)) == 2 and len(shingles.shingle_set("a b", 5)) == 1 and not len(shingles.shingle_set("--", 5))
     assert hashlib.sha256(shingles.shingle_set("A, b C d e", 5).tobytes()).hexdigest() == hashlib.sha256(shingles.shingle_set("a b c d e", 5).tobytes()).hexdigest()
