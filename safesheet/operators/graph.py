@@ -24,7 +24,9 @@ QUERIES = {
     "degree_top": "SELECT src AS cas, count(*) AS degree FROM both_ways GROUP BY src ORDER BY degree DESC, cas LIMIT 10",
     "similarity_degree": "SELECT cas, count(*) AS degree FROM (SELECT cas_a AS cas FROM rules UNION ALL SELECT cas_b FROM rules) x GROUP BY cas",
     "similarity_hist": "SELECT round(idlh / 250, 1) AS bucket, count(*) AS n FROM hazards GROUP BY 1",
-    "similar_scored": "SELECT DISTINCT cas_a, cas_b FROM rules WHERE rule = 'R'",
+    "similar_scored": """WITH profiled AS (SELECT cas, concat(CAST(flammable AS STRING), CAST(toxic AS STRING), CAST(corrosive AS STRING)) AS profile, CAST(flammable AS INT) + CAST(toxic AS INT) + CAST(corrosive AS INT) AS n FROM hazards),
+        given AS (SELECT cas, profile FROM profiled WHERE cas = (SELECT min(cas) FROM profiled WHERE n > 0))
+        SELECT p.cas, round(least(0.95E0, 0.7E0 + 0.05E0 * p.n), 6) AS score FROM profiled p JOIN given g ON g.profile = p.profile AND g.cas <> p.cas WHERE least(0.95E0, 0.7E0 + 0.05E0 * p.n) >= 0.7E0 ORDER BY score DESC, cas""",
     "by_manufacturer": "SELECT DISTINCT cas FROM cas_maker WHERE manufacturer = 'Maker 3'",
     "family_of": "SELECT DISTINCT b.cas FROM cas_maker a JOIN cas_maker b ON a.manufacturer = b.manufacturer AND a.cas <> b.cas WHERE a.document_id = 8",
     "enriched_stats": "SELECT concat(CAST(sum(CASE WHEN h.cas IS NOT NULL THEN 1 ELSE 0 END) AS STRING), '/', CAST(count(*) AS STRING)) AS with_hazards FROM chem c LEFT JOIN hazards h ON h.cas = c.cas",

@@ -27,10 +27,14 @@ QUERIES = {
     "needs_enrich": "SELECT document_id, is_dangerous OR completeness < 0.8 AS needs FROM wide",
     "enrichment": "SELECT w.document_id, CASE WHEN h.cas IS NULL THEN 'missing' WHEN h.name = w.product_name THEN 'ok' ELSE 'mismatch' END AS outcome FROM wide w LEFT JOIN hazards h ON h.cas = w.cas_number WHERE w.avg_confidence < 0.8",
     "enrichment_apply": "SELECT document_id, CASE WHEN value IS NULL THEN 0.85E0 ELSE round(least(0.95E0, confidence + 0.1E0), 6) END AS confidence FROM extractions WHERE field_name = 'cas_number'",
-    "missing_codes": "SELECT document_id FROM wide WHERE h_statements NOT LIKE '%H302%'",
+    "missing_codes": """SELECT w.document_id, t.field_name, t.code FROM wide w JOIN hazards h ON h.cas = w.cas_number JOIN (VALUES ('flammable', 'h_statements', 'H225'), ('toxic', 'h_statements', 'H300'), ('corrosive', 'h_statements', 'H314'), ('flammable', 'p_statements', 'P210'), ('toxic', 'p_statements', 'P264'), ('corrosive', 'p_statements', 'P280')) AS t(flag, field_name, code)
+        ON t.flag = 'flammable' AND h.flammable OR t.flag = 'toxic' AND h.toxic OR t.flag = 'corrosive' AND h.corrosive
+        EXCEPT SELECT document_id, field_name, code FROM (SELECT document_id, 'h_statements' AS field_name, EXPLODE(ALL_MATCHES(h_statements, 'H[0-9][0-9][0-9]')) AS code FROM wide
+        UNION ALL SELECT document_id, 'p_statements' AS field_name, EXPLODE(ALL_MATCHES(p_statements, 'P[0-9][0-9][0-9]')) AS code FROM wide) x""",
     "badges": "SELECT document_id, CASE WHEN is_dangerous THEN 'danger' WHEN completeness < 0.7 THEN 'check' ELSE 'ok' END AS badge, concat(CAST(CAST(round(completeness * 100) AS INT) AS STRING), '%') AS percent FROM wide",
     "file_lang": "SELECT id, CASE WHEN lower(filename) LIKE '%pt%' THEN 'pt' ELSE 'en' END AS lang FROM sds_documents",
-    "clean_name": "SELECT document_id, trim(REPLACE_ALL(value, '[ ]+', ' ')) AS name FROM extractions WHERE field_name = 'product_name' AND length(value) > 3",
+    "clean_name": """SELECT document_id, name FROM (SELECT document_id, trim(REPLACE_ALL(trim(REPLACE_ALL(value, '[ \t\r\n]+', ' ')), '(?i)codigo do produto:?.*$', '')) AS name FROM extractions WHERE field_name = 'product_name' AND length(value) >= 3) x
+        WHERE length(name) >= 3 AND NOT MATCHES(name, '^[0-9]+$')""",
     "page_fields": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang FROM pages",
     "few_shot_prompt": "SELECT conv_id, turn, concat_ws(': ', role, text) AS line FROM conversations",
     "pictograms": "SELECT document_id, CASE hazard_class WHEN '1' THEN 'explosive' WHEN '3' THEN 'flame' WHEN '5' THEN 'oxidizer' WHEN '6' THEN 'skull' WHEN '8' THEN 'corrosion' ELSE 'none' END AS pictogram FROM wide",

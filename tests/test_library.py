@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from safesheet.functions.chem import cas_valid, codes, unordered
 from safesheet.functions.texts import context_score, json_from_text
 from safesheet.operators import catalog
-from safesheet.plans.domain import duckdb_query
+from safesheet.plans.domain import duckdb_query, render
 from safesheet.sources import jsonl
 from safesheet.streaming import metrics
 
@@ -71,6 +71,28 @@ def test_rules_hold_every_pair_of_an_order(spark, con):
     assert {(r["cas_a"], r["cas_b"], r["depth"]) for r in catalog.queries()["transitive_incompat"](spark, SF).collect()} == walk
 
 
+def over(spark, name, **tables):
+    """The query over small tables in place of the derived ones."""
+    for t, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).createOrReplaceTempView(t)
+    got = [tuple(r) for r in spark.sql(render(catalog.TEXTS[name], 0)).collect()]
+    for t in tables:
+        spark.catalog.dropTempView(t)
+    return got
+
+
+def test_clean_names_missing_codes_and_scored_neighbours(spark):
+    names = ["  Acid \t\n mix  CODIGO DO PRODUTO: 12", "12345", "12 34", "ab", "codigo do produto 7", None]
+    assert sorted(over(spark, "clean_name", extractions=([(k, "product_name", v) for k, v in enumerate(names)], "document_id int, field_name string, value string"))) == [(0, "Acid mix"), (2, "12 34")]
+    flags = "cas string, flammable boolean, toxic boolean, corrosive boolean"
+    hazards = [("a", True, True, False), ("b", False, False, True), ("c", False, False, False), ("d", True, True, False)]
+    wide = [(1, "a", "H225; H319", "P264"), (2, "b", "H302", "P280"), (3, "c", "H302", None), (4, "d", None, None)]
+    got = sorted(over(spark, "missing_codes", hazards=(hazards, flags), wide=(wide, "document_id int, cas_number string, h_statements string, p_statements string")))
+    h, p = "h_statements", "p_statements"
+    assert got == [(1, h, "H300"), (1, p, "P210"), (2, h, "H314"), (4, h, "H225"), (4, h, "H300"), (4, p, "P210"), (4, p, "P264")]
+    assert over(spark, "similar_scored", hazards=(hazards, flags)) == [("d", 0.8)]
+
+
 def test_check_digit(spark):
     rows = [("64-17-5", True), ("64-17-6", False), ("7732-18-5", True), ("1310-73-2", True), ("x", False), (None, None)]
     df = spark.createDataFrame(rows, "cas string, ok boolean").withColumn("got", cas_valid(F.col("cas")))
