@@ -54,10 +54,13 @@ def base_measures(text: Column) -> Column:
     )
 
 
+def _norm(line: Column) -> Column:
+    return F.lower(F.btrim(F.regexp_replace(line, f"{SPACE}+", " ")))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(host, doc_id, h1, h2, w): digests and word count of every line with a word; normalised: lower case, single spaces."""
-    norm = lambda x: F.lower(F.btrim(F.regexp_replace(x, f"{SPACE}+", " ")))
-    rows = docs.select(F.col("source").alias("host"), "doc_id", F.explode(F.transform(F.split("text", "\n", -1), norm)).alias("line")).filter("line != ''")
+    rows = docs.select(F.col("source").alias("host"), "doc_id", F.explode(F.transform(F.split("text", "\n", -1), _norm)).alias("line")).filter("line != ''")
     return rows.select("host", "doc_id", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), F.size(F.split("line", " ", -1)).alias("w"))
 
 
@@ -85,3 +88,15 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     rows = rows.withColumn("n_lost_words", F.least(F.coalesce("lost", F.lit(0)), F.col("n_words")).cast("long")).drop("lost")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= max_lost * F.col("n_words")))
+
+
+def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """``docs`` with the lines over the limits of their host taken out of ``text``; null text stays null, no row goes."""
+    listed = written(frequent_lines(docs, max_docs, max_share).select("host", "h1", "h2"), "frequent-lines")
+    held = join_null_safe(_lines(docs), listed, ["host", "h1", "h2"]).groupBy("host", "doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("out"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("source").alias("host"), "doc_id")
+    rows = join_null_safe(rows, held, ["host", "doc_id"], "left")
+    digests = lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(1)).alias("h2"))
+    left = F.filter(F.split("row.text", "\n", -1), lambda x: ~F.array_contains(F.col("out"), digests(_norm(x))))
+    text = F.when(F.col("out").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -68,6 +68,13 @@ def test_quality_rejects_depleted_documents_of_a_host_only(spark):
     assert all(got[100 + k]["kept"] and got[100 + k]["n_lost_words"] == 0 for k in range(3))
 
 
+def test_quality_cleans_lines_over_the_limits(spark):
+    rows = [(k, f"own {k}\n{'  MENU one' if k % 2 else 'menu  one'}\n\nend {k}", "a") for k in range(12)] + [(100, "menu one\nx", "b"), (101, "menu one\nx", None), (102, None, "a")]
+    got = {r["doc_id"]: r for r in quality_rules.cleaned(frame(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(got[k]["text"] == f"own {k}\n\nend {k}" and got[k]["line"] == "own" for k in range(12))
+    assert got[100]["text"] == got[101]["text"] == "menu one\nx" and got[102]["text"] is None
+
+
 # 9
 
 
