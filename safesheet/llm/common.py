@@ -13,8 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python, so that a batch of long texts stays small.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch handed to Python, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that all machines share: ``spark.checkpoint.dir``. Where it is unset, a temporary one if the session is local, as in tests; else an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="safesheet-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get()
@@ -41,24 +43,32 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage and outlives lost executors."""
+    """``df`` written to the shared folder and read back: cuts the lineage and outlives lost executors. Deleted at exit, or by ``drop``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/safesheet/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._safesheet_path = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._safesheet_path)
 
 
 def python_ready(spark: SparkSession) -> None:
-    """Before Python functions are planned: lowers the session's Arrow batch size to BATCH_ROWS where it is larger, and
+    """Before Python functions are planned: lowers the session's Arrow batch size to BATCH_ROWS and BATCH_BYTES where it is larger, and
     lets workers find this package where the driver found it (on a cluster it is installed, or in PYTHONPATH there)."""
     root, path = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [path, root]))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -86,12 +96,34 @@ def tidy() -> None:
 FILTER_BITS = 26
 
 
-def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` without most of those whose key isn't in ``wanted``, by a bit filter of fixed size: what a join would throw away needn't be shuffled."""
-    bit = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
-    bits = wanted.select(F.shiftright(bit, 6).alias("__word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))").alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
-    held = rows.withColumn("__word", F.shiftright(bit, 6)).join(F.broadcast(bits), "__word")
-    return held.filter(f"getbit(__bits, cast(pmod(xxhash64({key}), 64) as int)) = 1").drop("__word", "__bits")
+def _flagged(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with __maybe: whether a bit filter of fixed size holds the bit of the keys; false means that ``wanted`` hasn't the keys."""
+    at = F.xxhash64(*keys)
+    word, place = F.shiftright(F.pmod(at, F.lit(1 << FILTER_BITS)), 6), F.pmod(at, F.lit(64)).cast("int")
+    bits = wanted.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+    held = rows.withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
+    return held.withColumn("__maybe", F.coalesce(F.getbit("__bits", place) == 1, F.lit(False))).drop("__word", "__bits")
+
+
+def likely(rows: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` without most of those whose keys aren't in ``wanted``: what a join would throw away needn't be shuffled."""
+    return _flagged(rows, wanted, list(keys)).filter("__maybe").drop("__maybe")
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` but those whose keys are in ``gone`` (no nulls among either's keys); only rows that the bit filter can't clear are shuffled."""
+    flagged = _flagged(rows, gone, keys)
+    doubtful = flagged.filter("__maybe").drop("__maybe").join(gone.select(*keys).distinct(), keys, "left_anti")
+    return flagged.filter("not __maybe").drop("__maybe").unionByName(doubtful)
+
+
+#: Names of the columns that tell rows apart: 64 bits of the id, 128 of the text.
+ROW = ["__t0", "__t1", "__t2"]
+
+
+def row_key() -> list[Column]:
+    """Digests of doc_id and text, never null: equal for repeated rows, different for different texts under one id."""
+    return [F.xxhash64("doc_id").alias(ROW[0]), F.xxhash64("text").alias(ROW[1]), F.xxhash64("text", F.lit(1)).alias(ROW[2])]
 
 
 def let(value: Column, body) -> Column:

@@ -253,13 +253,62 @@ def test_toxicity_finds_held_out_documents(spark):
 # 6
 
 
-def test_stream_equals_canonical():
+def test_streams_equal_texts():
     rng = random.Random(8)
-    for _ in range(300):
-        text = "".join(rng.choice(["Tom ", "has ", "3 ", "3.5", "km ", "Day", "% ", "€", ". ", ", ", "\n", "_", "Äpfel ", "²", "x", " ", "漢", "Hour "]) for _ in range(30))
-        tokens, _ = decontamination.canonical(text)
-        code, _ = decontamination.Tokens().stream([text])
-        assert code.tolist() == decontamination.codes(tokens).tolist(), text
+    texts = ["Tom has 3.5 km, 20 % and Day\nÄpfel ² Hour 漢", "3 Hours AND €5 _x 3-4 * 5 - x", ""]
+    texts += ["".join(rng.choice(["Tom ", "Ann ", "has ", "3 ", "3.5", "km ", "Day", "% ", "€", ". ", ", ", "\n", "_", "Äpfel ", "²", "x", " ", "漢", "Hour ", "- ", "+"]) for _ in range(30)) for _ in range(300)]
+    (template, of), (literal, _) = decontamination.Tokens().streams(texts)
+    owns = [decontamination.Text(t) for t in texts]
+    assert template.tolist() == decontamination.codes([x for o in owns for x in o.template]).tolist()
+    assert literal.tolist() == decontamination.codes([x for o in owns for x in o.values]).tolist()
+    assert of.tolist() == [k for k, o in enumerate(owns) for _ in o.template]
+    for t, o in zip(texts, owns, strict=True):
+        assert [t[a:b].lower() for a, b in o.spans] == o.values
+
+
+def brute_items(rows, items):
+    """Every window of every item against every window of every document, by their tokens."""
+    out = set()
+    for (d, text), (i, item) in itertools.product({r for r in rows if r[1]}, {r for r in items if None not in r}):
+        own, its, found = decontamination.Text(text), decontamination.Text(item), []
+        for kind, width, at in decontamination.item_windows(item):
+            stream = own.template if kind == decontamination.TEMPLATE else own.values
+            for pos in range(len(stream) - width + 1):
+                if stream[pos : pos + width] == its.tokens(kind, at, width):
+                    (a, z), (first, after) = its.reach(kind, at, width), own.reach(kind, pos, width)
+                    slots = (its.slots(at, width), own.slots(pos, width)) if kind == decontamination.TEMPLATE else ([], [])
+                    found.append({"first": first, "after": after, "at": a, "to": z, "start": own.spans[first][0], "end": own.spans[after - 1][1], "item_slots": slots[0], "slots": slots[1]})
+        if (got := decontamination.judge(found, len(its.values))) is not None:
+            out.add((d, i, *got))
+    return out
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(17)
+    item = lambda: " ".join(rng.choice([*words(rng, 6), "Tom", "Ann Lee", "3", "4.5", "12 km", "+", "7 * 8", "He"]) + rng.choice(["", "", "", ".", ",", "?"]) for _ in range(rng.randint(1, 30)))
+    items = [(k, item()) for k in range(25)] + [(90, "12 + 45 * 3 - 7 / 2 = 18 or 19"), (91, "Who?"), (None, item()), (92, None)]
+    rows = list(ODD)
+    for k in range(100, 180):
+        text = rng.choice([t for _, t in items if t])
+        if rng.random() < 0.5:
+            text = re.sub(r"\d+", lambda m: m.group() + "1", text).replace("Tom", "Max").replace("Ann Lee", "Eve")
+        if rng.random() < 0.2:
+            text = re.sub(r"\d+", lambda m: str(rng.randint(1, 99)), text)
+        cut = rng.choice([0, 0, len(text) // 3])
+        rows.append((k, " ".join(words(rng, 9)) + rng.choice([" ", ". "]) + text[cut:] + " " + " ".join(words(rng, 9))))
+    got = decontamination.find_items(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expect = brute_items(rows, items)
+    assert {(r["doc_id"], r["item_id"], r["n_found"], r["start"], r["end"], r["slots"]) for r in got} == expect and len(expect) > 20
+    assert len(got) == len(expect)
+
+
+def test_decontamination_of_numbers_names_and_short_items(spark):
+    items = [("a", "compute 12 + 45 * 3 - 7 / 2 = 18 or 19"), ("b", "Tom Smith gave the bank 3 dollars, then Tom Smith gave the shop 9 dollars more"), ("c", "Yes no")]
+    rows = [("x", "so compute 12 + 45 * 3 - 7 / 2 = 18 or 19 now"), ("y", "here Bob gave the bank 5 dollars, then Bob gave the shop 8 dollars more"), ("z", "so yes no maybe"), ("w", "compute 12 + 45 then yes"), ("x", "other")]
+    docs, bench = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.find_items(docs, bench).collect()) == [("x", "a"), ("y", "b"), ("z", "c")]
+    assert sorted(tuple(r) for r in decontamination.decontaminate(docs, bench).collect()) == [("w", rows[3][1]), ("x", "other")]
+    assert decontamination.decontaminate(docs.limit(0), bench).count() == 0 and decontamination.find_items(docs, bench.limit(0)).count() == 0
 
 
 def test_decontamination_finds_copies_and_new_parameters(spark):
@@ -272,18 +321,17 @@ def test_decontamination_finds_copies_and_new_parameters(spark):
     other = "well how many apples does he have when he asks whether Tom has 3 apples and buys plums"
     rows = [(1, "before that " + items[0][1] + " after that"), (2, again), (3, "x " * 400 + items[1][1].upper().lower() + " y" * 9), (4, "nothing of it but apples and zeta eta theta iota kappa"), (5, None), (6, ""), (7, again), (7, again), (8, other)]
     got = decontamination.find_items(frame(spark, rows), bench).collect()
-    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 1), (3, 2), (7, 1), (7, 1)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 1), (3, 2), (7, 1)]
     slots = next(r["slots"] for r in got if r["doc_id"] == 2)
     assert "3=5" in slots and "ann=bob" in slots
-    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.find_items(frame(spark, rows), bench, block_items=1).collect()) == [(1, 1), (2, 1), (3, 2), (7, 1), (7, 1)]
     assert sorted(r["doc_id"] for r in decontamination.decontaminate(frame(spark, rows), bench).collect()) == [4, 5, 6, 8]
     assert decontamination.find_items(frame(spark, rows), bench.limit(0)).count() == 0
 
 
 def test_decontamination_wants_consistent_slots():
-    index = decontamination.Index([(1, "there are 3 red balls and then 3 blue balls and 4 green balls in the box")])
-    assert index.find("well there are 8 red balls and then 8 blue balls and 9 green balls in the box")
-    assert not index.find("well there are 8 red balls and then 7 blue balls and 8 green balls in the box")
+    items = [(1, "there are 3 red balls and then 3 blue balls and 4 green balls in the box")]
+    assert brute_items([(1, "well there are 8 red balls and then 8 blue balls and 9 green balls in the box")], items)
+    assert not brute_items([(1, "well there are 8 red balls and then 7 blue balls and 8 green balls in the box")], items)
 
 
 def test_decontamination_finds_copies_whatever_their_kind_of_tokens(spark):
@@ -303,13 +351,6 @@ def test_decontamination_finds_copies_whatever_their_kind_of_tokens(spark):
     assert {r["doc_id"]: (r["n_found"], r["slots"]) for r in found if r["doc_id"] in (2, 3, 4)} == {2: (9, ""), 3: (9, "peru=chile"), 4: (20, "")}
 
 
-def test_literal_stream_equals_lower_case_tokens():
-    for text in ("Tom has 3.5 km, 20 % and Day\nÄpfel ² Hour 漢", "3 Hours AND €5 _x"):
-        tokens, spans = decontamination.canonical(text)
-        template, literal, _ = decontamination.Tokens().both([text])
-        assert literal.tolist() == decontamination.codes([text[a:b].lower() for a, b in spans]).tolist() and template.tolist() == decontamination.codes(tokens).tolist()
-
-
 # 7
 
 
