@@ -11,15 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, python_ready, tidy, written
+from .common import ROW, drop, likely, python_ready, row_key, tidy, without, written
 from .shingles import forget, shingle_set
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Chance at least that a pair at the threshold meets in a band, and hash functions at most.
 RECALL, MAX_HASHES = 0.9999, 128
-#: Members of a bucket that are compared with each other in one group; larger buckets are split in blocks, every
-#: pair of which is a group of its own.
-BLOCK, LIGHT_BLOCK = 400, 2000
+#: Members of a bucket that are compared with each other in one group, and n-grams in all their sets (about); larger buckets are
+#: split in blocks, every pair of which is a group of its own.
+BLOCK, LIGHT_BLOCK, BLOCK_GRAMS = 400, 1000, 1_000_000
 #: Columns of the incidence matrix multiplied at once.
 COLUMNS = 8192
 
@@ -52,13 +52,12 @@ def band_hashes(shingles: np.ndarray, bands: int, rows: int, perms: tuple[np.nda
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def _set_key(shingles: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(shingles.tobytes())
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _set_key(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, k1, k2, n, bands) for each row: digest and size of its n-gram set, bucket of each band (none for an empty set)."""
+    """(doc_id, __t0..2, key, n, bands) for each row: its digests, digest and size of its n-gram set, bucket of each band (none for an empty set)."""
     python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,12 +70,14 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 sizes.append(len(s))
                 found.append(band_hashes(s, bands, rows, perms).tolist() if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "k1", "k2", "n", "bands"],
+                [*(b.column(c) for c in ["doc_id", *ROW]), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                ["doc_id", *ROW, "key", "n", "bands"],
             )
         forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in ROW)}, key binary, n long, bands array<long>"
+    return docs.select("doc_id", *row_key(), "text").mapInArrow(run, schema)
 
 
 def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -111,34 +112,46 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Recor
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _blocks(members: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """Each member of a bucket (bucket, m of ``sizes``) once for every pair of blocks that its own block is in: bucket, i, j, own."""
-    rows = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("m") / most).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int"))
+def _blocks(members: DataFrame, sizes: DataFrame, most: int, most_grams: int | None = None) -> DataFrame:
+    """Each member of a bucket (bucket, m and grams of ``sizes``) once for every pair of blocks that its own block is in: bucket, i, j, own."""
+    count = F.ceil(F.col("m") / most)
+    if most_grams:
+        count = F.greatest(count, F.least(F.col("m"), F.ceil(F.col("grams") / most_grams)))
+    rows = members.join(sizes, "bucket").withColumn("blocks", count.cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other", "m")
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other", "m", "grams")
 
 
-def _first_meeting(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the members, and which pairs have this bucket as the first that they share; across blocks only the pairs between them."""
-    ids, band = t.column("rep").to_numpy(), t.column("band")[0].as_py()
-    sig = np.array(t.column("bands").combine_chunks().flatten().to_numpy()).reshape(len(ids), -1)
-    pairs = ids[:, None] != ids[None]
+def _first_meeting(t: pa.Table, scale: int, least: int) -> np.ndarray:
+    """Which pairs have this bucket as the first that they share and sizes that allow the similarity; across blocks only the pairs between them."""
+    band, n = t.column("band")[0].as_py(), t.column("n").to_numpy()
+    sig = np.array(t.column("bands").combine_chunks().flatten().to_numpy()).reshape(len(n), -1)
+    pairs = n[:, None] * scale >= least * n[None]
+    pairs &= pairs.T
+    np.fill_diagonal(pairs, False)
     for k in range(band):
         pairs &= sig[:, k][:, None] != sig[:, k][None]
     if t.column("i")[0].as_py() != t.column("j")[0].as_py():
         own = t.column("own").to_numpy()
         pairs &= own[:, None] != own[None]
-    return ids, pairs
+    return pairs
 
 
-def _needed(t: pa.Table) -> pa.RecordBatch | None:
-    """Members that have some pair to verify in this bucket."""
-    if t.num_rows < 2:
-        return None
-    ids, pairs = _first_meeting(t)
-    some = pairs.any(axis=1)
-    return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(some)) for c in ("rep", "band", "bucket")], ["rep", "band", "bucket"])
+SCALE = 10_000
+#: Columns of a member of a bucket: its set's digest, size and buckets, and the row that has its text.
+MEMBER = ["key", "n", "bands", *ROW, "band", "bucket"]
+
+
+def _needed(least: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
+    def work(t: pa.Table) -> pa.RecordBatch | None:
+        """Members that have some pair to verify in this bucket."""
+        if t.num_rows < 2:
+            return None
+        some = _first_meeting(t, SCALE, least).any(axis=1)
+        return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(some)) for c in MEMBER], MEMBER)
+
+    return work
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -165,35 +178,33 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _verify(threshold: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
-    scale = 10_000
-    least = round(threshold * scale)
-
+def _verify(width: int, least: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
     def work(t: pa.Table) -> pa.RecordBatch | None:
-        """(rep, root, links): members with verified pairs, how many, and the least member that these pairs connect them to."""
+        """(key, root, links): members with verified pairs, how many, and the least member that these pairs connect them to."""
         if t.num_rows < 2:
             return None
-        ids, pairs = _first_meeting(t)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in t.column("shingles").to_pylist()]
+        pairs = _first_meeting(t, SCALE, least)
+        keys = t.column("key").to_pylist()
+        sets = [shingle_set(x, width) for x in t.column("text").to_pylist()]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         both = intersections(sets)
-        pairs &= both * scale >= least * (sizes[:, None] + sizes[None] - both)
+        pairs &= both * SCALE >= least * (sizes[:, None] + sizes[None] - both)
         links = pairs.sum(axis=1)
-        some = np.nonzero(links)[0]
-        if not len(some):
+        some = np.nonzero(links)[0].tolist()
+        if not some:
             return None
-        order = some[np.argsort(ids[some])]
-        root = np.full(len(ids), -1)
-        for k in order.tolist():
+        root = [-1] * len(keys)
+        for k in sorted(some, key=keys.__getitem__):
             if root[k] < 0:
-                front = np.zeros(len(ids), dtype=bool)
+                front = np.zeros(len(keys), dtype=bool)
                 front[k] = True
                 reached = front.copy()
                 while front.any():
                     front = pairs[front].any(axis=0) & ~reached
                     reached |= front
-                root[reached] = k
-        return pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(ids[root[some]], pa.int64()), pa.array(links[some], pa.int64())], ["rep", "root", "links"])
+                for x in np.nonzero(reached)[0].tolist():
+                    root[x] = k
+        return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in some], pa.binary()), pa.array([keys[root[k]] for k in some], pa.binary()), pa.array(links[some], pa.int64())], ["key", "root", "links"])
 
     return work
 
@@ -202,7 +213,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node of the edges (u, v) but the roots: the least node connected with it.
 
     Alternates large stars and small stars, a logarithmic number of rounds. Every table of a round is written
-    to the shared folder, so that the joins read two plain tables and Spark can split a hub's rows.
+    to the shared folder, so that the joins read two plain tables and Spark can split a hub's rows, and deleted after it.
     """
 
     def state(e: DataFrame):
@@ -214,9 +225,11 @@ def components(edges: DataFrame) -> DataFrame:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = written(sym.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        less = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(less, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        made = written(small.unionByName(less.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(e, least, large, less)
+        e = made
         now = state(e)
         if now == before:
             break
@@ -224,58 +237,67 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, copy_id, n_copies, n_links) for each row of ``docs`` (doc_id, text).
-
-    Texts are sets of n-grams of lower-case words. Rows with equal sets are copies: copy_id is their least doc_id and
-    n_copies their number. n_links is how many other sets have a Jaccard similarity of ``threshold`` or more with the row's
-    set, and class_id the least doc_id that such links connect it with. Links are found by MinHash bands of the
-    sets, a pair in the first bucket that both are in, and verified on the full sets. Buckets are worked on in blocks
-    of bounded size, every pair of blocks; no pair is a row: a group returns its members with their number of links and a
-    spanning star. A text of fewer words than ``width`` is one n-gram. Null, empty and wordless texts are alone:
-    class_id and copy_id are their doc_id. Rows of one doc_id and set are copies of each other; different sets under one
-    doc_id are one node of the links. Rows without doc_id take part as copies, and where no copy has one, class_id is null.
-    """
+def _classes(docs: DataFrame, width: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with a word (doc_id, __t0..2, key, rep, n_copies, root, class_id, n_links), and the other rows (doc_id, __t0..2)."""
     bands, rows = plan_bands(threshold, recall)
+    least = round(threshold * SCALE)
     signed = written(signatures(docs, width, bands, rows), "signatures")
-    sets = written(signed.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "sets")
-    reps = signed.filter("n > 0").join(sets.select("k1", "k2", F.col("rep").alias("doc_id")), ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("rep"), "k1", "k2", "bands").dropDuplicates(["rep", "k1", "k2"])
-    reps = written(reps, "representatives")
-    members = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    sizes = written(members.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
-    own_band = F.get("bands", F.col("band")) == F.col("bucket")  # of several sets under one doc_id, the one in the bucket
-    light = members.join(sizes.select("bucket"), "bucket").join(reps.select("rep", "bands"), "rep").filter(own_band)
-    needed = by_group(_blocks(light, sizes, LIGHT_BLOCK), ["bucket", "i", "j"], _needed, "rep long, band int, bucket long")
+    solid = signed.filter("n > 0")
+    sets = solid.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min(F.struct(*ROW)).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sets = written(sets.select("key", "rep", "n_copies", "at.*", "n", "bands"), "sets")
+    members = sets.select("key", "n", "bands", *ROW, F.posexplode("bands").alias("band", "bucket"))
+    sizes = written(sets.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+    light = _blocks(likely(members, sizes, "bucket"), sizes, LIGHT_BLOCK)
+    needed = by_group(light, ["bucket", "i", "j"], _needed(least), "key binary, n long, bands array<long>, " + ", ".join(f"{c} long" for c in ROW) + ", band int, bucket long")
     needed = written(needed.distinct(), "needed")
-    sizes = needed.groupBy("bucket").agg(F.count("*").alias("m"))
+    sizes = needed.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
+    # one text of each set, whatever its copies: repeated rows are dropped before the shuffle, copies by the filter and the join
+    texts = likely(docs.select(*row_key(), "text"), needed, *ROW).groupBy(*ROW).agg(F.first("text").alias("text"))
+    heavy = _blocks(needed, sizes, BLOCK, BLOCK_GRAMS).join(texts, ROW)
+    verified = written(by_group(heavy.drop(*ROW), ["bucket", "i", "j"], _verify(width, least), "key binary, root binary, links long"), "verified")
+    links = verified.groupBy("key").agg(F.sum("links").alias("n_links"))
+    roots = components(verified.select(F.col("key").alias("u"), F.col("root").alias("v")))
+    nodes = links.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    known = sets.select("key", "rep", "n_copies").join(nodes, "key", "left").select("key", "rep", "n_copies", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = written(known, "sets")
+    known = known.join(known.groupBy("root").agg(F.min("rep").alias("class_id")), "root")
+    return solid.select("doc_id", *ROW, "key").join(known, "key"), signed.filter("n = 0").select("doc_id", *ROW)
 
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for rep, text, k1, k2, sig in zip(*(b.column(c).to_pylist() for c in ("rep", "text", "k1", "k2", "bands")), strict=True):
-                s = shingle_set(text or "", width)
-                if _set_key(s) == (k1, k2):
-                    out.append((rep, sig, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.binary())], ["rep", "bands", "shingles"])
-        forget()
 
-    wanted = written(needed.select("rep").distinct().join(reps, "rep"), "wanted")
-    texts = likely(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), wanted, "rep").join(wanted, "rep").select("rep", "text", "k1", "k2", "bands")
-    full = texts.mapInArrow(full_sets, "rep long, bands array<long>, shingles binary")
-    heavy = _blocks(needed, sizes, BLOCK).join(full, "rep").filter(own_band)
-    verified = written(by_group(heavy, ["bucket", "i", "j"], _verify(threshold), "rep long, root long, links long"), "verified")
-    links = verified.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    roots = components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    nodes = written(links.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left"), "nodes")
-    known = written(sets.join(nodes, "rep", "left").select("k1", "k2", "rep", "n_copies", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    solid = signed.filter("n > 0").select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id", F.col("rep").alias("copy_id"), "n_copies", "n_links")
-    alone = signed.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return solid.unionByName(alone)
+def ngram_join(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, copy_id, n_copies, n_links) for each row of ``docs`` (doc_id of any type, text).
+
+    Texts are sets of n-grams of lower-case words. Rows with equal sets are copies: copy_id is their least doc_id and
+    n_copies their number. n_links is how many other sets have a Jaccard similarity of ``threshold`` or more with the row's
+    set, and class_id the least doc_id among the sets that such links connect it with. Links are found by MinHash bands of the
+    sets, a pair in the first bucket that both are in, and verified on the full sets of the texts. Buckets are worked on in
+    blocks of bounded size, every pair of blocks; no pair is a row: a group returns its members with their number of links and
+    a spanning star. A text of fewer words than ``width`` is one n-gram. Null, empty and wordless texts are alone:
+    class_id and copy_id are their doc_id. Classes are of sets: different texts under one doc_id are in the classes of their
+    own. Rows without doc_id take part like others, and copy_id or class_id is null where no row among them has one.
+    """
+    solid, alone = _classes(docs, width, threshold, recall)
+    one = F.lit(1).cast("long").alias("n_copies")
+    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), one, F.lit(0).cast("long").alias("n_links"))
+    return solid.select("doc_id", "class_id", F.col("rep").alias("copy_id"), "n_copies", "n_links").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each class: that of the least doc_id, with all its rows. Rows of classes without any id stay."""
-    classes = ngram_join(docs, width, threshold)
-    gone = classes.filter("doc_id != class_id").select("doc_id").distinct()
-    rest = docs.filter("doc_id is not null").join(written(gone, "near-copies"), "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
-    return rest.unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one row of each class of ``ngram_join``: that of the least doc_id (null last), of equal ones by the text's digest.
+
+    Of repeated rows, equal in doc_id and text, the one whose columns have the least hash stays. Null, empty and wordless texts all stay.
+    Which row stays is decided by doc_id and text, so a doc_id whose texts are in several classes can stay with some and go with others.
+    """
+    solid, _ = _classes(docs, width, threshold, RECALL)
+    solid = written(solid.select("root", "doc_id", *ROW), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("first")
+    kept = solid.groupBy("root").agg(first).select("root", *[F.col(f"first.{c}").alias(f"own{c}") for c in ROW])
+    same = F.lit(True)
+    for c in ROW:
+        same = same & (F.col(c) == F.col(f"own{c}"))
+    marked = written(solid.join(kept, "root").groupBy(*ROW).agg(F.max(same).alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "near-copies")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), *row_key())
+    rest = without(rows, marked, ROW)
+    again = likely(rows, marked.filter("stays"), *ROW).join(marked.filter("stays").select(*ROW), ROW).groupBy(*ROW).agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    return rest.select("__row.*").unionByName(again.select("__row.*")).select(*names)
