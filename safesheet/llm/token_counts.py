@@ -48,10 +48,11 @@ class Trie:
     def clear(self) -> None:
         self.child: dict[int, int] = {}  # by node and character
         self.best, self.tokens = [0.0], [0]
+        #: Count of each word, which stands in the trie with the mark before it.
         self.terminal: dict[str, int] = {}
 
     def insert(self, token: str) -> int:
-        """Adds a pre-token, scoring only the nodes that are new, and stores the count at its end. Of equal scores the fewer tokens win."""
+        """Adds a pre-token, scoring only the nodes that are new; returns the count at its end. Of equal scores the fewer tokens win."""
         child, best, tokens, scores, longest = self.child, self.best, self.tokens, self.scores, self.longest
         path = [0]
         node = 0
@@ -74,7 +75,6 @@ class Trie:
                 tokens.append(n)
             node = nxt
             path.append(node)
-        self.terminal[token] = tokens[node]
         return tokens[node]
 
     def counts(self, texts: Iterable[str]) -> Iterator[tuple[int, int]]:
@@ -85,8 +85,7 @@ class Trie:
             words = (text if text.isascii() or unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)).split()
             known = self.terminal
             for w in [x for x in set(words) if x not in known]:
-                self.insert(MARK + w)
-                known[w] = known.pop(MARK + w)
+                known[w] = self.insert(MARK + w)
             yield sum(map(known.__getitem__, words)), len(words)
 
 
