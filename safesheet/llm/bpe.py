@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import python_ready, tidy
@@ -20,7 +21,7 @@ SHIFT = 24
 #: Pieces kept with their ids in a worker; beyond, the store starts anew.
 STORE = 200_000
 #: Characters encoded at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -202,29 +203,41 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
+
+
+def digest(ranks: dict[bytes, int], pattern: str) -> str:
+    """A digest of all ranks and the pattern."""
+    made = hashlib.sha256(pattern.encode())
+    for b, r in sorted(ranks.items()):
+        made.update(b"%d %d " % (len(b), r) + b)
+    return made.hexdigest()
 
 
 def _codec(shared) -> Codec:
-    """The worker's codec: made once, as its tables and store serve all tasks."""
-    ranks, pattern = shared.value
-    key = hash((pattern, len(ranks), max(ranks.values())))
+    """The worker's codec: made once for a vocabulary, as its tables and store serve all tasks."""
+    key, ranks, pattern = shared.value
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(ranks, pattern)
     return _codecs[key]
 
 
+def _shared(spark: SparkSession, vocabulary: str, pattern: str):
+    ranks = read_ranks(vocabulary)
+    return spark.sparkContext.broadcast((digest(ranks, pattern), ranks, pattern))
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids) for each row of ``docs`` (doc_id, text); ids is binary: little-endian unsigned 32-bit integers.
 
     Each match of ``pattern`` is encoded separately, without special tokens. Null text counts as empty (no ids). Repeated
-    rows each get their row. Nothing is shuffled. The vocabulary file is read on the driver; its ranks, which don't
+    rows each get their row; an empty table gives none. Nothing is shuffled. The vocabulary file is read on the driver; its ranks, which don't
     grow with the data, are sent to the workers. A worker keeps the ids of at most STORE pieces.
     """
     spark = docs.sparkSession
     python_ready(spark)
-    shared = spark.sparkContext.broadcast((read_ranks(vocabulary), pattern))
+    shared = _shared(spark, vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
@@ -241,12 +254,13 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for each row of ``encode``'s result; decoded is binary. Null ids count as none."""
     spark = encoded.sparkSession
     python_ready(spark)
-    shared = spark.sparkContext.broadcast((read_ranks(vocabulary), pattern))
+    shared = _shared(spark, vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([codec.decode(x or b"") for x in b.column("ids").to_pylist()], pa.binary())], [*b.schema.names, "decoded"])
+        tidy()
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
