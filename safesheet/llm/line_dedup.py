@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import join_null_safe, let, written
 
-#: A line goes from a host when more than MAX_RATIO of the host's pages hold it, and at least MIN_PAGES do.
-MAX_RATIO, MIN_PAGES = 0.1, 5
+#: A line goes from a host when more than MAX_RATIO of the host's pages hold it, and at least MIN_PAGES do: a line on one page alone
+#: repeats nowhere, though on a host of a few pages that page is a large share.
+MAX_RATIO, MIN_PAGES = 0.1, 2
 BLANKS = " \t\x0b\x0c\r"
 
 
