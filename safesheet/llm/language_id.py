@@ -10,9 +10,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, fold, python_ready, tidy
+from .common import fold, python_ready, tidy
 
-#: Training rows of a language at most, passages taken of each, and characters of a passage.
+#: Training documents of a language (about), passages taken of each, and characters of a passage.
 MAX_DOCS, PASSAGES, PASSAGE = 1500, 4, 400
 #: Bytes of a window; filters reach over WIDTHS bytes, FILTERS of each width; bytes are embedded in EMBED numbers.
 LENGTH, WIDTHS, FILTERS, EMBED = 192, (2, 3, 4), 8, 8
@@ -124,18 +124,20 @@ def predict(classes: list[str], head: np.ndarray, tail: np.ndarray, out: np.ndar
 
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Network | None:
-    """A network fitted on text and lang of at most ``max_docs`` rows of each lang whose crc32(doc_id as text) mod 3 isn't 1.
+    """A network fitted on text and lang of about ``max_docs`` ids of each lang whose crc32(doc_id as text) mod 3 isn't 1; of all of them where there are fewer.
 
-    The rows come by hashed id; of each, PASSAGES passages spread over the whole text. None without such rows."""
-    rows = docs.select("doc_id", "lang").filter((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull())
-    classes = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    if not classes:
+    The ids come by their hash, so the sample doesn't depend on partitions; of each id and lang, PASSAGES passages spread over one whole text. None
+    without such rows. One pass counts the ids of each language and one takes the sample."""
+    rows = docs.filter((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
+    if not counts:
         return None
-    ids = bounded_ids(rows, "lang", classes, max_docs).distinct()
+    # of each language the ids whose hash is under a share of all hashes that max_docs ids have on average; twice as many are never taken
+    share = F.create_map(*[F.lit(x) for v, n in sorted(counts.items()) for x in (v, min(1.0, max_docs / max(n, 1)))])[F.col("lang")]
     starts = [(F.length("text") * F.lit(k / PASSAGES)).cast("int") + 1 for k in range(PASSAGES)]
-    # the ids are at most max_docs a language
-    held = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).filter("text is not null")
-    got = held.select("doc_id", "lang", *[F.substr("text", s, F.lit(PASSAGE)).alias(f"p{k}") for k, s in enumerate(starts)]).toPandas().sort_values(["doc_id", "lang", "p0"])
+    passages = F.struct(*[F.substr("text", s, F.lit(PASSAGE)).alias(f"p{k}") for k, s in enumerate(starts)])
+    picked = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).groupBy("doc_id", "lang").agg(F.min(passages).alias("p"))
+    got = picked.select("doc_id", "lang", "p.*").limit(2 * max_docs * len(counts)).toPandas().sort_values(["doc_id", "lang"])
     texts = [(p, v) for k in range(PASSAGES) for p, v in zip(got[f"p{k}"], got["lang"], strict=True) if LETTER.search(p)]
     if not texts:
         return None
