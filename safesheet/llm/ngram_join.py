@@ -250,7 +250,7 @@ def _classes(docs: DataFrame, width: int, threshold: float, recall: float) -> tu
     light = _blocks(likely(members, sizes, "bucket"), sizes, LIGHT_BLOCK)
     needed = by_group(light, ["bucket", "i", "j"], _needed(least), "key binary, n long, bands array<long>, " + ", ".join(f"{c} long" for c in ROW) + ", band int, bucket long")
     needed = written(needed.distinct(), "needed")
-    sizes = needed.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
+    sizes = written(needed.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("grams")), "buckets")
     # one text of each set, whatever its copies: repeated rows are dropped before the shuffle, copies by the filter and the join
     texts = likely(docs.select(*row_key(), "text"), needed, *ROW).groupBy(*ROW).agg(F.first("text").alias("text"))
     heavy = _blocks(needed, sizes, BLOCK, BLOCK_GRAMS).join(texts, ROW)
