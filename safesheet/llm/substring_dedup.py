@@ -2,210 +2,242 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import join_null_safe, python_ready, written
-from .shingles import forget, window_hashes, word_codes
+from .common import join_null_safe, likely, python_ready, tidy, written
 
-#: A run of repeated sentences goes if it has this many words; a repeated line, paragraph or document goes whatever its length.
+#: A run of repeated sentences and chunks goes if it has this many words; a repeated line, paragraph or document goes whatever its length.
 MIN_WORDS = 25
-#: A unit: a line, or a sentence of it, so that a passage set inside a longer line is seen.
-UNIT = re.compile(r"[^\n.!?]+[.!?]*")
-
-
-def units(text: str) -> Iterator[tuple[int, int, str, int]]:
-    """(start, end, normalised, words) of each unit with a word: lower case, single spaces, no closing marks."""
-    for m in UNIT.finditer(text):
-        words = m.group().lower().rstrip(".!?").split()
-        if words:
-            yield m.start(), m.end(), " ".join(words), len(words)
-
-
 #: Kinds of units: WHOLE is a line, a paragraph of several lines or a text of several paragraphs; CHUNK doesn't depend on marks.
 WHOLE, SENTENCE, CHUNK = range(3)
 #: A chunk may begin where the hash of a word and the one before is 0 modulo CHUNK_STEP, and no chunk does so at the two words before.
 CHUNK_STEP = np.uint64(4)
-WORD = re.compile(r"\S+")
-
-
-def whole_units(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised) of the text if it has several paragraphs, of each paragraph (between blank lines) of several
-    lines, and of each line that isn't blank; larger ones after those inside. Normalised as in ``units``, but marks alone stay."""
-
-    def normal(words: list[str]) -> str:
-        whole = " ".join(words)
-        return whole.rstrip(".!?").rstrip() or whole
-
-    at, paragraphs, open_ = 0, [], []
-    for line in [*text.split("\n"), ""]:
-        words = line.lower().split()
-        if words:
-            yield at, at + len(line), normal(words)
-            open_.append((at, at + len(line), words))
-        elif open_:
-            paragraphs.append((open_[0][0], open_[-1][1], [w for x in open_ for w in x[2]]))
-            if len(open_) > 1:
-                yield *paragraphs[-1][:2], normal(paragraphs[-1][2])
-            open_ = []
-        at += len(line) + 1
-    if len(paragraphs) > 1:
-        yield paragraphs[0][0], paragraphs[-1][1], normal([w for x in paragraphs for w in x[2]])
-
-
-def chunk_places(words: list[str]) -> np.ndarray:
-    """Words at which chunks begin or end; four words around decide on each, so that a passage has the same ones in any text."""
-    if len(words) < 2:
-        return np.zeros(0, dtype=np.int64)
-    raw = np.concatenate([[False], window_hashes(word_codes(words), 2) % CHUNK_STEP == 0])
+#: Marks that end a sentence; at a unit's end they aren't compared.
+MARKS = ".!?"
+#: Words kept with their codes in a worker.
+STORE = 150_000
+_SPACE = np.zeros(12289, dtype=bool)
+_SPACE[[k for k in range(12289) if chr(k).isspace()]] = True
+_BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_powers = np.ones((2, 1), dtype=np.uint64)
+_inverse = np.ones((2, 1), dtype=np.uint64)
+_known: dict[str, int] = {}
+_codes = np.zeros((6, 1024), dtype=np.uint64)
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the two bases and of their inverses modulo 2**64, n of each at least."""
+    global _powers, _inverse
+    if _powers.shape[1] < n:
+        size = max(4096, 1 << n.bit_length())
+        inverse = np.array([pow(int(b), -1, 1 << 64) for b in _BASES], dtype=np.uint64)
+        tables = []
+        for bases in (_BASES, inverse):
+            t = np.ones((2, size), dtype=np.uint64)
+            t[:, 1:] = bases[:, None]
+            tables.append(np.multiply.accumulate(t, axis=1))
+        _powers, _inverse = tables
+    return _powers, _inverse
+
+
+def _word_columns(words: list[str]) -> np.ndarray:
+    """For each lower-case word: two codes, the two of it without closing marks (0 if nothing is left), whether it ends with one, whether it is marks only."""
+    global _codes
+    get = _known.get
+    found = [get(w) for w in words]
+    if None in found:
+        if len(_known) > STORE:
+            _known.clear()
+            found = [None] * len(words)
+        for k, w in enumerate(words):
+            if found[k] is None and (at := get(w)) is not None:
+                found[k] = at
+            elif found[k] is None:
+                at = found[k] = _known[w] = len(_known)
+                if at >= _codes.shape[1]:
+                    _codes = np.concatenate([_codes, np.zeros_like(_codes)], axis=1)
+                bare = w.rstrip(MARKS)
+                whole, rest = (xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in (w, bare))
+                _codes[:2, at] = np.frombuffer(whole, dtype=np.uint64)
+                _codes[2:4, at] = np.frombuffer(rest, dtype=np.uint64) if bare else 0
+                _codes[4:, at] = len(bare) < len(w), not bare
+    return _codes[:, np.array(found, dtype=np.int64)]
+
+
+def _forget() -> None:
+    """Empties the store, at a task's end."""
+    global _codes
+    _known.clear()
+    _codes = np.zeros((6, 1024), dtype=np.uint64)
+    tidy()
+
+
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, runs of anything but white space, and places of the line ends."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    space = _SPACE[np.minimum(chars, 12288)] & (chars <= 12288)
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    return np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0], np.nonzero(chars == 10)[0]
+
+
+def _spans(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and word after of the stretches that begin at the marked words."""
+    first = np.nonzero(cuts)[0]
+    return first, np.append(first[1:], len(cuts))
+
+
+def all_units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Arrays start, end, first word, word after, kind, digest (two rows) of the units of a text, in order of their start, larger ones first.
+
+    Whole units are each line that isn't blank, each paragraph (between blank lines) of several lines, and the text if it has
+    several paragraphs. Sentences end with a line or with a word that ends in MARKS; one that is its line is that line only.
+    Chunks are words between two places that four words around decide on, so that a passage has the same ones in any
+    text. A digest is a polynomial in 128 bits of the words in lower case, without the MARKS at the unit's end unless there is nothing
+    else; chunks keep them and never equal other units. So units are equal whatever blanks and line ends part their words.
+    """
+    start, end, breaks = word_places(text)
+    n = len(start)
+    if not n:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none, none, np.zeros((2, 0), dtype=np.uint64)
+    words = text.lower().split()
+    if len(words) != n:  # a letter whose lower case has another number of characters can't part words, so this is for safety
+        words = [text[a:b].lower() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    columns = _word_columns(words)
+    code, bare, marked, only = columns[:2], columns[2:4], columns[4] != 0, columns[5] != 0
+    line = np.searchsorted(breaks, start)
+    step = np.diff(line, prepend=-2)
+    new_line, new_paragraph = step > 0, step > 1
+    la, lz = _spans(new_line)
+    pa_, pz = _spans(new_paragraph)
+    several = new_line.cumsum()[pz - 1] > new_line.cumsum()[pa_]
+    sa, sz = _spans(new_line | np.concatenate([[True], marked[:-1]]))
+    inside = ~((new_line[sa]) & (np.append(new_line, True)[sz]))
+    inside &= ~only[sa] | (sz - sa > 1)  # marks alone are no sentence
+    raw = np.zeros(n, dtype=bool)
+    raw[1:] = (code[0, :-1] * _BASES[0] + code[0, 1:] * _BASES[1]) >> np.uint64(32) & (CHUNK_STEP - np.uint64(1)) == 0
     clear = raw.copy()
     clear[1:] &= ~raw[:-1]
     clear[2:] &= ~raw[:-2]
-    return np.nonzero(clear)[0]
-
-
-def all_units(text: str) -> list[tuple[int, int, int, int, int, str]]:
-    """(start, end, first word, word after, kind, normalised) of the whole units, sentences and chunks, in order of their start, larger
-    ones first. Words are counted over the text, a word belongs where it starts. A sentence that is a line is that line only."""
-    spans = [m.span() for m in WORD.finditer(text)]
-    places = [a for a, _ in spans]
-    words = [text[a:b].lower() for a, b in spans]
-    place = lambda a, b: (bisect_left(places, a), bisect_left(places, b))
-    out = [(a, b, *place(a, b), WHOLE, norm) for a, b, norm in whole_units(text)]
-    lines = {(u[0], u[5]) for u in out}
-    out += [(a, b, *place(a, b), SENTENCE, norm) for a, b, norm, _ in units(text) if (a, norm) not in lines]
-    cuts = chunk_places(words).tolist()
-    out += [(spans[i][0], spans[j - 1][1], i, j, CHUNK, "\n" + " ".join(words[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)]
-    return sorted(out, key=lambda u: (u[0], -u[1], u[4]))
+    cuts = np.nonzero(clear)[0]
+    first = np.concatenate([la, pa_[several], [0] if len(pa_) > 1 else [], sa[inside], cuts[:-1]]).astype(np.int64)
+    after = np.concatenate([lz, pz[several], [n] if len(pa_) > 1 else [], sz[inside], cuts[1:]]).astype(np.int64)
+    n_whole, n_sentence = len(la) + int(several.sum()) + (len(pa_) > 1), int(inside.sum())
+    kind = np.repeat([WHOLE, SENTENCE, CHUNK], [n_whole, n_sentence, max(0, len(cuts) - 1)])
+    powers, inverse = _power_tables(n + 1)
+    sums = np.zeros((2, n + 1), dtype=np.uint64)
+    np.cumsum(code * powers[:, :n], axis=1, out=sums[:, 1:])
+    digest = sums[:, after] - sums[:, first]
+    last = after - 1
+    whole = kind != CHUNK
+    trimmed = whole & ~(only[last] & (after - first == 1))
+    digest += np.where(trimmed, (bare[:, last] - code[:, last]) * powers[:, last], np.uint64(0))
+    digest *= inverse[:, first]
+    digest ^= np.where(whole, np.uint64(0), np.uint64(0xA5A5A5A55A5A5A5A))
+    a, z = start[first], end[last]
+    lines = np.arange(len(first)) < len(la)  # a line goes with the blanks around its words
+    edges = np.concatenate([[-1], breaks, [len(text)]])
+    a = np.where(lines, edges[np.minimum(line[first], len(edges) - 2)] + 1, a)
+    z = np.where(lines, edges[np.minimum(line[last] + 1, len(edges) - 1)], z)
+    order = np.lexsort((kind, -z, a))
+    return a[order], z[order], first[order], after[order], kind[order], digest[:, order]
+
+
+def _rank(docs: DataFrame) -> Column:
+    """What orders the occurrences of a unit: the id; rows without one come after all others, by a digest of their text."""
+    digest = F.xxhash64("text")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(digest, F.lit(1 << 61)))
+    return F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), digest).alias("digest"))
 
 
 def _all_rows(docs: DataFrame) -> DataFrame:
+    """A row for each unit of each text: rank, row, start, end, w0, w1, kind, again (the text has it before), h1, h2."""
     python_ready(docs.sparkSession)
-    schema = "doc_id long, row long, start int, end int, w0 int, w1 int, kind int, again boolean, h1 long, h2 long"
-    names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.bool_()]
+    names = ["start", "end", "w0", "w1", "kind", "again", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for b in batches:
-            rows: list[tuple] = []
-            hashes: list[bytes] = []
-            for doc_id, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                seen: set[bytes] = set()
-                for start, end, w0, w1, kind, norm in all_units(text):
-                    h = digest(norm.encode("utf-8", "surrogatepass"))
-                    hashes.append(h)
-                    rows.append((doc_id, row, start, end, w0, w1, kind, h in seen))
-                    seen.add(h)
-                if len(hashes) > 50_000:
-                    yield batch(rows, hashes)
-                    rows, hashes = [], []
-            if hashes:
-                yield batch(rows, hashes)
-        forget()
-
-    def batch(rows: list[tuple], hashes: list[bytes]) -> pa.RecordBatch:
-        both = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(both[:, 0]), pa.array(both[:, 1])], names)
-
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+            found, owner, size = [], [], 0
+            for k, text in enumerate(b.column("text").to_pylist()):
+                start, end, first, after, kind, digest = all_units(text)
+                _, earliest, which = np.unique(digest[0] ^ digest[1] * _BASES[0], return_index=True, return_inverse=True)
+                again = earliest[which] != np.arange(len(which))
+                found.append((start, end, first, after, kind, again, digest[0].view(np.int64), digest[1].view(np.int64)))
+                owner.append((k, len(start)))
+                size += len(start)
+                if size > 50_000:
+                    yield batch(b, found, owner)
+                    found, owner, size = [], [], 0
+            if found:
+                yield batch(b, found, owner)
+        _forget()
+
+    def batch(b: pa.RecordBatch, found: list[tuple], owner: list[tuple[int, int]]) -> pa.RecordBatch:
+        of = pa.array(np.repeat([k for k, _ in owner], [n for _, n in owner]), pa.int64())
+        kinds = [*[pa.int32()] * 5, pa.bool_(), pa.int64(), pa.int64()]
+        columns = [pa.array(np.concatenate(c), t, safe=False) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([b.column("rank").take(of), b.column("row").take(of), *columns], ["rank", "row", *names])
+
+    rows = docs.filter("text is not null").select(_rank(docs).alias("rank"), F.xxhash64("text").alias("row"), "text")
+    schema = f"rank {rows.schema['rank'].dataType.simpleString()}, row long, start int, end int, w0 int, w1 int, kind int, again boolean, h1 long, h2 long"
     return rows.mapInArrow(run, schema)
 
 
 def _islands(found: DataFrame) -> DataFrame:
     """``found`` with island: a number for the units of a text that overlap or follow each other without a word between."""
-    order = Window.partitionBy("doc_id", "row").orderBy("w0", F.desc("w1"), "start", "kind")
+    order = Window.partitionBy("rank", "row").orderBy("w0", F.desc("w1"), "start", "kind")
     reach = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("island", F.coalesce(F.col("w0") > reach, F.lit(True)).cast("int")).withColumn("island", F.sum("island").over(order))
 
 
 def removable_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, row, start, end, n_words, n_units, kept_doc_id): a row for each stretch of a text that goes; what op4 returns.
-
-    Every repeated line, paragraph and whole text goes whatever its length, and so does every run of repeated units, sentences
-    and chunks among them, of ``min_words`` words. Which occurrence stays, ids, rows and offsets are as in ``repeated_spans``; lines,
-    paragraphs and texts are compared without regard to line ends and blanks. n_units counts the repeated units in the span.
+    """(doc_id, row, start, end, n_words, n_units, kept_doc_id): a row for each stretch of a text that goes.
+
+    Units are hashed to 128 bits; of equal ones over all documents, that in the least doc_id, and there the first in its text,
+    stays, and the others are repeats. Every repeated line, paragraph and whole text goes whatever its length, and so does every run of
+    repeated units, sentences and chunks among them, of ``min_words`` words. start and end are offsets in characters of the original text,
+    n_units counts the repeated units in the span, kept_doc_id is the least document that keeps some unit of it. doc_id may
+    be of any type that has an order. Rows without one come after all others, by a digest of their text (kept_doc_id is null where one of
+    them keeps the unit). row is xxhash64 of the text, so that different texts under one doc_id are told apart; their units don't repeat each
+    other. Repeated rows of a doc_id and text are one document. Null texts, and those without a word, have no spans.
+
+    Digests are grouped after partial sums; the digests found twice are a written table. Units are made again for the join with it, which
+    costs less than writing them all, and most that aren't repeats go before the shuffle by a bit filter of fixed size.
     """
     made = _all_rows(docs)
-    first = written(made.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-units")
-    found = made.join(first, ["h1", "h2"]).filter("again or doc_id > first").select("doc_id", "row", "start", "end", "w0", "w1", "kind", "first")
-    found = found.repartition("doc_id", "row").dropDuplicates(["doc_id", "row", "start", "end", "kind"])
-    of = Window.partitionBy("doc_id", "row", "island")
+    first = made.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = written(first, "repeated-units")
+    found = likely(made, first, "h1", "h2").join(first, ["h1", "h2"]).filter("again or rank > first").select("rank", "row", "start", "end", "w0", "w1", "kind", "first")
+    found = found.repartition("rank", "row").dropDuplicates(["rank", "row", "start", "end", "kind"])
+    of = Window.partitionBy("rank", "row", "island")
     found = _islands(found).withColumn("run", F.max("w1").over(of) - F.min("w0").over(of))
     gone = _islands(found.filter((F.col("kind") == WHOLE) | (F.col("run") >= min_words)).drop("island"))
-    return gone.groupBy("doc_id", "row", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).cast("long").alias("n_words"), F.count("*").alias("n_units"), F.min("first").alias("kept_doc_id")
-    ).drop("island")
-
-
-def _unit_rows(docs: DataFrame) -> DataFrame:
-    python_ready(docs.sparkSession)
-    names = ["doc_id", "row", "at", "start", "end", "words", "again", "h1", "h2"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
-        for b in batches:
-            out: list[list] = [[] for _ in range(7)]
-            hashes: list[bytes] = []
-            for doc_id, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                seen: set[bytes] = set()
-                for at, (start, end, norm, words) in enumerate(units(text)):
-                    h = digest(norm.encode("utf-8", "surrogatepass"))
-                    hashes.append(h)
-                    for column, v in zip(out, (doc_id, row, at, start, end, words, h in seen), strict=True):
-                        column.append(v)
-                    seen.add(h)
-                if len(hashes) > 50_000:
-                    yield batch(out, hashes)
-                    out, hashes = [[] for _ in range(7)], []
-            if hashes:
-                yield batch(out, hashes)
-                out, hashes = [[] for _ in range(7)], []
-        forget()
-
-    def batch(out: list[list], hashes: list[bytes]) -> pa.RecordBatch:
-        both = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=False)), pa.array(both[:, 0]), pa.array(both[:, 1])], names)
-
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row long, at int, start int, end int, words int, again boolean, h1 long, h2 long")
-
-
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, row, start, end, n_words, n_units, kept_doc_id): a row for each long run of repeated sentences; ``removable_spans`` has all that goes.
-
-    Units (lines, and their sentences) are normalised and hashed to 128 bits; of equal ones over all documents, that in
-    the least doc_id, and there the first in its text, stays, and the others are repeats. Neighbouring repeats of a text with
-    ``min_words`` words together are a span; start and end are offsets in characters of the original text, kept_doc_id the least
-    document that keeps some unit of it. row is xxhash64 of the text, so that different texts under one doc_id are told apart (their
-    units don't repeat each other). Repeated rows of a doc_id and text are one document. Null ids or texts, and empty
-    ones, have no spans. Digests are grouped after partial sums; the digests found twice are a written table, so
-    that the join with all units reads two plain tables and Spark can split a hot digest.
-    """
-    made = _unit_rows(docs)
-    first = written(made.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-units")
-    found = made.join(first, ["h1", "h2"]).filter("again or doc_id > first").select("doc_id", "row", "at", "start", "end", "words", "first")
-    found = found.repartition("doc_id", "row").dropDuplicates(["doc_id", "row", "at"])
-    order = Window.partitionBy("doc_id", "row").orderBy("at")
-    runs = found.withColumn("run", F.col("at") - F.row_number().over(order)).groupBy("doc_id", "row", "run")
-    spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_units"), F.min("first").alias("kept_doc_id"))
-    return spans.filter(F.col("n_words") >= min_words).drop("run")
+    spans = gone.groupBy("rank", "row", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).cast("long").alias("n_words"), F.count("*").alias("n_units"), F.min("first").alias("kept")
+    )
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        own = lambda c: F.when(F.col(c) < 1 << 62, F.col(c)).cast(kind)
+    else:
+        own = lambda c: F.col(f"{c}.id")
+    return spans.select(own("rank").alias("doc_id"), "row", "start", "end", "n_words", "n_units", own("kept").alias("kept_doc_id"))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` without the spans (doc_id, row, start, end) in text, and with ``removed``: their original offsets, sorted; replaces a column of that name."""
-    python_ready(docs.sparkSession)
+    """``docs`` without the spans (doc_id, row, start, end) in text, and with ``removed``: their original offsets, sorted; replaces a column of that name.
+
+    Repeated rows are all cut alike; no row goes, and null text stays null."""
     columns = [c for c in docs.columns if c != "removed"]
     lists = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("d"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("d"), "doc_id", F.xxhash64("text").alias("row"))
     rows = join_null_safe(rows, lists, ["doc_id", "row"], "left")
     text, cuts = F.col("d.text"), F.col("removed")
     ends = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda x: x["end"]))
