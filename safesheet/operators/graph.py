@@ -7,11 +7,6 @@ QUERIES = {
     "graph_nodes": "SELECT src AS id, 'chemical' AS kind FROM both_ways UNION SELECT cas, 'chemical' FROM hazards UNION SELECT manufacturer, 'manufacturer' FROM cas_maker",
     "transitive_incompat": f"""WITH one AS (SELECT r.cas_a, r.cas_b, 1 AS depth FROM rules r JOIN {START} s ON r.cas_a = s.cas), two AS (SELECT DISTINCT o.cas_a, r.cas_b, 2 AS depth FROM one o JOIN rules r ON r.cas_a = o.cas_b), three AS (SELECT DISTINCT o.cas_a, r.cas_b, 3 AS depth FROM two o JOIN rules r ON r.cas_a = o.cas_b)
         SELECT DISTINCT cas_a, cas_b, depth FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) x ORDER BY depth, cas_b""",
-    "bfs_incompat": f"""WITH one AS (SELECT DISTINCT e.dst AS cas FROM both_ways e JOIN {START} s ON e.src = s.cas), two AS (SELECT DISTINCT e.dst AS cas FROM both_ways e JOIN one ON e.src = one.cas)
-        SELECT cas, min(depth) AS depth FROM (SELECT cas, 0 AS depth FROM {START} s UNION ALL SELECT cas, 1 FROM one UNION ALL SELECT cas, 2 FROM two) x GROUP BY cas HAVING min(depth) > 0""",
-    "reaction_chains": f"""WITH one AS (SELECT e.src AS a, e.dst AS b FROM both_ways e JOIN {START} s ON e.src = s.cas), two AS (SELECT one.a, one.b, e.dst AS c FROM one JOIN both_ways e ON e.src = one.b AND e.dst <> one.a)
-        SELECT concat(a, '>', b) AS path FROM one UNION ALL SELECT concat(a, '>', b, '>', c) FROM two""",
-    "k_hop": f"SELECT DISTINCT e.src, e.dst FROM both_ways e WHERE e.src IN (SELECT cas FROM {START} s UNION SELECT x.dst FROM both_ways x JOIN {START} s ON x.src = s.cas)",
     "by_hazard_flag": "SELECT cas FROM hazards WHERE JSON_STRING(hazard_flags, '$.flammable') = 'true'",
     "similar_ghs": "SELECT c.cas, c.hazard_class, s.n - 1 AS n_similar FROM (SELECT DISTINCT cas, hazard_class FROM chem) c JOIN (SELECT hazard_class, count(DISTINCT cas) AS n FROM chem GROUP BY hazard_class) s ON s.hazard_class = c.hazard_class WHERE s.n > 1",
     "hazard_jaccard": """WITH profiled AS (SELECT cas, concat(CASE WHEN flammable THEN 'f' ELSE '' END, CASE WHEN toxic THEN 't' ELSE '' END, CASE WHEN corrosive THEN 'c' ELSE '' END) AS profile FROM hazards),
@@ -22,8 +17,6 @@ QUERIES = {
     "subgraph": "SELECT r.cas_a, r.cas_b, r.rule FROM rules r WHERE r.cas_a IN (SELECT cas FROM hazards WHERE toxic) AND r.cas_b IN (SELECT cas FROM hazards WHERE toxic)",
     "graph_stats": "SELECT n AS nodes, m AS edges, round(2.0E0 * m / n, 6) AS avg_degree, round(m / (n * (n - 1.0E0)), 8) AS density FROM (SELECT count(DISTINCT src) AS n, count(*) AS m FROM both_ways) x",
     "degree_top": "SELECT src AS cas, count(*) AS degree FROM both_ways GROUP BY src ORDER BY degree DESC, cas LIMIT 10",
-    "similarity_degree": "SELECT cas, count(*) AS degree FROM (SELECT cas_a AS cas FROM rules UNION ALL SELECT cas_b FROM rules) x GROUP BY cas",
-    "similarity_hist": "SELECT round(idlh / 250, 1) AS bucket, count(*) AS n FROM hazards GROUP BY 1",
     "similar_scored": """WITH profiled AS (SELECT cas, concat(CAST(flammable AS STRING), CAST(toxic AS STRING), CAST(corrosive AS STRING)) AS profile, CAST(flammable AS INT) + CAST(toxic AS INT) + CAST(corrosive AS INT) AS n FROM hazards),
         given AS (SELECT cas, profile FROM profiled WHERE cas = (SELECT min(cas) FROM profiled WHERE n > 0))
         SELECT p.cas, round(least(0.95E0, 0.7E0 + 0.05E0 * p.n), 6) AS score FROM profiled p JOIN given g ON g.profile = p.profile AND g.cas <> p.cas WHERE least(0.95E0, 0.7E0 + 0.05E0 * p.n) >= 0.7E0 ORDER BY score DESC, cas""",

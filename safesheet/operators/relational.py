@@ -71,18 +71,9 @@ QUERIES = {
         JOIN extractions h ON h.document_id = u.document_id AND h.field_name = 'hazard_class' WHERE u.field_name = 'un_number'""",
     "mixture_hazards": """SELECT i.document_id, t.code, min(i.cas_number) AS cas, round(max(i.concentration_max), 6) AS concentration FROM ingredients i JOIN hazards h ON replace(h.cas, '-', '') = replace(i.cas_number, '-', '') JOIN (VALUES ('H225', 10.0E0), ('H300', 0.1E0), ('H315', 10.0E0)) AS t(code, least_conc)
         ON i.concentration_max >= t.least_conc AND (t.code = 'H225' AND h.flammable OR t.code = 'H300' AND h.toxic OR t.code = 'H315' AND h.corrosive) GROUP BY i.document_id, t.code""",
-    "calc_hazards": """SELECT i.document_id, t.code, count(*) AS n FROM ingredients i JOIN (VALUES ('almond', 'H225', 1.0E0), ('blue', 'H314', 2.0E0), ('a', 'H319', 5.0E0)) AS t(word, code, least_conc) ON lower(i.chemical_name) LIKE concat('%', t.word, '%') AND i.concentration_max >= t.least_conc GROUP BY i.document_id, t.code""",
     "external_validation": """SELECT c.document_id, c.product_name, CASE WHEN n.name IS NOT NULL AND c.cas = h.cas THEN 0.15E0 WHEN h.cas IS NOT NULL THEN 0.08E0 WHEN n.name IS NOT NULL THEN 0.1E0 ELSE 0.0E0 END AS boost FROM chem c LEFT JOIN hazards h ON h.cas = c.cas LEFT JOIN (SELECT DISTINCT name FROM hazards WHERE env_risk) n ON n.name = c.product_name""",
     # the matrix
     "wide_results": "SELECT document_id, filename, status, product_name, cas_number, hazard_class, manufacturer, un_number, packing_group, h_statements, p_statements, incompatibilities, completeness, avg_confidence FROM wide ORDER BY processed_at DESC NULLS LAST, document_id LIMIT 500",
-    "incompat_matrix": """WITH p AS (SELECT document_id, product_name, cas_number, incompatibilities FROM wide WHERE product_name IS NOT NULL ORDER BY processed_at DESC NULLS LAST, document_id LIMIT 500),
-        pair AS (SELECT a.document_id AS id_a, b.document_id AS id_b, a.product_name AS product_a, b.product_name AS product_b, a.cas_number AS cas_1, b.cas_number AS cas_2,
-            lower(a.incompatibilities) LIKE concat('%', lower(b.product_name), '%') AS named FROM p a CROSS JOIN p b)
-        SELECT id_a, id_b, CASE WHEN product_a = product_b THEN 'Self' WHEN r.rule = 'I' THEN 'Incompatible' WHEN r.rule = 'R' THEN 'Restricted' WHEN named THEN 'Incompatible'
-            WHEN coalesce(x.env_risk OR x.idlh <= 50, FALSE) OR coalesce(y.env_risk OR y.idlh <= 50, FALSE) THEN 'Restricted' ELSE 'Compatible' END AS decision
-        FROM pair LEFT JOIN rules r ON r.cas_a = least(cas_1, cas_2) AND r.cas_b = greatest(cas_1, cas_2) LEFT JOIN hazards x ON x.cas = cas_1 LEFT JOIN hazards y ON y.cas = cas_2""",
-    "check_pair": "SELECT max_by(CASE WHEN lower(incompatibilities) LIKE '%water%' THEN 'incompatible' ELSE 'compatible' END, document_id) AS decision, count(*) AS n FROM wide WHERE lower(product_name) LIKE '%a%'",
-    "decision_hash": "SELECT cas_a, cas_b, md5(concat_ws('|', cas_a, cas_b, coalesce(rule, 'None'), source)) AS decision_hash FROM rules",
     # mutations, as the tables that they leave
     "register_new_docs": "SELECT c.id, c.file_hash FROM sds_documents c WHERE NOT EXISTS (SELECT 1 FROM sds_documents k WHERE k.file_hash = c.file_hash AND k.id < c.id)",
     "upsert_latest": "SELECT document_id, field_name, value FROM (SELECT document_id, field_name, value, row_number() OVER (PARTITION BY document_id % 1000, field_name ORDER BY document_id DESC) AS k FROM extractions) x WHERE k = 1",

@@ -34,7 +34,7 @@ def plain(v):
     return "null" if v is None or isinstance(v, float) and math.isnan(v) else f"{v:.6g}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql())[::6])
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql())[::5])
 def test_query_equals_oracle(spark, con, name):
     got = catalog.queries()[name](spark, SF)
     columns = sorted(got.columns)
@@ -45,7 +45,7 @@ def test_query_equals_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert catalog.queries().keys() - catalog.oracle_sql().keys() == {"ml_train"}  # a forest has no SQL
+    assert catalog.queries().keys() - catalog.oracle_sql().keys() == {"ml_train", "chunk_recursive", "hybrid_query", "doc_components"}  # forests, recursive splits and propagation have no SQL
 
 
 def test_rules_hold_every_pair_of_an_order(spark, con):
