@@ -21,15 +21,25 @@ WHOLE, SENTENCE, CHUNK = range(3)
 CHUNK_STEP = np.uint64(4)
 #: Marks that end a sentence; at a unit's end they aren't compared.
 MARKS = ".!?"
-#: Words kept with their codes in a worker.
-STORE = 150_000
+#: Longer words, which a polynomial doesn't tell apart surely, are hashed one by one.
+LONG_WORD = 256
 _SPACE = np.zeros(12289, dtype=bool)
 _SPACE[[k for k in range(12289) if chr(k).isspace()]] = True
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _powers = np.ones((2, 1), dtype=np.uint64)
 _inverse = np.ones((2, 1), dtype=np.uint64)
-_known: dict[str, int] = {}
-_codes = np.zeros((6, 1024), dtype=np.uint64)
+#: Texts worked on at once have about so many characters.
+PART = 200_000
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_CHARS = _mix(np.arange(1, 65537, dtype=np.uint64))
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,90 +57,94 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
-def _word_columns(words: list[str]) -> np.ndarray:
-    """For each lower-case word: two codes, the two of it without closing marks (0 if nothing is left), whether it ends with one, whether it is marks only."""
-    global _codes
-    get = _known.get
-    found = [get(w) for w in words]
-    if None in found:
-        if len(_known) > STORE:
-            _known.clear()
-            found = [None] * len(words)
-        for k, w in enumerate(words):
-            if found[k] is None and (at := get(w)) is not None:
-                found[k] = at
-            elif found[k] is None:
-                at = found[k] = _known[w] = len(_known)
-                if at >= _codes.shape[1]:
-                    _codes = np.concatenate([_codes, np.zeros_like(_codes)], axis=1)
-                bare = w.rstrip(MARKS)
-                whole, rest = (xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in (w, bare))
-                _codes[:2, at] = np.frombuffer(whole, dtype=np.uint64)
-                _codes[2:4, at] = np.frombuffer(rest, dtype=np.uint64) if bare else 0
-                _codes[4:, at] = len(bare) < len(w), not bare
-    return _codes[:, np.array(found, dtype=np.int64)]
-
-
-def _forget() -> None:
-    """Empties the store, at a task's end."""
-    global _codes
-    _known.clear()
-    _codes = np.zeros((6, 1024), dtype=np.uint64)
-    tidy()
-
-
-def word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chars(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def word_places(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, runs of anything but white space, and places of the line ends."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     space = _SPACE[np.minimum(chars, 12288)] & (chars <= 12288)
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     return np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0], np.nonzero(chars == 10)[0]
 
 
+def word_codes(chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two codes of each word, two of it without closing marks (0 if nothing is left), whether it ends with one, whether it is marks only.
+
+    A code is a polynomial of the characters' values, all words' at once by differences of running sums, spread over 64 bits."""
+    n = len(chars)
+    values = _CHARS[np.minimum(chars, 65535)]
+    rare = np.nonzero(chars >= 65535)[0]
+    values[rare] = _mix(chars[rare].astype(np.uint64) + np.uint64(1))
+    powers, inverse = _power_tables(n + 1)
+    sums = np.zeros((2, n + 1), dtype=np.uint64)
+    np.cumsum(values * powers[:, :n], axis=1, out=sums[:, 1:])
+    unmarked = np.ones(n, dtype=bool)
+    for m in MARKS:
+        unmarked &= chars != ord(m)
+    stop = np.maximum(np.maximum.accumulate(np.where(unmarked, np.arange(n), -1))[end - 1] + 1, start)
+    code, bare = (_mix((sums[:, z] - sums[:, start]) * inverse[:, start] + (z - start).astype(np.uint64)) for z in (end, stop))
+    for k in np.nonzero(end - start > LONG_WORD)[0].tolist():
+        for own, z in ((code, end[k]), (bare, stop[k])):
+            own[:, k] = np.frombuffer(xxhash.xxh3_128_digest(chars[start[k] : z].tobytes()), dtype=np.uint64)
+    only = stop == start
+    bare[:, only] = 0
+    return code, bare, stop < end, only
+
+
 def _spans(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word and word after of the stretches that begin at the marked words."""
     first = np.nonzero(cuts)[0]
     return first, np.append(first[1:], len(cuts))
 
 
-def all_units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Arrays start, end, first word, word after, kind, digest (two rows) of the units of a text, in order of their start, larger ones first.
+def all_units(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Arrays text, start, end, first word, word after, kind, again, digest (two rows) of the units of some texts, in order of text and start, larger ones first.
 
     Whole units are each line that isn't blank, each paragraph (between blank lines) of several lines, and the text if it has
     several paragraphs. Sentences end with a line or with a word that ends in MARKS; one that is its line is that line only.
     Chunks are words between two places that four words around decide on, so that a passage has the same ones in any
     text. A digest is a polynomial in 128 bits of the words in lower case, without the MARKS at the unit's end unless there is nothing
-    else; chunks keep them and never equal other units. So units are equal whatever blanks and line ends part their words.
+    else; chunks keep them and never equal other units. So units are equal whatever blanks and line ends part their words. Words
+    and characters are counted inside each text; ``again`` says that the text has an equal unit before.
     """
-    start, end, breaks = word_places(text)
+    whole_text = "\n".join(texts)
+    offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    chars = _chars(whole_text)
+    start, end, breaks = word_places(chars)
     n = len(start)
     if not n:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none, np.zeros((2, 0), dtype=np.uint64)
-    words = text.lower().split()
-    if len(words) != n:  # a letter whose lower case has another number of characters can't part words, so this is for safety
-        words = [text[a:b].lower() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-    columns = _word_columns(words)
-    code, bare, marked, only = columns[:2], columns[2:4], columns[4] != 0, columns[5] != 0
+        return none, none, none, none, none, none, none.astype(bool), np.zeros((2, 0), dtype=np.uint64)
+    low = _chars(whole_text.lower())
+    # a letter whose lower case has another number of characters moves the words' places, not their number
+    places = (start, end) if len(low) == len(chars) else word_places(low)[:2]
+    code, bare, marked, only = word_codes(low, *places)
+    of = np.searchsorted(offset, start, side="right") - 1
+    new_text = np.diff(of, prepend=-1) > 0
     line = np.searchsorted(breaks, start)
     step = np.diff(line, prepend=-2)
-    new_line, new_paragraph = step > 0, step > 1
+    new_line, new_paragraph = step > 0, (step > 1) | new_text
     la, lz = _spans(new_line)
     pa_, pz = _spans(new_paragraph)
     several = new_line.cumsum()[pz - 1] > new_line.cumsum()[pa_]
+    ta, tz = _spans(new_text)
+    parted = new_paragraph.cumsum()[tz - 1] > new_paragraph.cumsum()[ta]
     sa, sz = _spans(new_line | np.concatenate([[True], marked[:-1]]))
-    inside = ~((new_line[sa]) & (np.append(new_line, True)[sz]))
+    inside = ~(new_line[sa] & np.append(new_line, True)[sz])
     inside &= ~only[sa] | (sz - sa > 1)  # marks alone are no sentence
     raw = np.zeros(n, dtype=bool)
     raw[1:] = (code[0, :-1] * _BASES[0] + code[0, 1:] * _BASES[1]) >> np.uint64(32) & (CHUNK_STEP - np.uint64(1)) == 0
+    raw &= ~new_text
     clear = raw.copy()
-    clear[1:] &= ~raw[:-1]
-    clear[2:] &= ~raw[:-2]
+    clear[1:] &= ~raw[:-1]  # the first word of a text is never raw, so only the word after it could see the text before
+    clear[2:] &= ~raw[:-2] | new_text[1:-1]
     cuts = np.nonzero(clear)[0]
-    first = np.concatenate([la, pa_[several], [0] if len(pa_) > 1 else [], sa[inside], cuts[:-1]]).astype(np.int64)
-    after = np.concatenate([lz, pz[several], [n] if len(pa_) > 1 else [], sz[inside], cuts[1:]]).astype(np.int64)
-    n_whole, n_sentence = len(la) + int(several.sum()) + (len(pa_) > 1), int(inside.sum())
-    kind = np.repeat([WHOLE, SENTENCE, CHUNK], [n_whole, n_sentence, max(0, len(cuts) - 1)])
+    ca, cz = cuts[:-1], cuts[1:]
+    same = of[ca] == of[cz]
+    ca, cz = ca[same], cz[same]
+    first, after = np.concatenate([la, pa_[several], ta[parted], sa[inside], ca]), np.concatenate([lz, pz[several], tz[parted], sz[inside], cz])
+    kind = np.repeat([WHOLE, SENTENCE, CHUNK], [len(la) + int(several.sum()) + int(parted.sum()), int(inside.sum()), len(ca)])
     powers, inverse = _power_tables(n + 1)
     sums = np.zeros((2, n + 1), dtype=np.uint64)
     np.cumsum(code * powers[:, :n], axis=1, out=sums[:, 1:])
@@ -143,11 +157,19 @@ def all_units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     digest ^= np.where(whole, np.uint64(0), np.uint64(0xA5A5A5A55A5A5A5A))
     a, z = start[first], end[last]
     lines = np.arange(len(first)) < len(la)  # a line goes with the blanks around its words
-    edges = np.concatenate([[-1], breaks, [len(text)]])
+    edges = np.concatenate([[-1], breaks, [len(whole_text)]])
     a = np.where(lines, edges[np.minimum(line[first], len(edges) - 2)] + 1, a)
     z = np.where(lines, edges[np.minimum(line[last] + 1, len(edges) - 1)], z)
+    owner = of[first]
     order = np.lexsort((kind, -z, a))
-    return a[order], z[order], first[order], after[order], kind[order], digest[:, order]
+    owner, digest = owner[order], digest[:, order]
+    mixed = digest[0] ^ digest[1] * _BASES[0]
+    by = np.lexsort((mixed, owner))  # stable: equal units of a text come in their order
+    again = np.zeros(len(by), dtype=bool)
+    again[by[1:]] = (mixed[by[1:]] == mixed[by[:-1]]) & (owner[by[1:]] == owner[by[:-1]])
+    base = np.nonzero(new_text)[0][np.cumsum(new_text) - 1]
+    first, after = first[order], after[order]
+    return owner, a[order] - offset[owner], z[order] - offset[owner], first - base[first], after - base[first], kind[order], again, digest
 
 
 def _rank(docs: DataFrame) -> Column:
@@ -165,26 +187,22 @@ def _all_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, owner, size = [], [], 0
-            for k, text in enumerate(b.column("text").to_pylist()):
-                start, end, first, after, kind, digest = all_units(text)
-                _, earliest, which = np.unique(digest[0] ^ digest[1] * _BASES[0], return_index=True, return_inverse=True)
-                again = earliest[which] != np.arange(len(which))
-                found.append((start, end, first, after, kind, again, digest[0].view(np.int64), digest[1].view(np.int64)))
-                owner.append((k, len(start)))
-                size += len(start)
-                if size > 50_000:
-                    yield batch(b, found, owner)
-                    found, owner, size = [], [], 0
-            if found:
-                yield batch(b, found, owner)
-        _forget()
-
-    def batch(b: pa.RecordBatch, found: list[tuple], owner: list[tuple[int, int]]) -> pa.RecordBatch:
-        of = pa.array(np.repeat([k for k, _ in owner], [n for _, n in owner]), pa.int64())
-        kinds = [*[pa.int32()] * 5, pa.bool_(), pa.int64(), pa.int64()]
-        columns = [pa.array(np.concatenate(c), t, safe=False) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([b.column("rank").take(of), b.column("row").take(of), *columns], ["rank", "row", *names])
+            texts = b.column("text").to_pylist()
+            part: list[str] = []
+            size = 0
+            for k, text in enumerate(texts):
+                part.append(text)
+                size += len(text)
+                if size > PART or k == len(texts) - 1:
+                    yield batch(b, part, k + 1 - len(part))
+                    part, size = [], 0
+        tidy()
+
+    def batch(b: pa.RecordBatch, part: list[str], begin: int) -> pa.RecordBatch:
+        owner, *found, digest = all_units(part)
+        of = pa.array(owner + begin, pa.int64())
+        columns = [pa.array(c, t, safe=False) for c, t in zip(found, [*[pa.int32()] * 5, pa.bool_()], strict=True)]
+        return pa.RecordBatch.from_arrays([b.column("rank").take(of), b.column("row").take(of), *columns, *(pa.array(h.view(np.int64)) for h in digest)], ["rank", "row", *names])
 
     rows = docs.filter("text is not null").select(_rank(docs).alias("rank"), F.xxhash64("text").alias("row"), "text")
     schema = f"rank {rows.schema['rank'].dataType.simpleString()}, row long, start int, end int, w0 int, w1 int, kind int, again boolean, h1 long, h2 long"

@@ -489,6 +489,16 @@ def test_intersections():
 # 4
 
 
+def mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+    return x ^ x >> 31
+
+
+def word_code(word):
+    return mix((sum(mix(ord(c) + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(word)) + len(word)) % (1 << 64))
+
+
 def brute_units(text):
     """(first word, word after, kind, normalised) of each unit, from the text's words; larger ones first at each place."""
     words = [(m.start(), m.group().lower()) for m in re.finditer(r"\S+", text)]
@@ -514,7 +524,7 @@ def brute_units(text):
     for i, j in starts(lambda k: line[k] > line[k - 1] or words[k - 1][1][-1] in ".!?"):
         if (i, j) not in lines and (j - i > 1 or words[i][1].strip(".!?")):
             add(i, j, "sentence")
-    low = [int.from_bytes(xxhash.xxh3_128_digest(w)[:8], "little") for _, w in words]
+    low = [word_code(w) for _, w in words]
     raw = [k > 0 and ((low[k - 1] * 0x9E3779B97F4A7C15 + low[k] * 0xD6E8FEB86659FD93) % (1 << 64) >> 32) % 4 == 0 for k in range(n)]
     cuts = [k for k in range(n) if raw[k] and not any(raw[max(0, k - 2) : k])]
     for i, j in zip(cuts, cuts[1:], strict=False):
@@ -556,19 +566,28 @@ def row_digest(text):
 
 def test_substring_units_match_brute_force():
     rng = random.Random(14)
-    pieces = ["word", "Word.", "two", "three!", "...", "?", "\n", "\n\n", " \n \n", "ä", "İx", "漢字.", "3.5", "a.b", "end?!", "\u00a0", "\x1c", "\t"]
-    for _ in range(300):
-        text = " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 40)))
-        start, end, first, after, kind, digest = substring_dedup.all_units(text)
+    pieces = ["word", "Word.", "two", "three!", "...", "?", "\n", "\n\n", " \n \n", "ä", "İx", "漢字.", "3.5", "a.b", "end?!", "\u00a0", "\x1c", "\t", "🙂.", "\uffff"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    of, *whole, digests = substring_dedup.all_units(texts)
+    keys = defaultdict(set)
+    assert len(substring_dedup.all_units([""])[0]) == 0 == len(substring_dedup.all_units([])[0])
+    for k, text in enumerate(texts):
+        start, end, first, after, kind, again = (c[of == k] for c in whole)
+        digest = digests[:, of == k]
         expect = brute_units(text)
         names = {"chunk": substring_dedup.CHUNK, "sentence": substring_dedup.SENTENCE}
         assert sorted(zip(first.tolist(), after.tolist(), kind.tolist(), strict=True)) == sorted((i, j, names.get(k, substring_dedup.WHOLE)) for i, j, k, _ in expect), text
-        keys = defaultdict(set)
+        low = [w.lower() for w in text.split()]
         norms = {(i, j, names.get(k, substring_dedup.WHOLE)): norm for i, j, k, norm in expect}
         for a, z, i, j, k, h1, h2 in zip(start.tolist(), end.tolist(), first.tolist(), after.tolist(), kind.tolist(), *digest.tolist(), strict=True):
             assert text[a:z].split() == text.split()[i:j]
             keys[norms[i, j, k]].add((h1, h2))
-        assert all(len(v) == 1 for v in keys.values()) and len(set(map(tuple, keys.values()))) == len(keys)
+            assert text.lower().split()[i:j] == low[i:j]
+        seen = [norms[x] for x in zip(first.tolist(), after.tolist(), kind.tolist(), strict=True)]
+        assert again.tolist() == [x in seen[:m] for m, x in enumerate(seen)]
+    assert all(len(v) == 1 for v in keys.values()) and len(set(map(tuple, keys.values()))) == len(keys)
+    long = ["z" * 400, "Z" * 400 + ".", "y" * 400]
+    assert len({tuple(h) for h in substring_dedup.all_units(long)[-1].T.tolist()}) == 2
 
 
 def test_substring_dedup_of_repeated_rows_ids_and_nulls(spark):
