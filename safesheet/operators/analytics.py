@@ -52,9 +52,5 @@ QUERIES = {
     "extraction_list": """SELECT id, filename FROM (SELECT id, filename, row_number() OVER (PARTITION BY filename, file_size_bytes ORDER BY id) AS j FROM (SELECT id, filename, file_size_bytes, row_number() OVER (PARTITION BY file_hash ORDER BY id) AS k FROM sds_documents) x WHERE k = 1) y WHERE j = 1""",
     "dedupe_plan": "SELECT d.id, CASE WHEN h.first_id < d.id THEN 'hash' WHEN d.status = 'success' THEN 'processed' ELSE 'new' END AS skip_reason FROM sds_documents d JOIN (SELECT file_hash, min(id) AS first_id FROM sds_documents GROUP BY file_hash) h ON h.file_hash = d.file_hash",
     "ingest_blobs": "SELECT content_hash, min(id) AS id, max(chunk_count) AS chunks FROM rag_documents WHERE length(trim(text)) > 40 GROUP BY content_hash",
-    "ingest_rules_outcomes": """SELECT CASE WHEN bad THEN 'invalid_json' WHEN cas_b IS NULL THEN 'missing_fields' WHEN k > 1 THEN 'duplicate_hash' ELSE 'processed' END AS outcome, count(*) AS n FROM (SELECT event_id % 13 = 0 AS bad, CASE WHEN event_id % 7 = 0 THEN NULL ELSE props END AS cas_b,
-        row_number() OVER (PARTITION BY md5(concat(event_type, props)) ORDER BY event_id) AS k FROM events) x GROUP BY 1""",
-    "ingest_hazards_outcomes": """SELECT CASE WHEN bad THEN 'invalid_json' WHEN cas IS NULL THEN 'missing_cas' WHEN k > 1 THEN 'duplicate_hash' ELSE 'processed' END AS outcome, count(*) AS n FROM (SELECT event_id % 11 = 0 AS bad, CASE WHEN event_id % 9 = 0 THEN NULL ELSE props END AS cas,
-        row_number() OVER (PARTITION BY md5(concat(event_type, props)) ORDER BY event_id) AS k FROM events) x GROUP BY 1""",
     "ingest_snapshot": """SELECT CASE WHEN html IS NULL OR trim(html) = '' THEN 'blank' WHEN NOT MATCHES(url, '^https?://') THEN 'invalid' ELSE 'processed' END AS outcome, count(*) AS n, CAST(sum(ceil(coalesce(length(html), 0) / 800.0E0)) AS BIGINT) AS chunks FROM pages GROUP BY 1""",
 }

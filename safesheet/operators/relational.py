@@ -16,8 +16,6 @@ QUERIES = {
     "manufacturers": f"SELECT DISTINCT trim(value) AS name FROM extractions WHERE field_name = 'manufacturer' AND {FOUND} ORDER BY name",
     "recent_decisions": "SELECT id, filename, CAST(processed_at AS STRING) AS processed_at FROM sds_documents WHERE processed_at > DATE '2024-07-01' - INTERVAL '7' DAY",
     "hash_exists": "SELECT id FROM sds_documents WHERE file_hash IN (SELECT file_hash FROM sds_documents WHERE status = 'failed')",
-    "domain_allowed": """SELECT page_id, host FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages) p JOIN (VALUES ('example.com'), ('therin.example.net')) AS a(allowed)
-        ON host = allowed OR host LIKE concat('%.', allowed)""",
     "ingredients_ordered": "SELECT document_id, cas_number, line_no, round(concentration_max, 6) AS concentration_max, confidence FROM ingredients ORDER BY document_id, confidence DESC NULLS LAST, cas_number, line_no",
     "packet_files": "SELECT d.filename, c.cas FROM sds_documents d JOIN chem c ON c.document_id = d.id WHERE replace(c.cas, '-', '') LIKE '12%'",
     "danger_report": "SELECT document_id AS codigo, product_name AS produto, cas_number AS numero_cas, hazard_class AS classe_de_perigo, completeness AS completude FROM wide WHERE is_dangerous ORDER BY codigo",

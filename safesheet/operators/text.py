@@ -27,7 +27,6 @@ QUERIES = {
     "page_fields": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang FROM pages",
     "few_shot_prompt": "SELECT conv_id, turn, concat_ws(': ', role, text) AS line FROM conversations",
     "concentration": "SELECT document_id, cas_number, line_no, round(least(concentration_min, concentration_max), 6) AS low, round(greatest(concentration_min, concentration_max), 6) AS high FROM ingredients",
-    "ml_features": "SELECT document_id, field_name, length(value) AS n_chars, CAST(MATCHES(value, '[0-9]') AS INT) AS has_digit, CAST(value = upper(value) AS INT) AS is_upper, confidence FROM extractions WHERE value IS NOT NULL",
     # text nodes of a page, one a line; entities stay as they are
     "html_to_text": "SELECT page_id, REPLACE_ALL(REPLACE_ALL(REPLACE_ALL(REPLACE_ALL(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ''), '<[^>]*>', chr(10)), '[ \t\r\n]*\n[ \t\r\n]*', chr(10)), '^[ \t\r\n]+|[ \t\r\n]+$', '') AS text FROM pages",
     "composition": """SELECT document_id, line_no, l_orderkey, regexp_extract(line, '[0-9]{2,7}-[0-9]{2}-[0-9]', 0) AS cas, regexp_extract(line, '([0-9]+) ?%', 1) AS percent, trim(REPLACE_ALL(line, '[0-9]{2,7}-[0-9]{2}-[0-9]|[0-9]+ ?%|[;,]', '')) AS name FROM (

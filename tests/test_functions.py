@@ -343,3 +343,65 @@ def test_harvest_records_and_state(spark):
     kind = "key string, value string, updated_at int"
     state = exports.put_state(spark.createDataFrame([("a", "1", 5), ("b", "2", 9)], kind), spark.createDataFrame([("a", "3", 1), ("a", "4", 2), ("c", "5", 1)], kind))
     assert sorted(tuple(r) for r in state.collect()) == [("a", "4", 2), ("b", "2", 9), ("c", "5", 1)]
+
+
+# sources, streams, logs
+
+
+def test_lines_with_known_files_and_pages(spark, tmp_path):
+    from safesheet.sources import jsonl
+
+    rule = json.dumps({"cas_a": "1", "cas_b": "2", "rule": "I"})
+    (tmp_path / "a.jsonl").write_text(f"{rule}\n{{oops\n{rule}\n" + json.dumps({"cas_a": "1", "cas_b": "2", "rule": "R", "content_hash": "h"}) + "\n" + json.dumps({"cas_a": "9", "cas_b": "2", "rule": "R", "content_hash": "h"}) + "\n" + json.dumps({"cas_a": "1", "rule": "I"}))
+    outcomes = lambda df: {r["outcome"]: r["count"] for r in df.groupBy("outcome").count().collect()}
+    path = str(tmp_path / "a.jsonl")
+    assert outcomes(jsonl.read_rules(spark, path)) == {"processed": 2, "invalid_json": 1, "duplicate_hash": 2, "missing_fields": 1}
+    known = jsonl.snapshots(spark, path)
+    assert outcomes(jsonl.read_rules(spark, path, known)) == {"snapshot_exists": 1} and outcomes(jsonl.read_rules(spark, path, known.limit(0))) == outcomes(jsonl.read_rules(spark, path))
+    pages = [{"url": "https://a.Example.com/x", "raw_text": "t"}, {"source": "evil-example.com/x", "content": "c"}, {"url": "example.com", "title": "n", "raw_text": "", "content": "d"}, {"url": "http://b.org"}, {"content": "no url"}]
+    (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, pages)) + "\n[")
+    got = sorted((str(r["url"]), str(r["text"]), r["outcome"]) for r in jsonl.read_pages(spark, str(tmp_path / "p.jsonl"), ["example.com"]).collect())
+    assert got == sorted([("https://a.Example.com/x", "t", "processed"), ("evil-example.com/x", "c", "not_whitelisted"), ("example.com", "d", "processed"), ("None", "no url", "processed"), ("None", "None", "invalid_json")])
+
+
+def test_files_are_taken_once(spark, tmp_path):
+    from safesheet.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one")
+    (tmp_path / "in" / "b.txt").write_text("two")
+    work, checkpoint = ingest.append_once(str(tmp_path / "out")), str(tmp_path / "state")
+    for expect, extra in ((["a.txt", "b.txt"], None), (["a.txt", "b.txt", "c.txt"], ("c.txt", "three")), (["a.txt", "b.txt", "c.txt"], ("d.txt", "one"))):
+        if extra:
+            (tmp_path / "in" / extra[0]).write_text(extra[1])
+        q = ingest.run(ingest.new_files(spark, str(tmp_path / "in")), work, checkpoint)
+        assert q.awaitTermination(180)
+        assert sorted(r["path"].rsplit("/", 1)[1] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == expect
+    batch = spark.createDataFrame([("x",)], "path string")
+    work(batch, 99)
+    work(batch, 99)
+    assert spark.read.parquet(str(tmp_path / "out" / "batch=99")).count() == 1
+
+
+def test_rows_since_a_mark(spark):
+    from safesheet.streaming import ingest
+
+    rows = spark.createDataFrame([(k, k * 10) for k in range(1, 6)], "id int, indexed_at int")
+    taken, mark = ingest.since(rows, 20, 2)
+    assert [r["id"] for r in taken.collect()] == [5, 4] and mark.first()["mark"] == 50
+    taken, mark = ingest.since(rows, 50)
+    assert taken.count() == 0 and mark.first()["mark"] == 50
+
+
+def test_logs_and_durations(spark):
+    from safesheet.functions import logs
+
+    lines = ["Processing letter 'B'", "Processing letter 'A'", "Processing letter 'A'", "Found 443 unique chemicals for letter 'A'", "Found x chemicals for letter 'B'", "Ingested: a (1, 3 chunks)", "Ingested: b", "Failed to scrape c", ""]
+    got = logs.log_stats(spark.createDataFrame([(x,) for x in lines], "line string")).first()
+    assert tuple(got) == (443, 1, 1, ["A", "B"])
+    cases = [(0, 10, 5, "unknown"), (5, 10, 10, "10s"), (1, 100, 60, "1h 39m"), (1, 10, 60, "9m"), (3, 10, 0, "0s")]
+    df = spark.createDataFrame(cases, "p int, t int, e int, x string")
+    assert [r["d"] for r in df.select(logs.time_left(F.col("p"), F.col("t"), F.col("e")).alias("d")).collect()] == [x for *_, x in cases]
+    assert spark.range(1).select(logs.progress(F.lit(1), F.lit(4), 8)).first()[0] == "██░░░░░░ 25.0%" and spark.range(1).select(logs.progress(F.lit(1), F.lit(0))).first()[0] == "N/A"
+    ranks = logs.ranked_results(spark.createDataFrame([(1, [7, 8], [0, 3], 0.5), (2, [], [], None), (3, [9], [1, 2], 0.1)], "query_id int, document_ids array<int>, chunks array<int>, top_score double"))
+    assert sorted(tuple(r) for r in ranks.collect()) == [(1, 7, 0, 0.5, 1), (1, 8, 3, None, 2), (3, 9, 1, 0.1, 1)]
