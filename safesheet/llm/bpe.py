@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_ready, tidy
+from .common import caches, keep, python_ready, tidy
 
 #: Larger than any (rank, position) key.
 NONE = np.int64(1) << 62
@@ -30,21 +30,31 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def bytes_by_id(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values()) + 1)
+    for b, r in ranks.items():
+        out[r] = b
+    return out
+
+
+def join_ids(bytes_of: list[bytes], ids: bytes) -> bytes:
+    """The bytes that ids (little-endian unsigned 32-bit integers) stand for."""
+    return b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
 class Codec:
     """Encodes pieces by the ranks and decodes ids. The rank of two neighbours is that of their joined bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for b, r in ranks.items():
-            self.bytes_of[r] = b
+        self.bytes_of = bytes_by_id(ranks)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.base = np.int64(len(self.bytes_of))
         pairs = {ranks[b[:k]] * int(self.base) + ranks[b[k:]]: r for b, r in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks}
-        self.pair_rank = pairs
-        keys = sorted(pairs)
-        self.pair_keys = np.array(keys or [-1], dtype=np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in keys] or [0], dtype=np.int64)
+        self.pair_keys = np.fromiter(pairs.keys() if pairs else [-1], dtype=np.int64)
+        self.pair_ranks = np.fromiter(pairs.values() if pairs else [0], dtype=np.int64)
+        order = np.argsort(self.pair_keys)
+        self.pair_keys, self.pair_ranks = self.pair_keys[order], self.pair_ranks[order]
         self.store: dict[str, bytes] = {}
 
     def _pair_ids(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -61,10 +71,10 @@ class Codec:
         if n < 2:
             return ids
         size = 1 << (n - 2).bit_length() if n > 2 else 1
-        none, base, rank_of = (1 << 62, 0), int(self.base), self.pair_rank
+        none, bytes_of, ranks = (1 << 62, 0), self.bytes_of, self.ranks
         tree = [none] * (2 * size)
         for i in range(n - 1):
-            r = rank_of.get(ids[i] * base + ids[i + 1])
+            r = ranks.get(bytes_of[ids[i]] + bytes_of[ids[i + 1]])
             if r is not None:
                 tree[size + i] = (r, i)
         for i in range(size - 1, 0, -1):
@@ -82,7 +92,7 @@ class Codec:
                 tree[i] = least
 
         def pair(i: int, j: int) -> tuple[int, int]:
-            r = rank_of.get(ids[i] * base + ids[j])
+            r = ranks.get(bytes_of[ids[i]] + bytes_of[ids[j]])
             return none if r is None else (r, i)
 
         while tree[1] != none:
@@ -200,10 +210,11 @@ class Codec:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return join_ids(self.bytes_of, ids)
 
 
 _codecs: dict[str, Codec] = {}
+caches["bpe"] = _codecs.clear
 
 
 def digest(ranks: dict[bytes, int], pattern: str) -> str:
@@ -228,38 +239,50 @@ def _shared(spark: SparkSession, vocabulary: str, pattern: str):
     return spark.sparkContext.broadcast((digest(ranks, pattern), ranks, pattern))
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) for each row of ``docs`` (doc_id, text); ids is binary: little-endian unsigned 32-bit integers.
-
-    Each match of ``pattern`` is encoded separately, without special tokens. Null text counts as empty (no ids). Repeated
-    rows each get their row; an empty table gives none. Nothing is shuffled. The vocabulary file is read on the driver; its ranks, which don't
-    grow with the data, are sent to the workers. A worker keeps the ids of at most STORE pieces.
-    """
+def _encoded(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool) -> DataFrame:
     spark = docs.sparkSession
     python_ready(spark)
     shared = _shared(spark, vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("bpe")
         codec = _codec(shared)
         for b in batches:
             ids = codec.encode([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            columns = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            back = [pa.array([codec.decode(x) for x in ids], pa.binary())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*columns, *back], ["doc_id", "n_tokens", "ids", "decoded"][: 3 + len(back)])
         tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
+
 
+def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) for each row of ``docs`` (doc_id, text); ids is binary: little-endian unsigned 32-bit integers.
+
+    Each match of ``pattern`` is encoded separately, without special tokens. Null text counts as empty (no ids). Repeated
+    rows each get their row; an empty table gives none. Nothing is shuffled. The vocabulary file is read on the driver; its ranks, which don't
+    grow with the data, are sent to the workers. A worker keeps the ids of at most STORE pieces.
+    """
+    return _encoded(docs, vocabulary, pattern, False)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): ``decode`` of ``encode``, in one worker with one copy of the vocabulary."""
+    return _encoded(docs, vocabulary, pattern, True)
 
-def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+
+def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) for each row of ``encode``'s result; decoded is binary. Null ids count as none."""
     spark = encoded.sparkSession
     python_ready(spark)
-    shared = _shared(spark, vocabulary, pattern)
+    shared = spark.sparkContext.broadcast(bytes_by_id(read_ranks(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        bytes_of = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([codec.decode(x or b"") for x in b.column("ids").to_pylist()], pa.binary())], [*b.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([join_ids(bytes_of, x or b"") for x in b.column("ids").to_pylist()], pa.binary())], [*b.schema.names, "decoded"])
         tidy()
 
     kind = encoded.schema["doc_id"].dataType.simpleString()

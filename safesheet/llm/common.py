@@ -7,6 +7,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
 
@@ -79,6 +80,17 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(right, on, how).drop(*other.values())
 
 
+#: What empties each operator's store in a Python worker, by the operator's name.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def keep(name: str) -> None:
+    """At a task's start in a worker that other operators used before: empties their stores."""
+    for other, clear in caches.items():
+        if other != name:
+            clear()
+
+
 def tidy() -> None:
     """At a task's end, in a Python worker that later tasks use too: gives unused memory back to the system."""
     import ctypes

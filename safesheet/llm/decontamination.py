@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, python_ready, row_key, tidy, without, written
+from .common import ROW, keep, python_ready, row_key, tidy, without, written
 from .shingles import window_hashes
 
 #: Tokens of a window; a shorter item is one window. A document holds an item when windows cover MIN_TOKENS of its
@@ -258,6 +258,7 @@ def document_windows(docs: DataFrame, words: np.ndarray, shapes: list[tuple[int,
     fields = [*_WINDOW, ("start", pa.int32()), ("end", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("decontamination")
         words, tokens = shared.value, _tokens
         for b in batches:
             texts, rows, owner = b.column("text").to_pylist(), [], []

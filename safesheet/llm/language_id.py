@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, python_ready, tidy
+from .common import fold, keep, python_ready, tidy
 
 #: Training documents of a language (about), passages taken of each, and characters of a passage.
 MAX_DOCS, PASSAGES, PASSAGE = 1500, 4, 400
@@ -164,6 +164,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("language_id")
         model = shared.value
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()

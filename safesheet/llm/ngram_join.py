@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, drop, likely, python_ready, row_key, tidy, without, written
+from .common import ROW, drop, likely, keep, python_ready, row_key, tidy, without, written
 from .shingles import forget, shingle_set
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -61,6 +61,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("ngram_join")
         perms = _permutations(bands * rows)
         for b in batches:
             keys, sizes, found = [], [], []

@@ -59,9 +59,18 @@ def _norm(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(host, doc_id, h1, h2, w): digests and word count of every line with a word; normalised: lower case, single spaces."""
-    rows = docs.select(F.col("source").alias("host"), "doc_id", F.explode(F.transform(F.split("text", "\n", -1), _norm)).alias("line")).filter("line != ''")
-    return rows.select("host", "doc_id", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), F.size(F.split("line", " ", -1)).alias("w"))
+    """(host, doc_id, t1, t2, pos, h1, h2, w): digests of the text, place, digests and word count of every line with a word; normalised: lower case, single spaces."""
+    lines = F.posexplode(F.transform(F.split("text", "\n", -1), _norm)).alias("pos", "line")
+    rows = docs.select(F.col("source").alias("host"), "doc_id", *_text_key(), lines).filter("line != ''")
+    return rows.select("host", "doc_id", "t1", "t2", "pos", *_digests(F.col("line")), F.size(F.split("line", " ", -1)).alias("w"))
+
+
+def _text_key() -> list[Column]:
+    return [F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2")]
+
+
+def _digests(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2")]
 
 
 def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -73,16 +82,6 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     return join_null_safe(counts, totals, ["host"]).filter(F.col("n_docs") > max_share * F.col("host_docs")).drop("host_docs")
 
 
-def _digests(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2"))
-
-
-def _held(docs: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """(host, doc_id, out): digests of the lines over the limits that the rows of an id and host have."""
-    listed = written(frequent_lines(docs, max_docs, max_share).select("host", "h1", "h2"), "frequent-lines")
-    return join_null_safe(_lines(docs), listed, ["host", "h1", "h2"]).groupBy("host", "doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("out"))
-
-
 def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, max_lost: float = MAX_LOST) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, source, text): doc_id, the five measures, n_lost_words, base_failed, kept.
 
@@ -91,19 +90,21 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float =
     up one host. Documents are told apart by doc_id: repeated rows count once in line frequencies; each gets its row, with
     the words lost of its own text. Null text counts as empty; an empty table gives none.
     """
-    rows = docs.select("doc_id", F.col("source").alias("host"), "text")
-    rows = join_null_safe(rows, _held(docs, max_docs, max_share), ["host", "doc_id"], "left")
-    gone = F.filter(F.transform(F.split("text", "\n", -1), _norm), lambda x: (x != "") & F.array_contains(F.col("out"), _digests(x)))
-    lost = F.when(F.col("out").isNull(), 0).otherwise(F.coalesce(F.aggregate(gone, F.lit(0), lambda n, x: n + F.size(F.split(x, " ", -1))), F.lit(0)))
-    rows = rows.select("doc_id", base_measures(F.col("text")).alias("m"), lost.cast("long").alias("n_lost_words")).select("doc_id", "m.*", "n_lost_words")
+    listed = written(frequent_lines(docs, max_docs, max_share).select("host", "h1", "h2"), "frequent-lines")
+    own = ["host", "doc_id", "t1", "t2"]
+    lost = join_null_safe(_lines(docs), listed, ["host", "h1", "h2"]).dropDuplicates([*own, "pos"]).groupBy(*own).agg(F.sum("w").alias("n_lost_words"))
+    rows = docs.select("doc_id", F.col("source").alias("host"), *_text_key(), base_measures(F.col("text")).alias("m")).select(*own, "m.*")
+    rows = join_null_safe(rows, lost, own, "left").drop("host", "t1", "t2").withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)).cast("long"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= max_lost * F.col("n_words")))
 
 
 def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """``docs`` with the lines over the limits of their host taken out of ``text``; null text stays null, no row goes."""
+    listed = written(frequent_lines(docs, max_docs, max_share).select("host", "h1", "h2"), "frequent-lines")
+    held = join_null_safe(_lines(docs), listed, ["host", "h1", "h2"]).groupBy("host", "doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("out"))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("source").alias("host"), "doc_id")
-    rows = join_null_safe(rows, _held(docs, max_docs, max_share), ["host", "doc_id"], "left")
-    left = F.filter(F.split("row.text", "\n", -1), lambda x: ~F.array_contains(F.col("out"), _digests(_norm(x))))
+    rows = join_null_safe(rows, held, ["host", "doc_id"], "left")
+    left = F.filter(F.split("row.text", "\n", -1), lambda x: ~F.array_contains(F.col("out"), F.struct(*_digests(_norm(x)))))
     text = F.when(F.col("out").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
     return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

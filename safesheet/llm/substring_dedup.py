@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import join_null_safe, likely, python_ready, tidy, written
+from .common import join_null_safe, likely, keep, python_ready, tidy, written
 
 #: A run of repeated sentences and chunks goes if it has this many words; a repeated line, paragraph or document goes whatever its length.
 MIN_WORDS = 25
@@ -186,6 +186,7 @@ def _all_rows(docs: DataFrame) -> DataFrame:
     names = ["start", "end", "w0", "w1", "kind", "again", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("substring_dedup")
         for b in batches:
             texts = b.column("text").to_pylist()
             part: list[str] = []

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import python_ready, tidy
+from .common import caches, keep, python_ready, tidy
 
 #: Nodes of a worker's trie; beyond, it starts anew.
 NODES = 1_000_000
@@ -90,6 +90,7 @@ class Trie:
 
 
 _tries: dict[int, Trie] = {}
+caches["token_counts"] = _tries.clear
 
 
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -104,6 +105,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(zipf_scores(read_pieces(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("token_counts")
         scores = shared.value
         trie = _tries.get(len(scores))
         if trie is None or trie.scores != scores:

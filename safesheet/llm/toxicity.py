@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, fold, python_ready, tidy, written
+from .common import bounded_ids, fold, keep, python_ready, tidy, written
 
 #: Labelled documents of each class that the models are fitted on at most; CALIBRATION in ten of them fit the calibration.
 MAX_DOCS, CALIBRATION = 4000, 2
@@ -174,6 +174,7 @@ def _scored(docs: DataFrame, model: Model, calibration, carry: list[str]) -> Dat
     shared = spark.sparkContext.broadcast((model, calibration))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep("toxicity")
         model, calibration = shared.value
         for b in batches:
             x = model.features([t or "" for t in b.column("text").to_pylist()])
