@@ -44,8 +44,6 @@ QUERIES = {
     "ml_training_set": "SELECT document_id, field_name, confidence, validation_status AS tier FROM extractions WHERE validation_status <> 'invalid' AND value IS NOT NULL",
     "ml_tier_distribution": "SELECT validation_status AS tier, count(*) AS n FROM extractions GROUP BY validation_status",
     "ml_fallback": "SELECT document_id, field_name, round(least(1.0E0, 0.5E0 + 0.2E0 * confidence + 0.1E0 * CASE WHEN validation_status = 'valid' THEN 1 ELSE 0 END), 6) AS score FROM extractions",
-    "consensus": """SELECT user_id, field_name, CASE WHEN n_values = 1 AND n > 1 THEN round(least(1.0E0, mean + 0.15E0), 6) ELSE round(best * 0.95E0, 6) END AS confidence, CASE WHEN n_values = 1 AND n > 1 THEN 'consensus' ELSE 'best-effort' END AS source FROM (
-        SELECT model AS user_id, field_name, count(DISTINCT id % 2) AS n_values, count(*) AS n, avg(confidence) AS mean, max(confidence) AS best FROM llm_calls WHERE success GROUP BY model, field_name) x""",
     "llm_fallback": "SELECT id, field_name, CASE WHEN success AND confidence >= 0.6 THEN 'primary' ELSE 'fallback' END AS used FROM llm_calls",
     "incremental_docs": "SELECT id, CAST(indexed_at AS STRING) AS indexed_at FROM rag_documents WHERE indexed_at > DATE '2024-08-01' ORDER BY rag_documents.indexed_at DESC, id LIMIT 100",
     "should_retrain": "SELECT max(indexed_at) < DATE '2024-12-01' - INTERVAL '1' DAY AS due FROM rag_documents",

@@ -57,7 +57,6 @@ QUERIES = {
     "hazard_rule_pairs": """WITH chemical AS (SELECT DISTINCT cas, hazard_class FROM chem), held AS (SELECT hazard_class, count(*) AS n FROM chemical GROUP BY hazard_class),
         given AS (SELECT x, y, priority FROM (VALUES ('1', '5', 1), ('3', '5', 2), ('8', '4', 3), ('3', '1', 4), ('6', '8', 5)) AS r(x, y, priority)), pair AS (SELECT x, y, min(priority) AS priority FROM (SELECT x, y, priority FROM given UNION ALL SELECT y, x, priority FROM given) u GROUP BY x, y)
         SELECT c.cas, c.hazard_class, p.y AS partner_class, p.priority, h.n - CASE WHEN p.x = p.y THEN 1 ELSE 0 END AS n_partners FROM chemical c JOIN pair p ON p.x = c.hazard_class JOIN held h ON h.hazard_class = p.y""",
-    "name_to_cas": "SELECT n.n_name, min(c.cas) AS cas FROM nation n LEFT JOIN chem c ON lower(c.product_name) LIKE concat('%', lower(substr(n.n_name, 1, 2)), '%') GROUP BY n.n_name",
     "rules_with_names": "SELECT r.cas_a, a.name AS name_a, r.cas_b, b.name AS name_b, r.rule FROM rules r LEFT JOIN hazards a ON a.cas = r.cas_a LEFT JOIN hazards b ON b.cas = r.cas_b",
     "rules_for_cas": "SELECT r.cas_a, r.cas_b, r.rule FROM rules r JOIN (SELECT min(cas_a) AS cas FROM rules) x ON r.cas_a = x.cas UNION SELECT r.cas_a, r.cas_b, r.rule FROM rules r JOIN (SELECT min(cas_a) AS cas FROM rules) x ON r.cas_b = x.cas",
     "mixture_pairs": "SELECT DISTINCT a.document_id, r.cas_a, r.cas_b, r.rule FROM ingredients a JOIN ingredients b ON a.document_id = b.document_id AND a.cas_number < b.cas_number JOIN rules r ON r.cas_a = a.cas_number AND r.cas_b = b.cas_number",
@@ -76,10 +75,7 @@ QUERIES = {
     "register_new_docs": "SELECT c.id, c.file_hash FROM sds_documents c WHERE NOT EXISTS (SELECT 1 FROM sds_documents k WHERE k.file_hash = c.file_hash AND k.id < c.id)",
     "upsert_latest": "SELECT document_id, field_name, value FROM (SELECT document_id, field_name, value, row_number() OVER (PARTITION BY document_id % 1000, field_name ORDER BY document_id DESC) AS k FROM extractions) x WHERE k = 1",
     "status_update": "SELECT d.id, coalesce(n.status, d.status) AS status, coalesce(n.score, d.completeness_score) AS completeness, n.message AS error_message FROM sds_documents d LEFT JOIN (SELECT id, CASE WHEN id % 2 = 0 THEN 'success' END AS status, CASE WHEN id % 3 = 0 THEN 1.0E0 END AS score, CASE WHEN id % 5 = 0 THEN 'late' END AS message FROM sds_documents WHERE id % 4 = 0) n ON n.id = d.id",
-    "replace_children": "SELECT document_id, cas_number, line_no FROM ingredients WHERE document_id % 50 <> 0 UNION ALL SELECT document_id, cas_number, 1 FROM (SELECT DISTINCT document_id, cas_number FROM ingredients WHERE document_id % 50 = 0) x",
-    "rule_normalize": "SELECT least(trim(a), trim(b)) AS cas_a, greatest(trim(a), trim(b)) AS cas_b, max(upper(trim(r))) AS rule FROM (SELECT concat(' ', cas_b) AS a, cas_a AS b, concat(lower(rule), ' ') AS r FROM rules) x GROUP BY 1, 2",
     "hazard_upsert": "SELECT cas, idlh, pel FROM (SELECT cas, idlh, pel, row_number() OVER (PARTITION BY cas ORDER BY seq DESC) AS k FROM (SELECT cas, idlh, pel, 1 AS seq FROM hazards UNION ALL SELECT cas, idlh + 1, pel, 2 FROM hazards WHERE env_risk) u) x WHERE k = 1",
-    "insert_ignore": "SELECT content_hash, min(id) AS id FROM rag_documents GROUP BY content_hash",
     "apply_edits": "SELECT document_id, field_name, value FROM (SELECT document_id, field_name, value, row_number() OVER (PARTITION BY document_id, field_name ORDER BY level DESC) AS k FROM (SELECT document_id, field_name, value, 0 AS level FROM extractions UNION ALL SELECT document_id, field_name, 'edited', 1 FROM extractions WHERE document_id % 90 = 0 AND field_name = 'manufacturer') u) x WHERE k = 1",
     "merge_chemicals": "SELECT cas, max_by(product_name, document_id) AS product_name, max_by(hazard_class, document_id) AS hazard_class FROM chem GROUP BY cas",
     "hazard_relationships": "SELECT DISTINCT cas_number AS cas, 'class' AS kind, hazard_class AS code FROM wide WHERE hazard_class <> '' AND cas_number NOT IN ('NOT_FOUND', 'N/A')",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import chunks, matrix, names, walks
+from ..functions import chunks, matrix, names, tables, walks
 from ..functions.answers import normal_answer
 from ..functions.fields import BASE_CONFIDENCE, DANGEROUS, base_confidence, extract_fields, is_dangerous
 from ..functions.sheets import ingredients, sections
@@ -419,13 +419,75 @@ APPLY_SQL = """SELECT e.document_id, CASE WHEN bad THEN known ELSE value END AS
     JOIN (SELECT document_id, CASE WHEN p_size % 6 = 0 THEN '64-17-5' ELSE cas END AS known FROM chem) c ON c.document_id = e.document_id"""
 
 
+# tables
+
+def validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark_query(spark, sf_dir, "SELECT document_id, field_name, value, confidence FROM extractions")
+    return rows.select("document_id", "field_name", tables.validate(F.col("field_name"), F.col("value"), F.col("confidence")).alias("status"))
+
+
+VALIDATION_SQL = """SELECT document_id, field_name, CASE WHEN value IS NULL OR value IN ('', 'NOT_FOUND', 'ERROR') OR confidence < 0.7 THEN 'invalid' WHEN confidence < 0.9 THEN 'warning'
+    WHEN field_name = 'cas_number' AND NOT regexp_full_match(value, '[0-9]{2,7}-[0-9]{2}-[0-9]') THEN 'warning' ELSE 'valid' END AS status FROM extractions"""
+
+
+def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three models' answers to one question for each five calls."""
+    rows = spark_query(spark, sf_dir, "SELECT id, id - id % 5 AS question, model, CASE WHEN success THEN concat('v', CAST(id % 2 * (id % 3) AS STRING)) ELSE 'NOT_FOUND' END AS value, confidence FROM llm_calls")
+    rows = rows.withColumn("model", F.concat("model", F.lit(" "), F.lpad(F.col("id").cast("string"), 12, "0")))
+    return tables.consensus(rows, ["question"]).withColumn("confidence", F.round("confidence", 6))
+
+
+CONSENSUS_SQL = """WITH a AS (SELECT id - id % 5 AS question, concat(model, ' ', lpad(CAST(id AS VARCHAR), 12, '0')) AS model, CASE WHEN success THEN concat('v', CAST(id % 2 * (id % 3) AS VARCHAR)) END AS value, confidence FROM llm_calls),
+    g AS (SELECT question, count(value) AS n, count(DISTINCT value) AS k, avg(confidence) FILTER (WHERE value IS NOT NULL) AS mean FROM a GROUP BY question),
+    b AS (SELECT question, value, confidence FROM a WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY question ORDER BY confidence DESC, model) = 1)
+    SELECT g.question, coalesce(b.value, 'NOT_FOUND') AS value, round(CASE WHEN k = 1 AND n > 1 THEN least(1.0E0, mean + 0.15E0) ELSE coalesce(b.confidence * 0.95E0, 0) END, 6) AS confidence,
+        CASE WHEN k = 1 AND n > 1 THEN 'consensus' WHEN n > 0 THEN 'best-effort' END AS source FROM g LEFT JOIN b ON b.question = g.question"""
+
+
+def rule_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules as they come in: the other way round, with blanks, in small letters; a second lot of some of them follows."""
+    rows = spark_query(spark, sf_dir, "SELECT concat(' ', cas_b) AS cas_a, cas_a AS cas_b, concat(lower(rule), ' ') AS rule, 1 AS seq FROM rules UNION ALL SELECT cas_a, cas_b, 'c', 2 FROM rules WHERE cas_a LIKE '6%'")
+    return tables.normal_rules(rows, "seq")
+
+
+RULES_SQL = "SELECT cas_a, cas_b, CASE WHEN cas_a LIKE '6%' THEN 'C' ELSE rule END AS rule FROM rules"
+
+
+def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark_query(spark, sf_dir, "SELECT id, content_hash FROM rag_documents")
+    return tables.insert_ignore(docs.filter("id % 2 = 0").groupBy("content_hash").agg(F.min("id").alias("id")), docs, ["content_hash"], ["id"])
+
+
+IGNORE_SQL = "SELECT content_hash, coalesce(min(CASE WHEN id % 2 = 0 THEN id END), min(id)) AS id FROM rag_documents GROUP BY content_hash"
+
+
+def replace_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark_query(spark, sf_dir, "SELECT document_id, cas_number, line_no FROM ingredients")
+    return tables.replace_children(rows, rows.filter("document_id % 50 = 0").select("document_id", "cas_number", F.lit(1).alias("line_no")).distinct(), "document_id")
+
+
+CHILDREN_SQL = "SELECT document_id, cas_number, line_no FROM ingredients WHERE document_id % 50 <> 0 UNION ALL SELECT DISTINCT document_id, cas_number, 1 FROM ingredients WHERE document_id % 50 = 0"
+ALIASES = {"algeria": "widget", "Brazil".lower(): "no such", "peru": "bolt"}
+
+
+def name_to_cas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' names and three kinds of products as names that are asked for."""
+    asked = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("name")).unionByName(spark.createDataFrame([("Ring ",), ("rod",), ("small gear",)], "name string"))
+    return tables.match_names(asked, spark_query(spark, sf_dir, "SELECT cas, product_name FROM chem"), ALIASES)
+
+
+NAMES_SQL = """WITH asked AS (SELECT n_name AS name FROM nation UNION ALL VALUES ('Ring '), ('rod'), ('small gear')), keyed AS (SELECT DISTINCT name, CASE lower(trim(name)) WHEN 'algeria' THEN 'widget' WHEN 'brazil' THEN 'no such' WHEN 'peru' THEN 'bolt' END AS alias, lower(trim(name)) AS own FROM asked)
+    SELECT name, coalesce((SELECT min(cas) FROM chem WHERE contains(product_name, alias)), CASE WHEN length(own) > 3 THEN (SELECT min(cas) FROM chem WHERE contains(product_name, own)) END) AS cas FROM keyed"""
+
+
 QUERIES = {
     "sections": sections_query, "heuristic_fields": heuristic_fields, "profile_fields": profile_fields, "ingredient_lines": ingredient_lines, "normalize_name": normalize_name, "hazard_normalize": hazard_normalize,
     "h_codes": _codes("h_statements", "H"), "p_codes": _codes("p_statements", "P"), "enricher_codes": enricher_codes, "mol_weight": mol_weight, "pictograms": pictogram_names, "is_dangerous": dangerous,
     "base_confidence": base_confidences, "score_field": score_field, "quality_tier": quality_tiers, "file_lang": file_lang, "translate_terms": translated, "llm_normalize": llm_normalize, "content_hash": content_hash,
     "chunk_recursive": chunk_recursive, "incompat_matrix": incompat_matrix, "check_pair": check_pair, "decision_hash": decision_hash, "calc_hazards": calc_hazards, "hazard_consistency": hazard_consistency,
     "reaction_chains": reaction_chains, "bfs_incompat": bfs_incompat, "k_hop": k_hop, "tanimoto_pairs": tanimoto, "similarity_hist": similarity_hist, "similarity_degree": similarity_degree,
-    "hybrid_query": hybrid_query, "doc_components": doc_components, "enrichment_apply": enrichment_apply,
+    "hybrid_query": hybrid_query, "doc_components": doc_components, "enrichment_apply": enrichment_apply, "validation_status": validation_status, "consensus": consensus, "rule_normalize": rule_normalize,
+    "insert_ignore": insert_ignore, "replace_children": replace_children, "name_to_cas": name_to_cas,
 }
 #: Chunks, hybrid contexts and communities have no SQL: they are tested against plain Python.
 SQL = {k: duckdb_query(v) for k, v in {
@@ -435,4 +497,5 @@ SQL = {k: duckdb_query(v) for k, v in {
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash, length(text) AS n FROM documents", "incompat_matrix": MATRIX_SQL, "check_pair": CHECK_SQL, "decision_hash": HASH_SQL, "calc_hazards": CALC_SQL,
     "hazard_consistency": CONSISTENCY_SQL, "reaction_chains": CHAINS_SQL, "k_hop": HOP_SQL, "tanimoto_pairs": TANIMOTO_SQL, "similarity_hist": _SIMILAR_SQL + " SELECT round(score, 1) AS bucket, count(*) AS n FROM pairs GROUP BY 1",
     "similarity_degree": _SIMILAR_SQL + " SELECT cas, count(*) AS degree FROM (SELECT x AS cas FROM pairs UNION ALL SELECT y FROM pairs) u GROUP BY cas", "enrichment_apply": APPLY_SQL, "bfs_incompat": BFS_SQL,
+    "validation_status": VALIDATION_SQL, "consensus": CONSENSUS_SQL, "rule_normalize": RULES_SQL, "insert_ignore": IGNORE_SQL, "replace_children": CHILDREN_SQL, "name_to_cas": NAMES_SQL,
 }.items()}

@@ -7,7 +7,6 @@ QUERIES = {
     "cas_format": "SELECT document_id, value, MATCHES(value, '^[0-9]{2,7}-[0-9]{2}-[0-9]$') AS valid FROM extractions WHERE field_name = 'cas_number' AND value IS NOT NULL",
     "cas_valid": "SELECT cas, (" + " + ".join(f"{k} * CAST(coalesce(nullif(substr({_DIGITS}, length({_DIGITS}) - {k}, 1), ''), '0') AS INT) * CASE WHEN length({_DIGITS}) > {k} THEN 1 ELSE 0 END" for k in range(1, 10)) + f") % 10 = CAST(substr({_DIGITS}, length({_DIGITS}), 1) AS INT) AS valid FROM chem",
     "packing_group": "SELECT document_id, CASE upper(trim(value)) WHEN '1' THEN 'I' WHEN '2' THEN 'II' WHEN '3' THEN 'III' ELSE upper(trim(value)) END AS packing_group FROM extractions WHERE field_name = 'packing_group'",
-    "validation_status": "SELECT document_id, field_name, CASE WHEN value IS NULL OR value IN ('', 'NOT_FOUND', 'ERROR') THEN 'invalid' WHEN confidence >= 0.9 THEN 'valid' WHEN confidence >= 0.7 THEN 'warning' ELSE 'invalid' END AS status FROM extractions",
     "code_penalty": "SELECT document_id, value, CASE WHEN length(value) < 5 AND value = upper(value) THEN confidence * 0.6E0 ELSE confidence END AS confidence FROM extractions WHERE field_name = 'packing_group'",
     "ghs_categories": "SELECT code, count(*) AS n FROM (SELECT EXPLODE(ALL_MATCHES(value, 'H[234]')) AS code FROM extractions WHERE field_name = 'h_statements') x GROUP BY code",
     "incompat_tokens": "SELECT document_id, token FROM (SELECT document_id, trim(REPLACE_ALL(t, '[(][^)]*[)]', '')) AS token FROM (SELECT document_id, EXPLODE(SPLIT(value, ',')) AS t FROM extractions WHERE field_name = 'incompatibilities' AND value <> 'not applicable') s) x WHERE length(token) BETWEEN 4 AND 99",

@@ -405,3 +405,44 @@ def test_logs_and_durations(spark):
     assert spark.range(1).select(logs.progress(F.lit(1), F.lit(4), 8)).first()[0] == "██░░░░░░ 25.0%" and spark.range(1).select(logs.progress(F.lit(1), F.lit(0))).first()[0] == "N/A"
     ranks = logs.ranked_results(spark.createDataFrame([(1, [7, 8], [0, 3], 0.5), (2, [], [], None), (3, [9], [1, 2], 0.1)], "query_id int, document_ids array<int>, chunks array<int>, top_score double"))
     assert sorted(tuple(r) for r in ranks.collect()) == [(1, 7, 0, 0.5, 1), (1, 8, 3, None, 2), (3, 9, 1, 0.1, 1)]
+
+
+# tables
+
+
+def test_changes_of_tables(spark):
+    from safesheet.functions import tables
+
+    kind = "id int, f string, v string"
+    target = spark.createDataFrame([(1, "a", "old"), (1, "b", "old"), (None, "a", "n")], kind)
+    changes = spark.createDataFrame([(1, "a", "x", 1), (1, "a", "y", 2), (2, "a", "z", 1), (None, "a", "m", 1)], kind + ", seq int")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert rows(tables.upsert(target, changes, ["id", "f"], ["seq"])) == sorted([(1, "a", "y"), (1, "b", "old"), (2, "a", "z"), (None, "a", "m")], key=str)
+    assert rows(tables.insert_ignore(target.filter("id = 1"), changes, ["id", "f"], ["seq"])) == sorted([(1, "a", "old"), (1, "b", "old"), (2, "a", "z"), (None, "a", "m")], key=str)
+    assert rows(tables.replace_children(target, spark.createDataFrame([(1, "c", "new")], kind), "id")) == sorted([(1, "c", "new"), (None, "a", "n")], key=str)
+    rules = spark.createDataFrame([(" b", "a ", "i", 1), ("a", "b", " r", 3), ("a", "b", "c", 2), ("c", "a", "r", 1)], "cas_a string, cas_b string, rule string, seq int")
+    assert rows(tables.normal_rules(rules, "seq")) == [("a", "b", "R"), ("a", "c", "R")]
+
+
+def test_validation_and_consensus(spark):
+    from safesheet.functions import tables
+
+    cases = [("cas_number", "64-17-5", 0.95, "valid"), ("cas_number", "x", 0.95, "warning"), ("cas_number", "x", 0.5, "invalid"), ("un_number", "not_found", 0.99, "invalid"), ("un_number", "12", 0.8, "warning"), ("hazard_class", "2", 0.9, "valid"), ("hazard_class", "7.1", 0.9, "warning"),
+             ("packing_group", "IV", 0.9, "warning"), ("product_name", "ab", 0.9, "warning"), ("manufacturer", "A", 0.9, "warning"), ("other", None, 0.9, "invalid"), ("other", "", 0.9, "invalid"), ("other", "v", 0.7, "warning")]
+    df = spark.createDataFrame(cases, "f string, v string, c double, e string")
+    assert [r["s"] for r in df.select(tables.validate(F.col("f"), F.col("v"), F.col("c")).alias("s")).collect()] == [e for *_, e in cases]
+    answers = [(1, "m1", "x", 0.8), (1, "m2", "x", 0.9), (2, "m1", "x", 0.8), (2, "m2", "y", 0.9), (3, "m1", "NOT_FOUND", 0.9), (4, "m1", "z", 0.5), (4, "m2", "ERROR", 0.9), (5, "m1", "q", 0.95), (5, "m2", "q", 0.95), (6, "m2", "b", 0.5), (6, "m1", "a", 0.5)]
+    got = {r["k"]: (r["value"], round(r["confidence"], 6), r["source"]) for r in tables.consensus(spark.createDataFrame(answers, "k int, model string, value string, confidence double"), ["k"]).collect()}
+    assert got == {1: ("x", 1.0, "consensus"), 2: ("y", 0.855, "best-effort"), 3: ("NOT_FOUND", 0.0, None), 4: ("z", 0.475, "best-effort"), 5: ("q", 1.0, "consensus"), 6: ("a", 0.475, "best-effort")}
+
+
+def test_names_and_class_pairs(spark):
+    from safesheet.functions import tables
+
+    products = spark.createDataFrame([("2-2", "Pure Ethanol"), ("1-1", "ethanol 70"), ("3-3", "Acetone"), (None, "water"), ("4-4", None)], "cas string, product_name string")
+    asked = spark.createDataFrame([("Alcohol",), (" ETHANOL",), ("ace",), ("acetone",), ("water",), ("alcohol 2",)], "name string")
+    got = {r["name"]: r["cas"] for r in tables.match_names(asked, products, {"alcohol": "ethanol", "acetone": "none such"}).collect()}
+    assert got == {"Alcohol": "1-1", " ETHANOL": "1-1", "ace": None, "acetone": "3-3", "water": None, "alcohol 2": None}
+    chemicals = spark.createDataFrame([("a", "1"), ("b", "5"), ("c", "5"), ("a", "3")], "cas string, hazard_class string")
+    rules = spark.createDataFrame([("1", "5", "r1", 1), ("5", "3", "r2", 2), ("5", "5", "r3", 3)], "class_a string, class_b string, rule string, priority int")
+    assert sorted(tuple(r) for r in tables.class_pairs(chemicals, rules).collect()) == [("a", "b", "r1"), ("a", "c", "r1"), ("b", "c", "r3")]
