@@ -261,7 +261,8 @@ def _classes(docs: DataFrame, width: int, threshold: float, recall: float) -> tu
     nodes = links.join(roots.withColumnRenamed("node", "key"), "key", "left")
     known = sets.select("key", "rep", "n_copies").join(nodes, "key", "left").select("key", "rep", "n_copies", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     known = written(known, "sets")
-    known = known.join(known.groupBy("root").agg(F.min("rep").alias("class_id")), "root")
+    # a written table of the classes, so that the join reads two plain tables and Spark can split a large class
+    known = known.join(written(known.groupBy("root").agg(F.min("rep").alias("class_id")), "class-ids"), "root")
     return solid.select("doc_id", *ROW, "key").join(known, "key"), signed.filter("n = 0").select("doc_id", *ROW)
 
 
@@ -292,7 +293,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD)
     solid, _ = _classes(docs, width, threshold, RECALL)
     solid = written(solid.select("root", "doc_id", *ROW), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("first")
-    kept = solid.groupBy("root").agg(first).select("root", *[F.col(f"first.{c}").alias(f"own{c}") for c in ROW])
+    kept = written(solid.groupBy("root").agg(first).select("root", *[F.col(f"first.{c}").alias(f"own{c}") for c in ROW]), "kept")
     same = F.lit(True)
     for c in ROW:
         same = same & (F.col(c) == F.col(f"own{c}"))
