@@ -39,12 +39,12 @@ def compatibility_matrix(products: DataFrame, rules: DataFrame, hazards: DataFra
     held = risky(hazards, idlh).withColumn("risk", F.lit(True))
     cas = F.col("cas_number")
     p = products.filter("product_name is not null").join(held, cas == held["cas"], "left").select("document_id", "product_name", cas, "incompatibilities", F.coalesce("risk", F.lit(False)).alias("risk"))
-    a = p.select(F.col("document_id").alias("id_a"), F.col("product_name").alias("name_a"), F.col("cas_number").alias("one"), "incompatibilities", F.col("risk").alias("risk_a"))
-    b = p.select(F.col("document_id").alias("id_b"), F.col("product_name").alias("name_b"), F.col("cas_number").alias("two"), F.col("risk").alias("risk_b"))
+    a = p.select(F.col("document_id").alias("id_a"), F.col("product_name").alias("name_a"), F.col("cas_number").alias("one"), F.transform(tokens(F.col("incompatibilities")), F.lower).alias("parts"), F.col("risk").alias("risk_a"))
+    b = p.select(F.col("document_id").alias("id_b"), F.col("product_name").alias("name_b"), F.lower("product_name").alias("low_b"), F.col("cas_number").alias("two"), F.col("risk").alias("risk_b"))
     r = rules.groupBy(F.least("cas_a", "cas_b").alias("least"), F.greatest("cas_a", "cas_b").alias("greatest")).agg(F.max("rule").alias("rule"))
     pairs = a.crossJoin(b).withColumns({"least": F.when(F.col("one").isNotNull() & F.col("two").isNotNull(), F.least("one", "two")), "greatest": F.greatest("one", "two")})
     layer = (
-        F.when(F.col("name_a") == F.col("name_b"), "self").when(F.col("rule").isin("I", "R"), "structured_rule").when(named(F.col("incompatibilities"), F.col("name_b")), "text_incompatibility")
+        F.when(F.col("name_a") == F.col("name_b"), "self").when(F.col("rule").isin("I", "R"), "structured_rule").when(F.exists("parts", lambda t: F.contains(F.col("low_b"), t)), "text_incompatibility")
         .when(F.col("risk_a") | F.col("risk_b"), "hazard_flags").otherwise("none")
     )
     cells = pairs.join(r, ["least", "greatest"], "left").select("id_a", "id_b", "rule", layer.alias("layer"))
