@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
+from itertools import accumulate
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,6 +144,22 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
+    """``rows`` with the column ``name``: 1, 2, 3... in the order; and their number. Rows are sorted by ranges, and a table of one row for each range has
+    its start, so no task sees all rows. Equal rows are parted by a number of their place, so they don't meet in one range."""
+    spark, spread = rows.sparkSession, F.col("__spread")
+    by = [*order, spread]
+    ordered = rows.withColumn("__spread", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    ordered = written(ordered.drop("__spread").withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__at", 33)
+    sizes = sorted(ordered.groupBy(part.alias("part")).count().collect())
+    before = list(accumulate((n for _, n in sizes), initial=0))
+    starts = spark.createDataFrame([(p, s) for (p, _), s in zip(sizes, before, strict=False)], "__part long, __start long")
+    placed = ordered.join(F.broadcast(starts), part == F.col("__part"))  # a row for each range
+    place = F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.withColumn(name, place).drop("__at", "__part", "__start"), before[-1]
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)

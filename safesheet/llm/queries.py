@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, line_dedup, ngram_join, quality_rules, substring_dedup, token_counts, toxicity, url_filters
+from . import bpe, decontamination, importance_resampling, language_id, lexical_search, line_dedup, ngram_join, quality_rules, substring_dedup, token_counts, toxicity, url_filters
 from .common import table
 
 
@@ -60,8 +60,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", F.col("doc_id").cast("long").alias("doc_id"), "score")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_token_counts, op6_decontamination, op7_ngram_join, op8_url_filters, op9_line_dedup, op10_bpe)
+    own = (op1_toxicity, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_token_counts, op6_decontamination, op7_ngram_join, op8_url_filters, op9_line_dedup, op10_bpe, op11_lexical_search, op13_importance_resampling)
     return {f.__name__: f for f in own}
 
 
@@ -136,5 +146,77 @@ FROM documents LEFT JOIN page USING (doc_id)
 """
 
 
+#: Only A-Z become small.
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_SMALL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP11_SQL = f"""
+WITH d AS (
+  SELECT doc_id, {_TERMS} AS terms FROM documents
+), size AS (
+  SELECT doc_id, len(terms) AS n FROM d WHERE len(terms) > 0
+), whole AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_all FROM size
+), item AS (
+  SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term
+), tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM item) GROUP BY doc_id, term
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * n_docs::DOUBLE + 2) / (2 * count(*)::DOUBLE + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, n_docs
+), m AS (
+  SELECT doc_id, 100 - 25 + ((25 * n * n_docs) // n_all) AS m FROM size, whole
+), scored AS (
+  SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM item JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id::BIGINT AS doc_id, score FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {lexical_search.TOP}
+"""
+
+#: CRC-32 by a table of 256 entries, made from the reflected polynomial.
+OP13_SQL = f"""
+WITH RECURSIVE step(b, k, c) AS (
+  SELECT b, 0, b FROM range(256) AS t(b)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), entries AS (
+  SELECT list(c ORDER BY b) AS tab FROM step WHERE k = 8
+), d AS (
+  SELECT doc_id, {_TERMS} AS words FROM documents
+), dw AS (
+  SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM d) GROUP BY doc_id, word
+), tw AS (
+  SELECT word, count(*) AS n FROM (SELECT unnest({_TERMS}) AS word FROM benchmark) GROUP BY word
+), hexed AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM tw)
+), coded AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % {importance_resampling.BUCKETS} AS bucket
+  FROM hexed, entries
+), s AS (
+  SELECT bucket, sum(n) AS s FROM dw JOIN coded USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, sum(n) AS t FROM tw JOIN coded USING (word) GROUP BY bucket
+), every AS (
+  SELECT coalesce(sum(s), 0)::DOUBLE AS s_all FROM s
+), target AS (
+  SELECT coalesce(sum(t), 0)::DOUBLE AS t_all FROM t
+), gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + {importance_resampling.BUCKETS}) / ((s::DOUBLE + 1) * (t_all + {importance_resampling.BUCKETS}))))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), every, target
+), weight AS (
+  SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM dw JOIN coded USING (word) JOIN gain USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance_resampling.SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weight USING (doc_id)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= {importance_resampling.MIN_WORDS} ORDER BY score DESC, doc_id) AS place,
+    count(*) FILTER (WHERE n_features >= {importance_resampling.MIN_WORDS}) OVER () AS able FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {importance_resampling.MIN_WORDS} AND place <= {importance_resampling.SHARE} * able // 100 THEN place END AS rank FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op8_url_filters": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op8_url_filters": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_lexical_search": OP11_SQL, "op13_importance_resampling": OP13_SQL}
