@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, importance_resampling, language_id, lexical_search, line_dedup, ngram_join, quality_rules, substring_dedup, token_counts, toxicity, url_filters
+from . import bpe, decontamination, importance_resampling, language_id, lexical_search, line_dedup, ngram_join, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity, url_filters
 from .common import table
 
 
@@ -65,13 +65,19 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "rank", F.col("doc_id").cast("long").alias("doc_id"), "score")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return left.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_token_counts, op6_decontamination, op7_ngram_join, op8_url_filters, op9_line_dedup, op10_bpe, op11_lexical_search, op13_importance_resampling)
+    own = (op1_toxicity, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_token_counts, op6_decontamination, op7_ngram_join, op8_url_filters, op9_line_dedup, op10_bpe, op11_lexical_search, op12_suffix_dedup, op13_importance_resampling)
     return {f.__name__: f for f in own}
 
 
