@@ -179,6 +179,39 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {lexical_search.TOP}
 """
 
+_LESS = suffix_dedup.WIDTH - 1
+
+#: Bytes as pairs of hexadecimal digits; long texts in pieces, as a place in a long string is found slowly.
+OP12_SQL = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), piece AS (
+  SELECT doc_id, base, least(500, length(h) // 2 - {_LESS} - base) AS n, substr(h, 2 * base + 1, {2 * (500 + _LESS)}) AS h
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {_LESS}, 500)) AS base FROM d WHERE length(h) >= {2 * suffix_dedup.WIDTH})
+), win AS (
+  SELECT doc_id, base + unnest(range(0, n)) AS p, unnest(list_transform(range(0, n), lambda i: substr(h, 2 * i + 1, {2 * suffix_dedup.WIDTH}))) AS w FROM piece
+), first AS (
+  SELECT w, min(doc_id) AS first FROM win GROUP BY w HAVING count(*) > 1
+), gone AS (
+  SELECT doc_id, p FROM win JOIN first USING (w) WHERE doc_id > first
+), isle AS (
+  SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS isle FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {suffix_dedup.WIDTH} THEN 0 ELSE 1 END AS new FROM gone)
+), span AS (
+  SELECT doc_id, min(p) AS a, max(p) + {suffix_dedup.WIDTH} AS z FROM isle GROUP BY doc_id, isle
+), stay AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM span
+  UNION ALL
+  SELECT doc_id, max(z), NULL FROM span GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * s + 1, 2 * (coalesce(e, length(h) // 2) - s)), '' ORDER BY s) AS h FROM stay JOIN d USING (doc_id) GROUP BY doc_id
+), total AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n FROM span GROUP BY doc_id
+)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN total USING (doc_id)
+"""
+
 #: CRC-32 by a table of 256 entries, made from the reflected polynomial.
 OP13_SQL = f"""
 WITH RECURSIVE step(b, k, c) AS (
@@ -225,4 +258,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {importance_re
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op8_url_filters": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_lexical_search": OP11_SQL, "op13_importance_resampling": OP13_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op8_url_filters": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_lexical_search": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_importance_resampling": OP13_SQL}
