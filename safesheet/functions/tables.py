@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fields import DANGEROUS, strip
+from .substrings import contained
 
 # Least confidence of a valid value and of one with a warning; hazard classes; values that stand for none; lengths of names.
 VALID, WARNING = 0.9, 0.7
@@ -68,16 +69,16 @@ def consensus(answers: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def match_names(names: DataFrame, products: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """(name, cas) of the stated ``names`` (name): the least number of the ``products`` (cas, product_name) whose name holds the name's alias, or else, if it
+    """(name, cas) of ``names`` (name): the least number of the ``products`` (cas, product_name) whose name holds the name's alias, or else, if it
     has over three characters, the name itself; null if none does. Case and blanks around don't count. Names are compared by their distinct
-    spellings, so a product's name is looked at once however many products have it."""
+    spellings, and only with those products' names that have their rarest run of characters."""
     low = F.lower(strip(F.col("name")))
     alias = F.create_map(*[F.lit(x) for p in aliases.items() for x in p])[low] if aliases else F.lit(None).cast("string")
-    asked = names.select("name", alias.alias("alias"), F.when(F.length(low) > 3, low).alias("own")).distinct()
-    known = products.filter("cas is not null and product_name is not null").groupBy(F.lower("product_name").alias("p")).agg(F.min("cas").alias("cas"))
-    found = asked.join(known, F.contains(F.col("p"), F.col("alias")) | F.contains(F.col("p"), F.col("own")), "left")
-    found = found.groupBy("name").agg(F.min(F.when(F.contains(F.col("p"), F.col("alias")), F.col("cas"))).alias("a"), F.min(F.when(F.contains(F.col("p"), F.col("own")), F.col("cas"))).alias("o"))
-    return found.select("name", F.coalesce("a", "o").alias("cas"))
+    asked = names.select("name", F.explode(F.array(F.struct(F.lit(0).alias("k"), alias.alias("needle")), F.struct(F.lit(1).alias("k"), F.when(F.length(low) > 3, low).alias("needle")))).alias("a")).select("name", "a.*").distinct()
+    known = products.filter("cas is not null and product_name is not null").groupBy(F.lower("product_name").alias("text")).agg(F.min("cas").alias("cas"))
+    least = contained(asked.select("needle"), known.select("text")).join(known, "text").groupBy("needle").agg(F.min("cas").alias("cas"))
+    found = asked.join(least, "needle", "left").groupBy("name").agg(F.min(F.when(F.col("cas").isNotNull(), F.struct("k", "cas"))).alias("best"))
+    return found.select("name", F.col("best.cas").alias("cas"))
 
 
 def class_pairs(chemicals: DataFrame, rules: DataFrame) -> DataFrame:

@@ -1,23 +1,20 @@
-"""Walks over edges (src, dst): loops of joins with the frontier, each step written down where the session has a checkpoint folder."""
+"""Walks over edges (src, dst): loops of joins with the frontier, each step a checkpoint."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the plan of a loop's step: a checkpoint in the shared folder if there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+from ..plans.shared import cut, written
 
 
 def closure(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth) of every node that a walk of at most ``depth`` edges reaches from a start (start): a row for each length of such a walk, cycles too."""
-    e = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct()
-    front = starts.select("start", F.col("start").alias("node"))
+    e = written(edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct(), "edges")
+    front = starts.select("start", F.col("start").alias("node")).distinct()
     found = None
     for k in range(1, depth + 1):
-        front = _cut(front.join(e, front["node"] == e["__src"]).select("start", F.col("__dst").alias("node")).distinct())
+        front = cut(front.join(e, front["node"] == e["__src"]).select("start", F.col("__dst").alias("node")).distinct())
         step = front.withColumn("depth", F.lit(k))
         found = step if found is None else found.unionByName(step)
     return found
@@ -30,7 +27,7 @@ def nearest(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     front = seen
     for k in range(1, depth + 1):
         reached = front.join(e, front["node"] == e["__src"]).select("start", F.col("__dst").alias("node")).distinct()
-        front = _cut(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(k)))
+        front = cut(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(k)))
         seen = seen.unionByName(front)
     return seen.filter("depth > 0")
 
@@ -42,7 +39,7 @@ def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFra
     found = None
     for _ in range(depth):
         grown = front.join(e, F.element_at("path", -1) == e["__src"]).filter(~F.array_contains("path", F.col("__dst")))
-        front = _cut(grown.select("start", F.array_append("path", F.col("__dst")).alias("path")))
+        front = cut(grown.select("start", F.array_append("path", F.col("__dst")).alias("path")))
         found = front if found is None else found.unionByName(front)
     return found
 
@@ -55,12 +52,18 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return edges.select("src", "dst").distinct().join(a, "src").join(b, ["start", "dst"]).select("start", "src", "dst")
 
 
-def tanimoto_pairs(prints: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(a, b, similarity), a < b, of the fingerprints (id, bits array) whose shares of common bits reach ``threshold``. Exact, without comparing all pairs.
+def fingerprint_classes(prints: DataFrame) -> DataFrame:
+    """(id, class, bits): of the fingerprints (id, bits array) that have a bit, their class, which is the least id with the same bits, and these, sorted and each once."""
+    sets = prints.select("id", F.array_sort(F.array_distinct("bits")).alias("bits")).filter("size(bits) > 0")
+    return sets.join(sets.groupBy("bits").agg(F.min("id").alias("class")), "bits").select("id", "class", "bits")
+
+
+def similar_classes(classes: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(a, b, similarity), a < b, of the classes of ``fingerprint_classes`` whose shares of common bits reach ``threshold``. Exact, without comparing all pairs.
 
     Bits are ordered from rare to common; two sets that reach the threshold share a bit among the first n - ceil(t n) + 1 of each, so
-    those prefixes alone are joined. Repeated bits count once; empty and null fingerprints have no pair."""
-    sets = prints.select("id", F.array_distinct("bits").alias("bits")).filter("size(bits) > 0")
+    those prefixes alone are joined. Equal fingerprints are one class, so copies make no pairs."""
+    sets = classes.filter(F.col("id") == F.col("class")).select("id", "bits")
     often = sets.select("id", F.explode("bits").alias("bit")).groupBy("bit").agg(F.count("*").alias("n"))
     ordered = sets.select("id", F.explode("bits").alias("bit")).join(often, "bit").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "bit"))), lambda x: x["bit"]).alias("bits"))
     size = F.size("bits")
@@ -73,11 +76,23 @@ def tanimoto_pairs(prints: DataFrame, threshold: float = 0.7) -> DataFrame:
     return pairs.select("a", "b", (both / (n + m - both)).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+def tanimoto_pairs(prints: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(a, b, similarity), a < b, of all fingerprints (id, bits array) that reach ``threshold``: the classes' pairs and their members'. The result holds every pair, equal
+    fingerprints too, which is a square where many are equal; ``similar_classes`` says the same without it. Empty and null fingerprints have no pair."""
+    classes = fingerprint_classes(prints).select("id", "class", "bits")
+    members = classes.select(F.col("id").alias("x"), F.col("class").alias("a"))
+    others = classes.select(F.col("id").alias("y"), F.col("class").alias("b"))
+    own = others.withColumn("a", F.col("b")).withColumn("similarity", F.lit(1.0))
+    linked = similar_classes(classes, threshold).join(others, "b").unionByName(own.select("a", "b", "y", "similarity"))
+    pairs = linked.join(members, "a").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community) by label propagation over undirected edges (src, dst, weight): a node takes the label with the most weight around it, its own
     counting as one half more than the weakest, the least of equal ones. Not the greedy modularity of an in-memory graph: its merges are a sequence."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).filter("src <> dst")
-    both = _cut(both.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+    both = cut(both.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
     labels = both.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct()
     stay = both.agg(F.min("weight")).first()[0]
     for k in range(rounds):
@@ -85,7 +100,7 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         own = labels.withColumn("weight", F.lit(0.5 * stay if stay is not None else 0.0))
         votes = told.unionByName(own).groupBy("node", "community").agg(F.sum("weight").alias("w"))
         new = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("x")).select("node", F.col("x.community").alias("community"))
-        new = _cut(new)
+        new = cut(new)
         if k and not new.exceptAll(labels).take(1):
             break
         labels = new

@@ -5,8 +5,6 @@ START = "(SELECT min(cas_a) AS cas FROM rules WHERE rule = 'I')"
 QUERIES = {
     "graph_edges": "SELECT src, dst, 'incompatible_with' AS kind FROM both_ways UNION ALL SELECT cas, manufacturer, 'manufactured_by' FROM (SELECT DISTINCT cas, manufacturer FROM cas_maker) m",
     "graph_nodes": "SELECT src AS id, 'chemical' AS kind FROM both_ways UNION SELECT cas, 'chemical' FROM hazards UNION SELECT manufacturer, 'manufacturer' FROM cas_maker",
-    "transitive_incompat": f"""WITH one AS (SELECT r.cas_a, r.cas_b, 1 AS depth FROM rules r JOIN {START} s ON r.cas_a = s.cas), two AS (SELECT DISTINCT o.cas_a, r.cas_b, 2 AS depth FROM one o JOIN rules r ON r.cas_a = o.cas_b), three AS (SELECT DISTINCT o.cas_a, r.cas_b, 3 AS depth FROM two o JOIN rules r ON r.cas_a = o.cas_b)
-        SELECT DISTINCT cas_a, cas_b, depth FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) x ORDER BY depth, cas_b""",
     "by_hazard_flag": "SELECT cas FROM hazards WHERE JSON_STRING(hazard_flags, '$.flammable') = 'true'",
     "similar_ghs": "SELECT c.cas, c.hazard_class, s.n - 1 AS n_similar FROM (SELECT DISTINCT cas, hazard_class FROM chem) c JOIN (SELECT hazard_class, count(DISTINCT cas) AS n FROM chem GROUP BY hazard_class) s ON s.hazard_class = c.hazard_class WHERE s.n > 1",
     "hazard_jaccard": """WITH profiled AS (SELECT cas, concat(CASE WHEN flammable THEN 'f' ELSE '' END, CASE WHEN toxic THEN 't' ELSE '' END, CASE WHEN corrosive THEN 'c' ELSE '' END) AS profile FROM hazards),

@@ -10,6 +10,7 @@ from ..functions.answers import normal_answer
 from ..functions.fields import BASE_CONFIDENCE, DANGEROUS, base_confidence, extract_fields, is_dangerous
 from ..functions.sheets import ingredients, sections
 from ..plans.domain import duckdb_query, spark_query
+from ..plans.shared import cut
 
 _CHEM = "SELECT document_id, product_name, cas, hazard_class, p_size FROM chem"
 #: Body of each section of a made-up sheet, as parts that both engines join: text, or a column's name in brackets.
@@ -315,9 +316,7 @@ CONSISTENCY_SQL = """SELECT document_id, CASE WHEN missing = '' THEN 'valid' ELS
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Edges both ways, written down once for the walks that read them several times, and the start."""
-    edges = spark_query(spark, sf_dir, "SELECT DISTINCT src, dst FROM both_ways")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        edges = edges.checkpoint()
+    edges = cut(spark_query(spark, sf_dir, "SELECT DISTINCT src, dst FROM both_ways"))
     return edges, spark_query(spark, sf_dir, "SELECT min(cas_a) AS start FROM rules WHERE rule = 'I'").filter("start is not null")
 
 

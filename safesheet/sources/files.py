@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import io
 import re
 import sys
@@ -49,12 +48,6 @@ def html_text(html: str) -> str:
     return "\n".join(nodes.found)
 
 
-def csv_text(text: str) -> tuple[str, int]:
-    """A line for each row, its cells that aren't empty as ``name: value`` with bars between; and the number of rows."""
-    rows = list(csv.DictReader(io.StringIO(text)))
-    return "\n".join(" | ".join(f"{k}: {v}" for k, v in r.items() if v) for r in rows), len(rows)
-
-
 def docx_text(raw: bytes) -> str:
     """Paragraphs that aren't blank, by line."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -96,9 +89,6 @@ def parse_file(kind: str, raw: bytes) -> list[dict]:
         if kind == "docx":
             return [{"text": docx_text(raw)}]
         text = raw.decode("utf-8")
-        if kind == "csv":
-            body, n = csv_text(text)
-            return [{"text": body, "rows": n}]
         return [{"text": html_text(text) if kind == "html" else text}]
     except Exception as e:  # a file that can't be read is a row with its error, whatever is wrong with it
         return [{"error": f"{type(e).__name__}: {e}"[:200]}]
@@ -112,27 +102,57 @@ def _kind(path: Column) -> Column:
     return F.create_map(*pairs)[F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))]
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(source, title, type, content) of the files of KINDS at ``path``, whatever the case of their suffixes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("type", _kind(F.col("path"))).filter("type is not null")
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return files.select(F.col("path").alias("source"), F.regexp_replace(name, r"(.)\.[^.]*$", "$1").alias("title"), "type", "content", F.col("_metadata.file_path").alias("file"))
+
+
+def csv_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, text, rows) of CSV files: a line for each row under the head, its cells that aren't empty as ``name: value`` with bars between.
+
+    Each file has a head of its own. Files are read by Spark's reader, with as many columns as the longest line has separators; cells beyond the
+    head are left out, as are rows without a cell. A quoted cell may hold line ends and doubled quotes. A file of its head alone has an empty text."""
+    lines = spark.read.text(paths)
+    width = lines.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
+    cells = ", ".join(f"c{k} string" for k in range(width))
+    rows = spark.read.schema(cells).option("multiLine", "true").option("escape", '"').option("enforceSchema", "true").csv(paths)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.array(*[f"c{k}" for k in range(width)]).alias("cells"))
+    head = rows.groupBy("file").agg(F.min_by("cells", "at").alias("names"), F.min("at").alias("first"))
+    named = F.filter(F.arrays_zip("names", "cells"), lambda x: (x["names"] != "") & (x["cells"] != ""))
+    line = F.array_join(F.transform(named, lambda x: F.concat(x["names"], F.lit(": "), x["cells"])), " | ")
+    body = rows.join(head, "file").withColumn("line", F.when((F.col("at") > F.col("first")) & (F.size(named) > 0), F.struct("at", line.alias("line"))))
+    found = body.groupBy("file").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return found.select("file", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"), F.size("lines").alias("rows"))
+
+
 def read_documents(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
     """(source, title, type, text, rows, sheet, sheet_number) of the files of KINDS at ``path``, a file or a folder with all below it.
 
-    A file that can't be read gives no document; with ``errors`` those files alone come, as (source, error). Other suffixes are left out."""
-    suffixes = sorted({x for s in KINDS for x in (s, s.upper())})
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(path)
+    A file that can't be read gives no document; with ``errors`` those files alone come, as (source, error). Other suffixes are left out.
+    CSV files are read by Spark in columns, all others one by one, as their formats want."""
+    files = _files(spark, path)
     made = F.udf(lambda k, raw: [{"text": None, "rows": None, "sheet": None, "sheet_number": None, "error": None} | d for d in parse_file(k, bytes(raw))], PARSED, useArrow=True)
-    name = F.regexp_extract("path", "([^/]*)$", 1)
-    rows = files.select(F.col("path").alias("source"), F.regexp_replace(name, r"(.)\.[^.]*$", "$1").alias("title"), _kind(F.col("path")).alias("type"), "content")
-    rows = rows.select("source", "title", "type", F.explode(made("type", "content")).alias("d"))
+    rows = files.filter("type <> 'csv'").select("source", "title", "type", F.explode(made("type", "content")).alias("d"))
     if errors:
         return rows.filter("d.error is not null").select("source", "d.error")
-    return rows.filter("d.error is null").select("source", "title", "type", "d.text", "d.rows", "d.sheet", "d.sheet_number")
+    whole = rows.filter("d.error is null").select("source", "title", "type", "d.text", "d.rows", "d.sheet", "d.sheet_number")
+    tables = files.filter("type = 'csv'").select("source", "title", "type", "file")
+    if paths := [r["source"] for r in tables.select("source").collect()]:
+        texts = tables.join(csv_texts(spark, paths), "file", "left").select("source", "title", "type", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("rows", F.lit(0)).alias("rows"))
+        whole = whole.unionByName(texts, allowMissingColumns=True)
+    return whole
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """``read_documents`` of one file; a suffix that isn't in KINDS or a file that can't be read is an error."""
+    """``read_documents`` of one file; a suffix that isn't in KINDS, a file that isn't there or one that can't be read is an error."""
     if not re.search(rf"({'|'.join(map(re.escape, KINDS))})$", path.lower()):
         raise ValueError(f"no reader for {path}")
     if bad := read_documents(spark, path, errors=True).take(1):
         raise ValueError(f"{bad[0]['source']}: {bad[0]['error']}")
+    if not _files(spark, path).select("source").take(1):
+        raise ValueError(f"no file at {path}")
     return read_documents(spark, path)
 
 

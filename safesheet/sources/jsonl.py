@@ -17,7 +17,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
     """(file, file_hash) of the files at ``path``: what is registered once a file was read."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("file_hash"))
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.sha2("content", 256).alias("file_hash"))  # as in text_lines
 
 
 def parse_lines(lines: DataFrame, schema: str, required: list[str], missing: str) -> DataFrame:

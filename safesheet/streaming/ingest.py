@@ -10,7 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def new_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Stream of (path, content, file_hash) of the files in a folder; of files with equal contents one counts, whenever they come."""
+    """Stream of (path, content, file_hash) of the files in a folder; of files with equal contents one counts, whenever they come.
+
+    The hashes of all files stay in the stream's state, 64 bytes each, as a copy may come at any time."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(folder)
     return files.select("path", "content", F.sha2("content", 256).alias("file_hash")).dropDuplicates(["file_hash"])
@@ -33,8 +35,14 @@ def append_once(folder: str) -> Callable[[DataFrame, int], None]:
     return work
 
 
-def since(rows: DataFrame, mark, limit: int | None = None, column: str = "indexed_at") -> tuple[DataFrame, DataFrame]:
-    """Rows later than ``mark``, newest first, at most ``limit``; and a row (mark) of the time up to which these reach, or ``mark`` if there are none."""
-    fresh = rows.filter(F.col(column) > F.lit(mark)).orderBy(F.desc(column))
+def since(rows: DataFrame, mark: tuple | None, limit: int | None = None, column: str = "indexed_at", key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Rows after the ``mark`` (time, id), oldest first, at most ``limit``; and a row (time, id) of the last of these, the next mark, or none if there is none.
+
+    The mark is the time and the id, so rows of equal times are parted where a limit falls between them. Rows without time or id aren't taken."""
+    at, own = F.col(column), F.col(key)
+    fresh = rows.filter(at.isNotNull() & own.isNotNull())
+    if mark is not None:
+        fresh = fresh.filter((at > F.lit(mark[0])) | (at == F.lit(mark[0])) & (own > F.lit(mark[1])))
+    fresh = fresh.orderBy(column, key)
     taken = fresh.limit(limit) if limit is not None else fresh
-    return taken, taken.agg(F.coalesce(F.max(column), F.lit(mark).cast(rows.schema[column].dataType)).alias("mark"))
+    return taken, taken.agg(F.max(F.struct(at.alias("time"), own.alias("id"))).alias("m")).filter("m is not null").select("m.*")

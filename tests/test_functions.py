@@ -13,6 +13,7 @@ from safesheet.functions import chunks, fields, matrix, names, sheets, walks
 from safesheet.functions.answers import normal_answer
 from safesheet.sinks import exports
 from safesheet.sources import files
+from safesheet.sources import jsonl as jsonl_source
 
 
 def one(spark, rows, schema, **columns):
@@ -383,16 +384,6 @@ def test_files_are_taken_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "batch=99")).count() == 1
 
 
-def test_rows_since_a_mark(spark):
-    from safesheet.streaming import ingest
-
-    rows = spark.createDataFrame([(k, k * 10) for k in range(1, 6)], "id int, indexed_at int")
-    taken, mark = ingest.since(rows, 20, 2)
-    assert [r["id"] for r in taken.collect()] == [5, 4] and mark.first()["mark"] == 50
-    taken, mark = ingest.since(rows, 50)
-    assert taken.count() == 0 and mark.first()["mark"] == 50
-
-
 def test_logs_and_durations(spark):
     from safesheet.functions import logs
 
@@ -446,3 +437,170 @@ def test_names_and_class_pairs(spark):
     chemicals = spark.createDataFrame([("a", "1"), ("b", "5"), ("c", "5"), ("a", "3")], "cas string, hazard_class string")
     rules = spark.createDataFrame([("1", "5", "r1", 1), ("5", "3", "r2", 2), ("5", "5", "r3", 3)], "class_a string, class_b string, rule string, priority int")
     assert sorted(tuple(r) for r in tables.class_pairs(chemicals, rules).collect()) == [("a", "b", "r1"), ("a", "c", "r1"), ("b", "c", "r3")]
+
+
+# indexes and joins by substrings
+
+
+def test_vector_index_recall_and_exact_search(spark, tmp_path):
+    import numpy as np
+
+    from safesheet.functions import vectors
+
+    rows = [(r["vec_id"], list(map(float, r["embedding"])), r["label"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    rows += [(10_000 + k, rows[5][1], 1) for k in range(7)] + [(None, None, 1), (20_000, [], 1), (20_001, [None, 1.0], 1)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>, label int")
+    asked = df.filter("id % 100 = 0 and id < 10000").select(df["id"].alias("query_id"), "embedding")
+    data = [r for r in rows if r[1] and None not in r[1]]
+    m = np.array([r[1] for r in data])
+    centroids = vectors.fit_centroids(df, sample=500)
+    indexed = vectors.index(df, centroids, str(tmp_path / "ix"))
+    assert indexed.count() == len(data) and len(centroids) == 22
+
+    def brute(label=None, k=5):
+        use = [j for j, r in enumerate(data) if label is None or r[2] == label]
+        out = {}
+        for j, r in enumerate(data):
+            if r[0] % 100 == 0 and r[0] < 10_000:
+                s = m[use] @ m[j]
+                out[r[0]] = [data[use[i]][0] for i in sorted(range(len(use)), key=lambda i: (-round(s[i], 9), data[use[i]][0]))[:k]]
+        return out
+
+    def found(df):
+        out = {}
+        for r in df.orderBy("query_id", "rank").collect():
+            out.setdefault(r["query_id"], []).append(r["id"])
+        return out
+
+    want = brute()
+    probes = vectors.probes_needed(df, centroids, 5)
+    assert 1 < probes < len(centroids)
+    got = found(vectors.search(indexed, asked, centroids, 5, probes))
+    recall = sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values()))
+    assert recall >= 0.9, recall
+    assert found(vectors.search(indexed, asked, centroids, 5, probes=len(centroids))) == want
+    assert found(vectors.search(indexed.filter("label = 3"), asked, centroids, 5, probes=len(centroids))) == brute(3)
+
+
+def test_vector_index_of_blocks_and_empty_tables(spark, tmp_path, monkeypatch):
+    from safesheet.functions import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    df = spark.createDataFrame([(k, [1.0, float(k % 3)]) for k in range(90)], "id int, embedding array<double>")
+    centroids = vectors.fit_centroids(df, 1)
+    indexed = vectors.index(df, centroids, str(tmp_path / "a"))
+    assert indexed.select("block").distinct().count() == 9
+    got = vectors.search(indexed, df.filter("id = 2").selectExpr("id as query_id", "embedding"), centroids, 4, 1).orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in got] == [(2, 5.0), (5, 5.0), (8, 5.0), (11, 5.0)]
+    assert vectors.fit_centroids(df.limit(0)).size == 0
+    assert vectors.search(indexed, df.limit(0).selectExpr("id as query_id", "embedding"), centroids, 5, 1).count() == 0
+
+
+def test_substring_join_equals_all_pairs(spark):
+    from safesheet.functions import substrings
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc d\n") for _ in range(rng.randint(0, 30))) for _ in range(120)] + ["Ätna 漢字🙂x", None, "", "a"]
+    needles = [t[a : a + rng.randint(1, 9)] for t in texts if t for a in (rng.randrange(len(t)),)] + ["zzzz", "zz", "", None, "漢字🙂x", "🙂"]
+    want = {(n, t) for n in needles for t in texts if n and t and n in t}
+    n, t = spark.createDataFrame([(x,) for x in needles], "needle string"), spark.createDataFrame([(x,) for x in texts], "text string")
+    for size in (1, 3, 4):
+        got = [tuple(r) for r in substrings.contained(n, t, size).collect()]
+        assert set(got) == want and len(got) == len(want)
+    long = n.filter("length(needle) > 4")
+    plan = substrings.contained(long, t)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert {tuple(r) for r in substrings.contained(long, t).collect()} == {x for x in want if len(x[0]) > 4}
+
+
+def test_named_pairs_equal_all_pairs(spark):
+    from safesheet.functions import matrix, substrings
+
+    rows = [(1, "Acid Red", "water, BASE"), (2, "base of water", None), (3, "Water", "acid"), (4, None, "red"), (5, "reddish", "", ), (6, "base", "base")]
+    df = spark.createDataFrame(rows, "id int, name string, incompatibilities string")
+    got = {tuple(r) for r in substrings.named_pairs(df, matrix.tokens(F.col("incompatibilities"))).collect()}
+    parts = {i: [p.strip().lower() for p in (x or "").split(",") if p.strip()] for i, _, x in rows}
+    assert got == {(a, b) for a, _, _ in rows for b, name, _ in rows if a != b and name and any(p in name.lower() for p in parts[a])}
+
+
+def test_classes_of_equal_fingerprints_make_no_pairs(spark):
+    prints = spark.createDataFrame([(k, [k % 6, 10 + k % 6, 20, 21, 22]) for k in range(60)], "id int, bits array<int>")
+    classes = walks.fingerprint_classes(prints)
+    assert sorted((r["id"], r["class"]) for r in classes.collect()) == [(k, k % 6) for k in range(60)]
+    assert walks.similar_classes(classes, 0.7).count() == 0 and walks.similar_classes(classes, 0.4).count() == 15
+    assert walks.tanimoto_pairs(prints, 0.7).count() == 6 * 45
+
+
+# sources and streams
+
+
+def test_marked_stream_loses_and_doubles_nothing(spark, tmp_path):
+    import datetime
+
+    from safesheet.streaming import table_source
+
+    table_source.register(spark)
+    base = datetime.datetime(2024, 1, 1)
+    times = [base + datetime.timedelta(minutes=m) for m in (0, 0, 0, 1, 1, 2, 2, 2, 2, 2, 3)]
+    rows = [(k, t, f"t{k}") for k, t in enumerate(times)]
+    src, out, checkpoint = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def add(rows, **kw):
+        spark.createDataFrame(rows, "id long, indexed_at timestamp, text string").repartition(3).write.mode("append").parquet(src)
+
+    def run():
+        from safesheet.streaming import ingest
+
+        stream = spark.readStream.format("marked_table").option("path", src).option("limit", 3).load()
+        q = stream.writeStream.foreachBatch(ingest.append_once(out)).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    add(rows + [(None, base, "no id"), (50, None, "no time")])
+    run()
+    got = spark.read.parquet(out).collect()
+    assert sorted(r["id"] for r in got) == list(range(11))
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r["batch"], []).append((r["indexed_at"], r["id"]))
+    assert all(len(v) <= 3 for v in sizes.values())
+    ordered = [x for b in sorted(sizes) for x in sorted(sizes[b])]
+    assert ordered == sorted(ordered)
+    add([(k, base + datetime.timedelta(minutes=4), "late") for k in range(20, 27)])
+    run()  # a new start from the checkpoint
+    got = [r["id"] for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == [*range(11), *range(20, 27)]
+
+
+def test_rows_of_equal_times_are_parted_by_id(spark):
+    from safesheet.streaming import ingest
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([10, 20, 20, 20, 30, 30])] + [(None, 30), (9, None)], "id int, indexed_at int")
+    mark, taken = None, []
+    for _ in range(5):
+        part, last = ingest.since(rows, mark, 2)
+        taken.append([r["id"] for r in part.collect()])
+        mark = tuple(last.first() or mark)
+    assert taken == [[0, 1], [2, 3], [4, 5], [], []] and mark == (30, 5)
+
+
+def test_known_files_with_odd_names(spark, tmp_path):
+    for name in ("a b.jsonl", "c%20d.jsonl", "e#f.jsonl", "g.jsonl"):
+        (tmp_path / name).write_text(json.dumps({"cas": name}) + "\n")
+    known = jsonl_source.snapshots(spark, str(tmp_path / "a b.jsonl")).unionByName(jsonl_source.snapshots(spark, str(tmp_path / "c%20d.jsonl")))
+    got = sorted((r["cas"] or "", r["outcome"]) for r in jsonl_source.read_hazards(spark, str(tmp_path), known).collect())
+    assert got == [("", "snapshot_exists"), ("", "snapshot_exists"), ("e#f.jsonl", "processed"), ("g.jsonl", "processed")]
+
+
+def test_csv_files_with_heads_of_their_own(spark, tmp_path):
+    (tmp_path / "a.Csv").write_text('k,v\na,1\n\n"b, ""c""\nd",\n,\nx,y,z\n')
+    (tmp_path / "b.csv").write_text("one\n1\n2\n")
+    (tmp_path / "c.csv").write_text("p,q,r\n")
+    (tmp_path / "d e.TxT").write_text("text")
+    got = {r["title"]: (r["text"], r["rows"]) for r in files.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {"a": ('k: a | v: 1\nk: b, "c"\nd\nk: x | v: y', 3), "b": ("one: 1\none: 2", 2), "c": ("", 0), "d e": ("text", None)}
+    assert files.read_file(spark, str(tmp_path / "d e.TxT")).count() == 1
+    with pytest.raises(Exception, match="none.txt|no file"):
+        files.read_file(spark, str(tmp_path / "none.txt"))
