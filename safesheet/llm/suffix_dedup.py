@@ -15,15 +15,15 @@ from .common import _flagged, keep, python_ready, tidy, written
 
 #: A string of WIDTH bytes that a smaller doc_id holds too is removed.
 WIDTH = 50
-#: Each string of WIDTH bytes is found by the bytes of this number in it whose hash is least: its anchor. Strings in a row that share theirs are one suffix
+#: Each string of WIDTH bytes is found by the run of ANCHOR bytes in it whose hash is least: its anchor. Strings in a row that share theirs are one suffix
 #: of the text that begins there, and the bytes before it.
-ANCHOR = 16
+ANCHOR = 20
 #: Texts worked on at once have about so many bytes; longer ones are cut into overlapping pieces. Places in a part fit PLACE bits.
 PART, PLACE = 1 << 18, 24
 #: Suffixes of a sorted run, and bytes of suffixes that one merge gets.
 RUN, MERGE_BYTES = 200_000, 12 << 20
-#: Bits of the filter of anchors that several texts have: 8 MB, whatever the corpus; once it is full it holds back less, with the same results.
-BITS = 26
+#: Bits of the filter of anchors that several texts have: 32 MB, whatever the corpus; once it is full it holds back less, with the same results.
+BITS = 28
 #: An anchor that has more than one of so many parts of all suffixes is hot: its strings are dealt out by all of their bytes, each for itself.
 HOT_PARTS, HOT_LEAST = 20_000, 1000
 
@@ -85,9 +85,10 @@ def _gram_hashes(c: np.ndarray) -> np.ndarray:
     """A hash of the ANCHOR bytes from each place, by doubling."""
     h, width = _BYTES[c], 1
     while width < ANCHOR:
-        h = h[:-width] * np.uint64(0x9E3779B97F4A7C15) ^ h[width:]
+        step = min(width, ANCHOR - width)  # the last two runs may overlap
+        h = h[:-step] * np.uint64(0x9E3779B97F4A7C15) ^ h[step:]
         h ^= h >> np.uint64(29)
-        width *= 2
+        width += step
     return _mix(h)
 
 
@@ -198,11 +199,21 @@ def front_coded(s: Suffixes, part: np.ndarray, gone: Suffixes, gone_part: np.nda
         g, y = np.searchsorted(gone_part, [p, p + 1])
         body = [shared[a:z], s.size[a:z], near[a:z], s.before[a:z], s.late[a:z], s.at[a:z], s.key[a:z], s.row[a:z]]
         body += [gone.size[g:y], gone.before[g:y], gone.late[g:y], gone.at[g:y], gone.key[g:y], gone.row[g:y]]
-        yield p, b"".join([np.array([z - a, y - g], dtype=np.int64).tobytes(), *(np.ascontiguousarray(x).tobytes() for x in body), tails[tail_end[a] : tail_end[z]].tobytes(), sides[side_end[a] : side_end[z]].tobytes()])
+        yield p, packed(b"".join([np.array([z - a, y - g], dtype=np.int64).tobytes(), *(np.ascontiguousarray(x).tobytes() for x in body), tails[tail_end[a] : tail_end[z]].tobytes(), sides[side_end[a] : side_end[z]].tobytes()]))
+
+
+def packed(data: bytes) -> bytes:
+    """Compressed by entropy too, which Spark's own codec for shuffles doesn't do; the length first."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
 def decoded(run: bytes) -> tuple[dict[str, np.ndarray], list[int], list[bytes], np.ndarray, dict[str, np.ndarray]]:
     """Of a run: columns of the suffixes, the numbers of shared bytes, the suffixes, rows of the bytes before, and columns of what goes for sure."""
+    run = unpacked(run)
     n, m = np.frombuffer(run, dtype=np.int64, count=2).tolist()
     at = 16
 
@@ -478,6 +489,17 @@ def repeated_bytes(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     return _merge_parts(_sorted_runs(rows, bits(counts.select("h")), hot, n_parts), n_parts)
 
 
+def _packed_texts(rows: DataFrame) -> DataFrame:
+    """``rows`` (late, id, row, text) with their texts compressed, for a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.array([packed(t) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("late", "id", "row")), texts], ["late", "id", "row", "text"])
+
+    return rows.select("late", "id", "row", "text").mapInArrow(run, "late boolean, id long, row long, text binary")
+
+
 def _cut(text: bytes, found: list[dict] | None) -> tuple[bytes, list[dict]]:
     """The bytes that stay, and the maximal stretches that go."""
     spans: list[dict] = []
@@ -497,7 +519,7 @@ def suffix_dedup(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): every row with the bytes of its text that stay, and the stretches (start, end) that went, in bytes of its UTF-8 form.
 
     A byte goes if it lies in a string of 50 bytes that also begins in a document of a smaller doc_id; strings overlap, are judged on the input,
-    and don't cross documents. The strings around one anchor (the run of 16 bytes in them with the least hash) are one suffix that begins
+    and don't cross documents. The strings around one anchor (the run of 20 bytes in them with the least hash) are one suffix that begins
     there, with the bytes before it; anchors of one text only are left out by a filter of fixed size. Tasks sort their suffixes, exchange
     them front-coded by the hash of the anchor, and each part is merged by a tree of losers that compares no known prefix. Of suffixes that a run
     holds twice, the smallest id's is sent, as the others go for sure; a hot anchor's strings are dealt out singly, by all their bytes.
@@ -514,13 +536,13 @@ def suffix_dedup(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     doc_id = F.when(~F.col("late"), F.col("id")).cast(kind).alias("doc_id")
     whole = rows.filter("not __maybe").select(doc_id, F.octet_length("text").cast("long").alias("n_bytes"), none, same)
     lists = found.groupBy("late", "id", "row").agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    held = rows.filter("__maybe").drop("__maybe").join(lists, ["late", "id", "row"], "left").select("late", "id", "text", "found")
+    held = _packed_texts(rows.filter("__maybe").drop("__maybe")).join(lists, ["late", "id", "row"], "left").select("late", "id", "text", "found")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep("suffix_dedup")
         for b in batches:
-            texts = b.column("text").to_pylist()
+            texts = list(map(unpacked, b.column("text").to_pylist()))
             cut = [_cut(t, f) for t, f in zip(texts, b.column("found").to_pylist(), strict=True)]
             columns = [b.column("late"), b.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([s for _, s in cut], span), pa.array([k for k, _ in cut], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["late", "id", "n_bytes", "spans", "kept"])
