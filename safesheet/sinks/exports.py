@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workbook import export_excel
+
 
 def export_csv(rows: DataFrame, path: str, order: list[str] | None = None) -> str:
     """A CSV folder with a header; with ``order`` sorted over all its files by their names."""
@@ -36,12 +38,14 @@ def export_html(rows: DataFrame, path: str, title: str, most: int = 1000) -> str
 
 
 def export_report(tables: dict[str, DataFrame], statistics: DataFrame, folder: str, kind: str = "all", now: datetime | None = None) -> dict[str, str]:
-    """Path of each part of a report in ``folder``: tables as csv, statistics as json, all of both as html; ``kind`` is one of these or all. Names end in the time."""
-    if kind not in ("csv", "json", "html", "all"):
+    """Path of each part of a report in ``folder``: tables as csv, excel and html, statistics as json; ``kind`` is one of these or all. Names end in the time."""
+    if kind not in ("csv", "excel", "json", "html", "all"):
         raise ValueError(f"no report of kind {kind}")
     stamp, out = (now or datetime.now()).strftime("%Y%m%d_%H%M%S"), {}
     if kind in ("csv", "all"):
         out |= {f"{n}_csv": export_csv(t, f"{folder}/{n}_{stamp}.csv") for n, t in tables.items()}
+    if kind in ("excel", "all"):
+        out |= {f"{n}_excel": export_excel(t, f"{folder}/{n}_{stamp}", n) for n, t in tables.items()}
     if kind in ("json", "all"):
         out["json"] = export_json(statistics, f"{folder}/statistics_{stamp}.json")
     if kind in ("html", "all"):
