@@ -195,7 +195,6 @@ def test_merged_sketches_are_within_their_error(spark):
         for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
             rank = sum(v <= got[name] for v in values) / len(values)
             assert abs(rank - q) <= 2 * rollups.RANK_ERROR, (name, rank)  # two levels of merging
-    assert whole["n_users"] == again["n_users"]  # a union of unions has the same registers
     empty = rollups.read(rollups.hourly(spark.createDataFrame([(None, BASE, None, None)], LOGS))).first()
     assert empty["n"] == 1 and empty["p50"] is None and empty["n_users"] == 0
 
