@@ -130,7 +130,7 @@ def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return flagged.filter("not __maybe").drop("__maybe").unionByName(doubtful)
 
 
-#: Names of the columns that tell rows apart: 64 bits of the id, 128 of the text.
+#: Names of the columns that tell rows apart: 64 bits of the id, and of the text (the second digest of the text follows from the first).
 ROW = ["__t0", "__t1", "__t2"]
 
 

@@ -7,9 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
 from .common import join_null_safe, likely, keep, python_ready, tidy, written
 
@@ -172,16 +171,12 @@ def all_units(texts: list[str]) -> tuple[np.ndarray, ...]:
     return owner, a[order] - offset[owner], z[order] - offset[owner], first - base[first], after - base[first], kind[order], again, digest
 
 
-def _rank(docs: DataFrame) -> Column:
-    """What orders the occurrences of a unit: the id; rows without one come after all others, by a digest of their text."""
-    digest = F.xxhash64("text")
-    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
-        return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(digest, F.lit(1 << 61)))
-    return F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), digest).alias("digest"))
+#: What orders the occurrences of a unit: the id; rows without one come after all others, by ``late``, a digest of their text.
+RANK = ["id", "late"]
 
 
 def _all_rows(docs: DataFrame) -> DataFrame:
-    """A row for each unit of each text: rank, row, start, end, w0, w1, kind, again (the text has it before), h1, h2."""
+    """A row for each unit of each text: id, late, row, start, end, w0, w1, kind, again (the text has it before), h1, h2."""
     python_ready(docs.sparkSession)
     names = ["start", "end", "w0", "w1", "kind", "again", "h1", "h2"]
 
@@ -203,16 +198,17 @@ def _all_rows(docs: DataFrame) -> DataFrame:
         owner, *found, digest = all_units(part)
         of = pa.array(owner + begin, pa.int64())
         columns = [pa.array(c, t, safe=False) for c, t in zip(found, [*[pa.int32()] * 5, pa.bool_()], strict=True)]
-        return pa.RecordBatch.from_arrays([b.column("rank").take(of), b.column("row").take(of), *columns, *(pa.array(h.view(np.int64)) for h in digest)], ["rank", "row", *names])
+        return pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in (*RANK, "row")), *columns, *(pa.array(h.view(np.int64)) for h in digest)], [*RANK, "row", *names])
 
-    rows = docs.filter("text is not null").select(_rank(docs).alias("rank"), F.xxhash64("text").alias("row"), "text")
-    schema = f"rank {rows.schema['rank'].dataType.simpleString()}, row long, start int, end int, w0 int, w1 int, kind int, again boolean, h1 long, h2 long"
+    digest = F.xxhash64("text")
+    rows = docs.filter("text is not null").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), digest).alias("late"), digest.alias("row"), "text")
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, late long, row long, start int, end int, w0 int, w1 int, kind int, again boolean, h1 long, h2 long"
     return rows.mapInArrow(run, schema)
 
 
 def _islands(found: DataFrame) -> DataFrame:
     """``found`` with island: a number for the units of a text that overlap or follow each other without a word between."""
-    order = Window.partitionBy("rank", "row").orderBy("w0", F.desc("w1"), "start", "kind")
+    order = Window.partitionBy(*RANK, "row").orderBy("w0", F.desc("w1"), "start", "kind")
     reach = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("island", F.coalesce(F.col("w0") > reach, F.lit(True)).cast("int")).withColumn("island", F.sum("island").over(order))
 
@@ -232,28 +228,24 @@ def removable_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     costs less than writing them all, and most that aren't repeats go before the shuffle by a bit filter of fixed size.
     """
     made = _all_rows(docs)
-    first = made.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = made.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.min("late").alias("first_late"), F.count("*").alias("n")).filter("n > 1").drop("n")
     first = written(first, "repeated-units")
-    found = likely(made, first, "h1", "h2").join(first, ["h1", "h2"]).filter("again or rank > first").select("rank", "row", "start", "end", "w0", "w1", "kind", "first")
-    found = found.repartition("rank", "row").dropDuplicates(["rank", "row", "start", "end", "kind"])
-    of = Window.partitionBy("rank", "row", "island")
+    later = "again or id > first or id is null and (first is not null or late > first_late)"
+    found = likely(made, first, "h1", "h2").join(first, ["h1", "h2"]).filter(later).select(*RANK, "row", "start", "end", "w0", "w1", "kind", "first")
+    found = found.repartition(*RANK, "row").dropDuplicates([*RANK, "row", "start", "end", "kind"])
+    of = Window.partitionBy(*RANK, "row", "island")
     found = _islands(found).withColumn("run", F.max("w1").over(of) - F.min("w0").over(of))
     gone = _islands(found.filter((F.col("kind") == WHOLE) | (F.col("run") >= min_words)).drop("island"))
-    spans = gone.groupBy("rank", "row", "island").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).cast("long").alias("n_words"), F.count("*").alias("n_units"), F.min("first").alias("kept")
+    spans = gone.groupBy(*RANK, "row", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).cast("long").alias("n_words"), F.count("*").alias("n_units"), F.min("first").alias("kept_doc_id")
     )
-    kind = docs.schema["doc_id"].dataType
-    if isinstance(kind, IntegralType):
-        own = lambda c: F.when(F.col(c) < 1 << 62, F.col(c)).cast(kind)
-    else:
-        own = lambda c: F.col(f"{c}.id")
-    return spans.select(own("rank").alias("doc_id"), "row", "start", "end", "n_words", "n_units", own("kept").alias("kept_doc_id"))
+    return spans.select(F.col("id").alias("doc_id"), "row", "start", "end", "n_words", "n_units", "kept_doc_id")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` without the spans (doc_id, row, start, end) in text, and with ``removed``: their original offsets, sorted; replaces a column of that name.
 
-    Repeated rows are all cut alike; no row goes, and null text stays null."""
+    Repeated rows are all cut alike; no row goes, and null text stays null. An empty table gives none."""
     columns = [c for c in docs.columns if c != "removed"]
     lists = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("d"), "doc_id", F.xxhash64("text").alias("row"))

@@ -265,3 +265,18 @@ def test_numbered_rows_of_ties_and_many_partitions(spark):
     got, n = numbered(rows, [rows["a"].desc()], "place")
     got = got.orderBy("place").collect()
     assert n == 3000 and [r["place"] for r in got] == list(range(1, 3001)) and [r["a"] for r in got] == sorted((r["a"] for r in got), reverse=True)
+
+
+# 4
+
+
+def test_substring_spans_of_large_and_missing_ids(spark):
+    from safesheet.llm import substring_dedup
+
+    text = " ".join(f"w{k}" for k in range(40))
+    big = 2**62 + 7
+    rows = [(5, text), (big, text + "\nown"), (-(2**63), "x\n" + text.upper()), (None, text), (None, text + "\nlast"), (2**63 - 1, "own")]
+    spans = substring_dedup.removable_spans(frame(spark, rows))
+    assert {r["doc_id"] for r in spans.collect()} == {5, big, None, 2**63 - 1}
+    left = {(r["doc_id"], r["text"]) for r in substring_dedup.remove_spans(frame(spark, rows), spans).collect()}
+    assert {(d, t.strip()) for d, t in left} == {(5, ""), (big, "own"), (-(2**63), ("x\n" + text.upper()).strip()), (None, ""), (None, "last"), (2**63 - 1, "")}
