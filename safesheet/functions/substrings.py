@@ -5,33 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import likely
+
 #: Characters of the keys that needles and texts are joined by; a shorter needle is its own key.
 GRAM = 4
 
 
 def _grams(text: Column, size: int) -> Column:
-    """All runs of ``size`` characters, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    """All runs of ``size`` characters, in their order."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def _found(texts: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame:
+    """(tid, key): the runs of the texts that may be among ``keys`` (key), with a digest of the text; the text itself doesn't come along."""
+    runs = F.flatten(F.array(*[_grams(F.col("text"), k) for k in sizes]))
+    return likely(texts.select(F.xxhash64("text").alias("tid"), F.explode(runs).alias("key")), keys, "key")
 
 
 def contained(needles: DataFrame, texts: DataFrame, size: int = GRAM) -> DataFrame:
     """(needle, text): every needle (needle) and text (text) that holds it, by their distinct spellings. Compare in one case to leave case out.
 
-    A needle is looked for by the rarest of its runs of ``size`` characters, as the texts have them: needles and texts are joined by that key, and what meets is
-    compared. So only texts with a needle's rarest run are looked at, and a run that most texts have is a key only for needles of nothing else.
-    Needles that are null or empty are in no text, nor are any in a null one."""
+    A needle is looked for by the rarest of its runs of ``size`` characters, as the texts have them: the texts' runs are joined with these keys, and the texts that have
+    a needle's key are compared with it. So only those texts are shuffled, and a run that most texts have is a key only for needles of nothing else. Runs that
+    are no needle's go before the shuffle by a filter of fixed size. Needles that are null or empty are in no text, nor are any in a null one."""
     asked = needles.select("needle").filter("needle <> ''").distinct()
-    held = texts.select("text").filter("text <> ''").distinct()
-    keys = F.when(F.length("needle") < size, F.array("needle")).otherwise(_grams(F.col("needle"), size))
+    held = texts.select("text").filter("text <> ''")
+    keys = F.when(F.length("needle") < size, F.array("needle")).otherwise(F.array_distinct(_grams(F.col("needle"), size)))
     keyed = asked.select("needle", F.explode(keys).alias("key"))
-    own = [_grams(F.col("text"), k) for k in range(1, size)]
-    short = F.flatten(F.array(*own)) if own else F.array().cast("array<string>")
-    some = asked.filter(F.length("needle") < size).limit(1).count() > 0  # else no text needs its shorter runs
-    found = held.select("text", F.explode(F.array_union(_grams(F.col("text"), size), short) if some else _grams(F.col("text"), size)).alias("key"))
-    found = found.join(keyed.select("key").distinct(), "key", "left_semi")
-    often = found.groupBy("key").agg(F.count("*").alias("n"))
-    rarest = keyed.join(often, "key", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k")).filter("k.n > 0")
-    return rarest.select("needle", F.col("k.key").alias("key")).join(found, "key").filter(F.contains("text", F.col("needle"))).select("needle", "text")
+    sizes = sorted(r[0] for r in keyed.select(F.length("key")).distinct().collect())  # ``size`` numbers at most
+    if not sizes:
+        return asked.select("needle", F.lit(None).cast("string").alias("text")).limit(0)
+    often = _found(held, keyed.select("key"), sizes).groupBy("key").agg(F.count("*").alias("n"))
+    rarest = keyed.join(often, "key").groupBy("needle", F.length("needle").alias("length")).agg(F.min(F.struct("n", "key")).alias("k"), F.count("*").alias("seen"))
+    whole = F.when(F.col("length") < size, 1)  # a needle of which some run is in no text is in none
+    chosen = rarest.join(keyed.groupBy("needle").agg(F.count("*").alias("runs")), "needle").filter(F.col("seen") == F.coalesce(whole, F.col("runs"))).select("needle", F.col("k.key").alias("key"))
+    pairs = _found(held, chosen.select("key"), sizes).join(chosen, "key").select("needle", "tid").distinct()
+    near = likely(held.withColumn("tid", F.xxhash64("text")), pairs, "tid").join(pairs, "tid")
+    return near.filter(F.contains("text", F.col("needle"))).select("needle", "text").distinct()
 
 
 def named_pairs(products: DataFrame, tokens: Column, size: int = GRAM) -> DataFrame:

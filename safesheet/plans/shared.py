@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its plan cut, as a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+#: Bits of the filter of ``likely``, in words of 64: at most 2**18 rows of 16 bytes are broadcast, however many keys there are.
+FILTER_BITS = 24
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't in ``wanted``, by a bit filter of fixed size: what a join would throw away needn't be shuffled."""
+    at = F.xxhash64(key)
+    word = F.shiftright(F.pmod(at, F.lit(1 << FILTER_BITS)), 6)
+    bits = wanted.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+    held = rows.withColumn("__word", word).join(F.broadcast(bits), "__word")
+    return held.filter(F.getbit("__bits", F.pmod(at, F.lit(64)).cast("int")) == 1).drop("__word", "__bits")
