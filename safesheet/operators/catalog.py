@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.domain import duckdb_query, spark_query
-from . import analytics, answers, graph, ingest, intake, relational, rollups, search, sheets, text, vector
+from . import analytics, answers, graph, ingest, intake, relational, rollups, screens, search, sheets, text, vector
 
 TEXTS: dict[str, str] = relational.QUERIES | analytics.QUERIES | graph.QUERIES | text.QUERIES
 
@@ -18,8 +18,8 @@ def _run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(_run, sql) for name, sql in TEXTS.items()} | vector.QUERIES | answers.QUERIES | sheets.QUERIES | ingest.QUERIES | search.QUERIES | rollups.QUERIES | intake.QUERIES
+    return {name: partial(_run, sql) for name, sql in TEXTS.items()} | vector.QUERIES | answers.QUERIES | sheets.QUERIES | ingest.QUERIES | search.QUERIES | rollups.QUERIES | intake.QUERIES | screens.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duckdb_query(sql) for name, sql in TEXTS.items()} | vector.SQL | answers.SQL | sheets.SQL | ingest.SQL | search.SQL | rollups.SQL | intake.SQL
+    return {name: duckdb_query(sql) for name, sql in TEXTS.items()} | vector.SQL | answers.SQL | sheets.SQL | ingest.SQL | search.SQL | rollups.SQL | intake.SQL | screens.SQL

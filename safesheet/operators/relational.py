@@ -52,7 +52,6 @@ QUERIES = {
     "identified_chemicals": f"""SELECT cas, max_by(name, ord) AS best_name, max(conf) AS best_confidence, count(DISTINCT document_id) AS n_documents FROM (
         SELECT e.value AS cas, p.value AS name, e.confidence AS conf, e.document_id, e.confidence * 1000000 - e.document_id / 1000000.0E0 AS ord FROM extractions e LEFT JOIN (SELECT document_id, value FROM extractions WHERE field_name = 'product_name') p ON p.document_id = e.document_id
         WHERE e.field_name = 'cas_number' AND e.value IS NOT NULL AND e.value NOT IN ('', 'NOT_FOUND', 'N/A', 'ERROR') UNION ALL SELECT cas_number, chemical_name, confidence, document_id, confidence * 1000000 - document_id / 1000000.0E0 FROM ingredients) x GROUP BY cas""",
-    "hazardous_combinations": """SELECT r.cas_a, r.cas_b, r.rule FROM rules r WHERE r.rule IN ('I', 'R') AND r.cas_a IN (SELECT cas_number FROM ingredients) AND r.cas_b IN (SELECT cas_number FROM ingredients)""",
     "cas_hazard": "SELECT c.value AS cas, h.value AS hazard FROM extractions c LEFT JOIN extractions h ON h.document_id = c.document_id AND h.field_name = 'hazard_class' WHERE c.field_name = 'cas_number' AND c.value NOT IN ('NOT_FOUND', 'N/A') AND h.value IS NOT NULL",
     "hazard_rule_pairs": """WITH chemical AS (SELECT DISTINCT cas, hazard_class FROM chem), held AS (SELECT hazard_class, count(*) AS n FROM chemical GROUP BY hazard_class),
         given AS (SELECT x, y, priority FROM (VALUES ('1', '5', 1), ('3', '5', 2), ('8', '4', 3), ('3', '1', 4), ('6', '8', 5)) AS r(x, y, priority)), pair AS (SELECT x, y, min(priority) AS priority FROM (SELECT x, y, priority FROM given UNION ALL SELECT y, x, priority FROM given) u GROUP BY x, y)

@@ -9,7 +9,7 @@ from ..functions import chunks, matrix, names, tables, walks
 from ..functions.answers import normal_answer
 from ..functions.fields import BASE_CONFIDENCE, DANGEROUS, base_confidence, extract_fields, is_dangerous
 from ..functions.sheets import ingredients, sections
-from ..plans.domain import duckdb_query, spark_query
+from ..plans.domain import duckdb_query, rules_among, spark_query
 from ..plans.shared import cut
 
 _CHEM = "SELECT document_id, product_name, cas, hazard_class, p_size FROM chem"
@@ -257,8 +257,8 @@ def incompat_matrix(spark: SparkSession, sf_dir: str, latest: int | None = LATES
     products = spark_query(spark, sf_dir, _PRODUCTS)
     if latest is not None:
         products = products.orderBy(F.desc_nulls_last("processed_at"), "document_id").limit(latest)
-    rules, hazards = (spark_query(spark, sf_dir, f"SELECT * FROM {t}") for t in ("rules", "hazards"))
-    return matrix.compatibility_matrix(products, rules, hazards).drop("layer")
+    rules = rules_among(spark, sf_dir, products.select(F.col("cas_number").alias("cas")))
+    return matrix.compatibility_matrix(products, rules, spark_query(spark, sf_dir, "SELECT * FROM hazards")).drop("layer")
 
 
 MATRIX_SQL = f"""WITH p AS (SELECT document_id, product_name, cas_number, incompatibilities FROM wide ORDER BY processed_at DESC NULLS LAST, document_id LIMIT {LATEST}),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
 
@@ -129,5 +130,16 @@ def spark_query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
+def rules_among(spark: SparkSession, sf_dir: str, chemicals: DataFrame) -> DataFrame:
+    """The rows of ``rules`` (without source) between the given ``chemicals`` (cas): the lines of their parts alone are paired."""
+    parts = spark_query(spark, sf_dir, "SELECT document_id, cas FROM chem").join(chemicals.select("cas").distinct(), "cas", "left_semi")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_returnflag")
+    held = lines.join(parts, lines["l_partkey"] + 1 == parts["document_id"]).select("l_orderkey", "l_partkey", "l_returnflag", "cas")
+    other = held.select("l_orderkey", F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("other_flag"), F.col("cas").alias("other"))
+    pairs = held.join(other, "l_orderkey").filter("l_partkey < part")
+    flags = pairs.groupBy(F.least("cas", "other").alias("cas_a"), F.greatest("cas", "other").alias("cas_b")).agg(F.min(F.least("l_returnflag", "other_flag")).alias("flag"))
+    return flags.select("cas_a", "cas_b", F.when(F.col("flag") == "R", "R").when(F.col("flag") == "A", "I").otherwise("C").alias("rule"))
+
+
 def duckdb_query(sql: str) -> str:
     return render(whole(sql), 1)
