@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import confidence_model, matrix, mixtures, screening, wide
+from ..functions import confidence_model, enrichment, matrix, mixtures, screening, wide
 from ..plans.domain import duckdb_query, rules_among, spark_query
 from .ingest import SQL as INGEST_SQL
 from .ingest import ml_features
@@ -124,3 +124,26 @@ SQL = {
     "screened_names": duckdb_query(NAMES_SQL), "sheet_kinds": _kinds_sql(), "mixture_classified": duckdb_query(MIXTURE_SQL), "wide_tiers": duckdb_query(WIDE_SQL), "extended_gaps": duckdb_query(GAPS_SQL),
     "rule_confidence": _rule_sql(), "hazardous_combinations": duckdb_query(HAZARDOUS_SQL),
 }
+
+_OWN = """SELECT document_id, CASE WHEN document_id % 3 = 0 THEN NULL WHEN document_id % 5 = 0 THEN concat(cas, 'x') ELSE cas END AS cas_number, CASE document_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'c2 h6o' WHEN 2 THEN 'CH4' ELSE 'C2H6O' END AS molecular_formula,
+    CAST(p_size AS STRING) AS molecular_weight, CASE WHEN p_size % 2 = 0 THEN 'H225,H319' ELSE 'H225' END AS h_statements, CAST(NULL AS STRING) AS p_statements, product_name, (document_id % 10) / 10.0E0 AS mean_confidence FROM chem"""
+
+
+def enrichment_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chemicals as documents with some values changed, compared with their properties."""
+    own = spark_query(spark, sf_dir, "SELECT document_id, cas AS cas_number, product_name, p_size FROM chem")
+    properties = own.select(
+        "document_id", "cas_number", F.lit("C2H6O").alias("molecular_formula"), F.lit(None).cast("string").alias("iupac_name"), F.when(F.col("p_size") % 7 == 0, "about 46").otherwise("46.069").alias("molecular_weight"),
+        F.lit("CCO").alias("canonical_smiles"), F.lit("").alias("inchi_key"), F.array(F.lit("H319"), F.lit("H225")).alias("hazard_statements"), F.array(F.lit("P210")).alias("precautionary_statements"), F.array().cast("array<string>").alias("pictograms"),
+        F.when(F.col("p_size") % 2 == 0, F.array(F.upper("product_name"))).otherwise(F.array(F.lit("zz"))).alias("synonyms"), F.lit(None).cast("string").alias("url"),
+    )
+    return enrichment.compare(spark_query(spark, sf_dir, _OWN), properties).select("document_id", "field_name", "enriched", "confidence", "status")
+
+
+FINDINGS_SQL = f"""WITH d AS (SELECT o.*, c.cas, c.p_size FROM ({_OWN}) o JOIN chem c ON c.document_id = o.document_id WHERE o.mean_confidence < 0.8)
+    SELECT document_id, 'cas_number' AS field_name, cas AS enriched, CASE WHEN cas_number IS NULL THEN 0.85E0 ELSE 0.6E0 END AS confidence, CASE WHEN cas_number IS NULL THEN 'enriched' ELSE 'warning' END AS status FROM d WHERE cas_number IS NULL OR cas_number <> cas
+    UNION ALL SELECT document_id, 'molecular_formula', 'C2H6O', CASE WHEN molecular_formula = '' THEN 0.9E0 ELSE 0.65E0 END, CASE WHEN molecular_formula = '' THEN 'enriched' ELSE 'warning' END FROM d WHERE molecular_formula IN ('', 'CH4')
+    UNION ALL SELECT document_id, 'molecular_weight', CASE WHEN p_size % 7 = 0 THEN 'about 46' ELSE '46.07 g/mol' END, CASE WHEN p_size % 7 = 0 THEN 0.8E0 ELSE 0.95E0 END, 'enriched' FROM d UNION ALL SELECT document_id, 'canonical_smiles', 'CCO', 0.95E0, 'enriched' FROM d
+    UNION ALL SELECT document_id, 'h_statements', 'H225, H319', 0.8E0, 'enriched' FROM d WHERE p_size % 2 <> 0 UNION ALL SELECT document_id, 'p_statements', 'P210', 0.8E0, 'enriched' FROM d UNION ALL SELECT document_id, 'product_name', NULL, 0.5E0, 'warning' FROM d WHERE p_size % 2 <> 0"""
+QUERIES["enrichment_findings"] = enrichment_findings
+SQL["enrichment_findings"] = duckdb_query(FINDINGS_SQL)

@@ -90,3 +90,52 @@ def test_confidence_by_rule(spark):
     rows = [(1.0, 1.0, 1.0, 3.0), (0.0, 0.0, 0.0, 0.0), (0.5, 0.0, 0.0, 1.0), (5.0, 1.0, 1.0, 1.0)]
     got = confidence_model.by_rule(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))).collect()
     assert [(round(r["confidence"], 6), r["quality_tier"], r["is_high_quality"]) for r in got] == [(0.93, "good", True), (0.5, "poor", False), (0.65, "acceptable", False), (1.0, "good", True)]
+
+
+def test_enrichment_compares_each_field(spark):
+    from safesheet.functions import enrichment
+
+    documents = spark.createDataFrame(
+        [(1, None, "c2 h6o", None, "H225", None, "Ethanol X", 0.5), (2, "64-17-6", "CH4", "46", "H225,H319", "P210", "ethyl", None), (3, None, None, None, None, None, None, 0.8), (4, None, None, None, None, None, None, 0.1)],
+        "document_id int, cas_number string, molecular_formula string, molecular_weight string, h_statements string, p_statements string, product_name string, mean_confidence double",
+    )
+    own = ("64-17-5", "C2H6O", "ethanol", "46.069", "CCO", "LFQ", ["H319", "H225"], ["P210"], ["GHS02"], ["Ethyl alcohol", "Ethanol"], "http://x")
+    properties = spark.createDataFrame([(k, *own) for k in (1, 2, 3)] + [(4, None, None, None, "about 46", None, None, None, None, [], [], None)], f"document_id int, {enrichment.PROPERTIES}")
+    got = {(r["document_id"], r["field_name"]): r for r in enrichment.compare(documents, properties).collect()}
+    brief = {k: (r["original"], r["enriched"], r["confidence"], r["status"]) for k, r in got.items()}
+    assert brief[1, "cas_number"] == (None, "64-17-5", 0.85, "enriched") and brief[2, "cas_number"] == ("64-17-6", "64-17-5", 0.6, "warning")
+    assert (1, "molecular_formula") not in got and brief[2, "molecular_formula"] == ("CH4", "C2H6O", 0.65, "warning")
+    assert brief[1, "molecular_weight"] == (None, "46.07 g/mol", 0.95, "enriched") and brief[2, "molecular_weight"][0] == "46" and brief[4, "molecular_weight"] == (None, "about 46", 0.8, "enriched")
+    assert brief[1, "h_statements"] == ("H225", "H225, H319", 0.8, "enriched") and got[1, "h_statements"]["missing"] == ["H319"] and (2, "h_statements") not in got
+    assert brief[1, "p_statements"] == (None, "P210", 0.8, "enriched") and (2, "p_statements") not in got
+    assert brief[1, "product_name"][2:] == (0.5, "warning") and (2, "product_name") not in got and brief[1, "ghs_pictograms"][1] == "GHS02" and brief[1, "inchi_key"][2] == 0.95
+    assert not [k for k in got if k[0] == 3] and {f for d, f in got if d == 4} == {"molecular_weight"}
+    more = {r["field_name"] for r in enrichment.compare(documents, properties, aggressive=True).collect()} - {f for _, f in got}
+    assert more == {"reference", "chemical_synonyms"}
+
+
+def test_collection_is_added_deleted_and_asked(spark, tmp_path):
+    from safesheet.functions import retrieval, vectors
+
+    def embed(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no model")
+        return [[1.0, float(len(t))] for t in texts]
+
+    rows = [(k, "s1" if k % 2 else "s2", f"text {'x' * k}") for k in range(6)] + [(6, None, None), (7, "s1", "bad"), (8, "s1", "after")]
+    chunks = spark.createDataFrame(rows, "document_id int, source string, text string").coalesce(1)
+    got = {r["document_id"]: (r["outcome"], r["embedding"]) for r in retrieval.add_documents(chunks, embed, 3).collect()}
+    assert [got[k][0] for k in range(9)] == ["added"] * 6 + ["failed"] * 3 and got[2][1] == [1.0, 7.0] and got[7][1] is None
+    got = {r["document_id"]: r["outcome"] for r in retrieval.add_documents(chunks, embed, 2).collect()}
+    assert [got[k] for k in (5, 6, 7, 8)] == ["added", "failed", "failed", "skipped"]
+    assert {(r["source"], r["documents"], r["chunks"]) for r in retrieval.collection_stats(chunks).collect()} == {("s1", 5, 5), ("s2", 3, 3), (None, 1, 1)}
+    assert retrieval.delete_source(chunks, "s1").count() == 4
+    df = spark.createDataFrame([(1, [1.0, 0.0], "a", "about acids"), (2, [0.9, 0.1], None, "about bases"), (3, [0.0, 1.0], "c", "other")], "id int, embedding array<double>, source string, content string")
+    centroids = vectors.fit_centroids(df, 1)
+    indexed = vectors.index(df.select("id", "embedding"), centroids, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "which?", [1.0, 0.0]), (2, None, [1.0, 0.0])], "query_id int, question string, embedding array<double>")
+    found = retrieval.retrieve(asked, indexed, df.select("id", "source", "content"), centroids, 2)
+    r = retrieval.answer(found, lambda p, s: f"{len(p)} {s[:7]}").collect()
+    assert len(r) == 1 and r[0]["context"] == "a:\nabout acids\n---\n:\nabout bases" and r[0]["answer"] == f"{len(r[0]['prompt'])} You are" and r[0]["prompt"].endswith("Question: which?\n\nAnswer:")
+    none = retrieval.retrieve(asked, indexed.limit(0), df.select("id", "source", "content"), centroids, 2)
+    assert [x["answer"] for x in retrieval.answer(none, lambda p, s: "never").collect()] == [retrieval.NOTHING]
