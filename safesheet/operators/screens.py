@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import confidence_model, enrichment, matrix, mixtures, screening, wide
+from ..functions import confidence_model, enrichment, knowledge_graph, matrix, mixtures, screening, wide
 from ..plans.domain import duckdb_query, rules_among, spark_query
+from ..plans.shared import written
 from .ingest import SQL as INGEST_SQL
 from .ingest import ml_features
 
@@ -147,3 +148,34 @@ FINDINGS_SQL = f"""WITH d AS (SELECT o.*, c.cas, c.p_size FROM ({_OWN}) o JOIN c
     UNION ALL SELECT document_id, 'h_statements', 'H225, H319', 0.8E0, 'enriched' FROM d WHERE p_size % 2 <> 0 UNION ALL SELECT document_id, 'p_statements', 'P210', 0.8E0, 'enriched' FROM d UNION ALL SELECT document_id, 'product_name', NULL, 0.5E0, 'warning' FROM d WHERE p_size % 2 <> 0"""
 QUERIES["enrichment_findings"] = enrichment_findings
 SQL["enrichment_findings"] = duckdb_query(FINDINGS_SQL)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    q = lambda sql: spark_query(spark, sf_dir, sql)
+    codes = knowledge_graph.code_tables(q("SELECT document_id, field_name, value FROM extractions"))
+    rules = q("SELECT cas_a, cas_b, rule, source, 'a' AS group_a, 'b' AS group_b, NULL AS justification FROM rules")
+    makers = q("SELECT DISTINCT cas, manufacturer FROM cas_maker")
+    similar = q("SELECT a.cas AS cas_a, a.cas AS cas_b, 0.8E0 AS score, 'profile' AS kind FROM hazards a WHERE a.env_risk")
+    edges = written(knowledge_graph.graph_edges(rules, makers, None, similar), "edges")
+    products = q("SELECT document_id, cas_number AS cas, product_name, manufacturer AS supplier, avg_confidence AS confidence, hazard_class FROM wide WHERE cas_number NOT IN ('NOT_FOUND', 'N/A')")
+    hazards = q("SELECT cas, hazard_flags, env_risk, idlh, pel, CAST(NULL AS DOUBLE) AS rel FROM hazards")
+    return knowledge_graph.graph_nodes(edges, products, hazards, codes["classes"], codes["p_codes"].select("cas", "p_code")), edges
+
+
+def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the graph of all loaders."""
+    nodes, edges = _graph(spark, sf_dir)
+    found = knowledge_graph.graph_stats(nodes, edges)
+    return found.withColumns({"avg_degree": F.round("avg_degree", 6), "density": F.round("density", 9)})
+
+
+_NUMBERED = "(SELECT document_id, max(value) FILTER (WHERE field_name = 'cas_number') AS cas, max(value) FILTER (WHERE field_name = 'hazard_class') AS k, max(value) FILTER (WHERE field_name = 'p_statements') AS p FROM extractions GROUP BY document_id)"
+SUMMARY_SQL = f"""WITH e AS (SELECT cas_a AS a, cas_b AS b, 'i' AS kind FROM rules UNION ALL SELECT cas_b, cas_a, 'i' FROM rules UNION ALL SELECT DISTINCT cas, concat('mfg:', manufacturer), 'm' FROM cas_maker WHERE manufacturer IS NOT NULL
+    UNION ALL SELECT cas, cas, 's' FROM hazards, range(2) AS r(k) WHERE env_risk), s AS (SELECT * FROM {_NUMBERED} x WHERE cas NOT IN ('', 'NOT_FOUND', 'N/A')),
+    n AS (SELECT a AS id FROM e UNION SELECT b FROM e UNION SELECT cas FROM hazards UNION SELECT cas FROM s WHERE k <> '' OR p IS NOT NULL UNION SELECT cas_number FROM wide WHERE cas_number NOT IN ('NOT_FOUND', 'N/A')),
+    f AS (SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM n WHERE NOT starts_with(id, 'mfg:')) AS chemicals, (SELECT count(DISTINCT cas) FROM s WHERE k <> '' AND k NOT IN ('NOT_FOUND', 'N/A')) AS with_hazards,
+    (SELECT count(DISTINCT cas) FROM s WHERE regexp_matches(p, 'P(1[0-9][0-9]|[2-4][0-9][0-9]|50[0-9]|510)')) AS with_p_statements, (SELECT count(DISTINCT a) FROM e WHERE kind = 's') AS with_similarity)
+    SELECT nodes, edges, chemicals, nodes - chemicals AS manufacturers, round(2.0E0 * edges / nodes, 6) AS avg_degree, round(edges / (CAST(nodes AS DOUBLE) * (nodes - 1)), 9) AS density, with_hazards, with_p_statements, with_similarity,
+    concat(with_hazards, '/', chemicals) AS hazards_coverage, concat(with_p_statements, '/', chemicals) AS p_statements_coverage, concat(with_similarity, '/', chemicals) AS similarity_coverage FROM f"""
+QUERIES["graph_summary"] = graph_summary
+SQL["graph_summary"] = duckdb_query(SUMMARY_SQL)

@@ -139,3 +139,40 @@ def test_collection_is_added_deleted_and_asked(spark, tmp_path):
     assert len(r) == 1 and r[0]["context"] == "a:\nabout acids\n---\n:\nabout bases" and r[0]["answer"] == f"{len(r[0]['prompt'])} You are" and r[0]["prompt"].endswith("Question: which?\n\nAnswer:")
     none = retrieval.retrieve(asked, indexed.limit(0), df.select("id", "source", "content"), centroids, 2)
     assert [x["answer"] for x in retrieval.answer(none, lambda p, s: "never").collect()] == [retrieval.NOTHING]
+
+
+def test_graph_of_all_loaders(spark):
+    from safesheet.functions import knowledge_graph as kg
+
+    rules = spark.createDataFrame([("1", "2", "I", "s", "j", "ga", "gb"), (None, "2", "I", "s", "j", "ga", "gb")], "cas_a string, cas_b string, rule string, source string, justification string, group_a string, group_b string")
+    makers = spark.createDataFrame([("1", "Acme"), ("9", None)], "cas string, manufacturer string")
+    families = spark.createDataFrame([("1", "3")], "cas_a string, cas_b string")
+    similar = spark.createDataFrame([("2", "3", 0.9, "tanimoto")], "cas_a string, cas_b string, score double, kind string")
+    edges = kg.graph_edges(rules, makers, families, similar)
+    got = {(r["src"], r["dst"], r["kind"]): r for r in edges.collect()}
+    assert set(got) == {("1", "2", "incompatible_with"), ("2", "1", "incompatible_with"), ("1", "mfg:Acme", "manufactured_by"), ("1", "3", "product_family"), ("3", "1", "product_family"), ("2", "3", "similar_to"), ("3", "2", "similar_to")}
+    assert (got["2", "1", "incompatible_with"]["group_src"], got["2", "1", "incompatible_with"]["rule"], got["3", "2", "similar_to"]["score"], got["1", "3", "product_family"]["detail"]) == ("gb", "I", 0.9, "same_manufacturer")
+    products = spark.createDataFrame([(1, "1", "old", "S", 0.1, "3"), (2, "1", "new", "T", 0.2, None), (3, "4", "x", None, None, "")], "document_id int, cas string, product_name string, supplier string, confidence double, hazard_class string")
+    hazards = spark.createDataFrame([("5", "{}", True, 1.0, None, None)], "cas string, hazard_flags string, env_risk boolean, idlh double, pel double, rel double")
+    classes, statements = spark.createDataFrame([("1", "b"), ("1", "a"), ("1", "a")], "cas string, ghs_class string"), spark.createDataFrame([("6", "P210")], "cas string, p_code string")
+    nodes = kg.graph_nodes(edges, products, hazards, classes, statements)
+    by = {r["id"]: r for r in nodes.collect()}
+    assert set(by) == {"1", "2", "3", "4", "5", "6", "mfg:Acme"} and nodes.count() == 7
+    assert (by["1"]["product_name"], by["1"]["ghs_class"], by["1"]["hazard_classes"]) == ("new", "3", ["a", "b"]) and by["mfg:Acme"]["name"] == "Acme" and by["4"]["ghs_class"] is None and by["5"]["env_risk"] and by["6"]["p_statements"] == ["P210"] and by["2"]["kind"] == "chemical"
+    r = kg.graph_stats(nodes, edges).first()
+    assert (r["nodes"], r["edges"], r["chemicals"], r["manufacturers"], r["avg_degree"], round(r["density"], 6), r["with_similarity"], r["hazards_coverage"], r["similarity_coverage"]) == (7, 7, 6, 1, 2.0, round(7 / 42, 6), 2, "1/6", "2/6")
+    assert {x["kind"]: x["n"] for x in kg.edge_kinds(edges).collect()} == {"incompatible_with": 2, "manufactured_by": 1, "product_family": 2, "similar_to": 2}
+    none = kg.graph_stats(nodes.limit(0), edges.limit(0)).first()
+    assert (none["nodes"], none["edges"], none["density"], none["avg_degree"]) == (0, 0, 0.0, 0.0)
+
+
+def test_code_tables_are_loaded_once(spark):
+    from safesheet.functions import knowledge_graph as kg
+
+    rows = [(1, "cas_number", "64-17-5"), (1, "hazard_class", "3"), (1, "h_statements", "H225 H319, H999"), (1, "p_statements", "P210"), (2, "cas_number", "NOT_FOUND"), (2, "hazard_class", "8"), (3, "cas_number", "64-17-5"), (3, "h_statements", "H225"), (3, "hazard_class", "N/A")]
+    extractions = spark.createDataFrame(rows, "document_id int, field_name string, value string")
+    tables = kg.code_tables(extractions)
+    assert {n: sorted(tuple(r) for r in t.collect()) for n, t in tables.items()} == {"classes": [("64-17-5", "3")], "h_codes": [("64-17-5", "H225"), ("64-17-5", "H319")], "p_codes": [("64-17-5", "P210")]}
+    stored = {"classes": spark.createDataFrame([("64-17-5", "3"), ("x", "y")], "cas string, ghs_class string"), "h_codes": tables["h_codes"].limit(0), "p_codes": tables["p_codes"]}
+    again = kg.load_codes(stored, extractions)
+    assert {n: t.count() for n, t in again.items()} == {"classes": 2, "h_codes": 2, "p_codes": 1}
