@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import likely
+from ..plans.shared import likely, written
 
 #: Characters of the keys that needles and texts are joined by; a shorter needle is its own key.
 GRAM = 4
@@ -22,26 +22,32 @@ def _found(texts: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame:
     return likely(texts.select(F.xxhash64("text").alias("tid"), F.explode(runs).alias("key")), keys, "key")
 
 
-def contained(needles: DataFrame, texts: DataFrame, size: int = GRAM) -> DataFrame:
-    """(needle, text): every needle (needle) and text (text) that holds it, by their distinct spellings. Compare in one case to leave case out.
+def containing(needles: DataFrame, texts: DataFrame, size: int = GRAM) -> DataFrame:
+    """needle and the columns of ``texts``: a row for every distinct needle (needle) and row of ``texts`` (text, and others) that holds it. Compare in one case to leave case out.
 
     A needle is looked for by the rarest of its runs of ``size`` characters, as the texts have them: the texts' runs are joined with these keys, and the texts that have
     a needle's key are compared with it. So only those texts are shuffled, and a run that most texts have is a key only for needles of nothing else. Runs that
     are no needle's go before the shuffle by a filter of fixed size. Needles that are null or empty are in no text, nor are any in a null one."""
     asked = needles.select("needle").filter("needle <> ''").distinct()
-    held = texts.select("text").filter("text <> ''")
+    held = texts.filter("text <> ''")
     keys = F.when(F.length("needle") < size, F.array("needle")).otherwise(F.array_distinct(_grams(F.col("needle"), size)))
     keyed = asked.select("needle", F.explode(keys).alias("key"))
     sizes = sorted(r[0] for r in keyed.select(F.length("key")).distinct().collect())  # ``size`` numbers at most
     if not sizes:
-        return asked.select("needle", F.lit(None).cast("string").alias("text")).limit(0)
+        return texts.limit(0).select(F.lit(None).cast("string").alias("needle"), *[texts[f"`{c}`"] for c in texts.columns])
     often = _found(held, keyed.select("key"), sizes).groupBy("key").agg(F.count("*").alias("n"))
     rarest = keyed.join(often, "key").groupBy("needle", F.length("needle").alias("length")).agg(F.min(F.struct("n", "key")).alias("k"), F.count("*").alias("seen"))
     whole = F.when(F.col("length") < size, 1)  # a needle of which some run is in no text is in none
     chosen = rarest.join(keyed.groupBy("needle").agg(F.count("*").alias("runs")), "needle").filter(F.col("seen") == F.coalesce(whole, F.col("runs"))).select("needle", F.col("k.key").alias("key"))
-    pairs = _found(held, chosen.select("key"), sizes).join(chosen, "key").select("needle", "tid").distinct()
-    near = likely(held.withColumn("tid", F.xxhash64("text")), pairs, "tid").join(pairs, "tid")
-    return near.filter(F.contains("text", F.col("needle"))).select("needle", "text").distinct()
+    chosen = written(chosen, "keys")  # a row for each needle; read by the filter and by the join, as are the pairs
+    pairs = written(_found(held, chosen.select("key"), sizes).join(chosen, "key").select("needle", "tid").distinct(), "pairs")
+    near = likely(held.select(F.xxhash64("text").alias("tid"), F.struct(*[held[f"`{c}`"] for c in held.columns]).alias("row")), pairs, "tid").join(pairs, "tid")
+    return near.filter(F.contains(F.col("row.text"), F.col("needle"))).select("needle", *[F.col(f"row.`{c}`") for c in texts.columns])
+
+
+def contained(needles: DataFrame, texts: DataFrame, size: int = GRAM) -> DataFrame:
+    """(needle, text): ``containing`` by the distinct spellings of both."""
+    return containing(needles, texts.select("text"), size).distinct()
 
 
 def named_pairs(products: DataFrame, tokens: Column, size: int = GRAM) -> DataFrame:
