@@ -320,7 +320,7 @@ def test_reports_and_backups(spark, tmp_path):
     table = exports.pivot_matrix(cells, "r", "c", "v", ["a", "b"])
     assert [tuple(r) for r in table.collect()] == [("a", "<x>", "Self"), ("b", 'say "no", twice', "Unknown")]
     paths = exports.export_report({"matrix": table}, spark.createDataFrame([(1, None)], "n int, m int"), str(tmp_path), "all", datetime(2024, 1, 2, 3, 4, 5))
-    assert paths["matrix_csv"].endswith("matrix_20240102_030405.csv") and sorted(paths) == ["json", "matrix_csv", "matrix_html", "statistics_html"][:3]
+    assert paths["matrix_csv"].endswith("matrix_20240102_030405.csv") and sorted(paths) == ["json", "matrix_csv", "matrix_excel", "matrix_html"]
     assert [tuple(r) for r in spark.read.option("header", "true").option("escape", '"').csv(paths["matrix_csv"]).orderBy("r").collect()] == [tuple(r) for r in table.collect()]
     page = spark.read.text(paths["matrix_html"], wholetext=True).first()[0]
     assert "<td>&lt;x&gt;</td>" in page and spark.read.text(paths["json"]).first()[0] == '{"n":1,"m":null}'
