@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut
+from ..plans.shared import written
 
 #: Gains below this are none.
 LEAST = 1e-9
@@ -44,40 +44,41 @@ def _moved(both: DataFrame, labels: DataFrame, total: float, turn: int) -> DataF
     # of two nodes alone only the greater label goes, so they don't change places
     allowed = stays | (F.col("n") > 1) | (F.col("n_now") > 1) | (F.col("community") < F.col("now"))
     best = scored.filter(allowed).groupBy("node").agg(F.max(F.struct(F.round(gain, 12).alias("g"), stays.alias("stays"), "community")).alias("x"), F.max(F.when(stays, F.round(gain, 12))).alias("stay"), F.max("now").alias("now"))
-    goes = (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0) & (F.col("x.g") > F.col("stay") + LEAST)
+    goes = (F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2) & (F.col("x.g") > F.col("stay") + LEAST)
     return best.select("node", F.when(goes, F.col("x.community")).otherwise(F.col("now")).alias("community"))
 
 
-def by_modularity(edges: DataFrame, rounds: int = 24, levels: int = 10) -> tuple[DataFrame, float]:
+def by_modularity(edges: DataFrame, rounds: int = 10, levels: int = 5) -> tuple[DataFrame, float]:
     """(node, community) of undirected edges (src, dst, weight), and its modularity; community is the least node of it that a merge kept as its name.
 
-    In each round a half of the nodes, by hash, moves to the neighbouring community that adds most to the modularity, all at once; the best parting seen is kept, and
-    three rounds in a row without a better one end the level. Then communities become nodes and their edges are added up, until no level finds
+    In a round each node moves once, a half of them by hash at a time, to the neighbouring community that adds most to the modularity; the best parting seen is kept, and
+    two rounds in a row without a better one end the level. Then communities become nodes and their edges are added up, until no level finds
     more. What meets in a join is a node's edges or a row for each of a node's neighbouring communities, not pairs of nodes. Equal edges are added up;
     edges with a null, or without a positive weight, don't count; a node without an edge isn't in the result."""
-    both = cut(_both_ways(edges))
+    both = written(_both_ways(edges), "graph")
     total = both.agg(F.sum("w")).first()[0]
-    names = cut(both.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
+    alone = lambda g: g.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct()
+    names = written(alone(both), "communities")
     if not total:
         return names, 0.0
     best = _modularity(both, names)
-    for _ in range(levels):
-        labels = kept = names if _ == 0 else cut(both.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
+    for k in range(levels):
+        labels = kept = names if k == 0 else written(alone(both), "communities")
         level, idle = best, 0
         for turn in range(rounds):
-            labels = cut(_moved(both, labels, total, turn))
+            for half in (2 * turn, 2 * turn + 1):
+                labels = written(_moved(both, labels, total, half), "communities")
             now = _modularity(both, labels)
-            if now > level + LEAST:
-                level, kept, idle = now, labels, 0
-            else:
-                idle += 1
-            if idle == 3:
+            idle = 0 if now > level + LEAST else idle + 1
+            if not idle:
+                level, kept = now, labels
+            if idle == 2:
                 break
         if level <= best + LEAST:
             break
         best = level
         step = kept.select(F.col("node").alias("community"), F.col("community").alias("__to"))
-        names = kept if _ == 0 else cut(names.join(step, "community").select("node", F.col("__to").alias("community")))
+        names = kept if k == 0 else written(names.join(step, "community").select("node", F.col("__to").alias("community")), "communities")
         la, lb = kept.select(F.col("node").alias("a"), F.col("community").alias("ca")), kept.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-        both = cut(both.join(la, "a").join(lb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        both = written(both.join(la, "a").join(lb, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "graph")
     return names, best
