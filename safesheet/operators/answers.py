@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import confidence_model
 from ..functions.texts import CONTEXT_WORDS, context_score, json_from_text
 from ..plans.domain import duckdb_query, spark_query
+from ..plans.shared import written
 
 #: Trees and depth of the forests.
 TREES, DEPTH = 100, 10
@@ -27,7 +29,7 @@ def json_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ml_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forests that predict confidence (a row ``regression`` with its error) and validity (``classification`` with its share of
-    right answers) of extractions from length, digits, case and field; a fifth by hash is held out. Without rows on either side: none."""
+    right answers) of extractions from length, digits, case and field; a fifth by hash is held out. Equal rows are learnt and judged by their number. Without rows on either side: none."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -36,17 +38,19 @@ def ml_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = """SELECT document_id, ord, CAST(length(value) AS DOUBLE) AS n_chars, CAST(MATCHES(value, '[0-9]') AS DOUBLE) AS has_digit, CAST(value = upper(value) AS DOUBLE) AS is_upper, CAST(ord AS DOUBLE) AS field,
         CAST(confidence AS DOUBLE) AS confidence, CAST(validation_status = 'valid' AS DOUBLE) AS valid FROM extractions WHERE value IS NOT NULL"""
     rows = spark_query(spark, sf_dir, sql).withColumn("part", F.pmod(F.xxhash64("document_id", "ord"), F.lit(5)))
-    train, test = rows.filter("part > 0"), rows.filter("part = 0")
     names = ["n_chars", "has_digit", "is_upper", "field"]
+    kinds = written(confidence_model.weighted(rows.withColumn("held", F.col("part") == 0), ["document_id", "ord"], [*names, "confidence", "valid", "held"]), "examples")
+    train, test = kinds.filter("not held"), kinds.filter("held")
     schema = "task string, n_test long, measure double, " + ", ".join(f"w_{n} double" for n in names)
     if train.isEmpty() or test.isEmpty():
         return spark.createDataFrame([], schema)
-    regressor = RandomForestRegressor(labelCol="confidence", numTrees=TREES, maxDepth=DEPTH, seed=42)
-    classifier = RandomForestClassifier(labelCol="valid", numTrees=TREES, maxDepth=DEPTH, seed=42)
+    regressor = RandomForestRegressor(labelCol="confidence", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=42)
+    classifier = RandomForestClassifier(labelCol="valid", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=42)
+    mean = lambda c: F.sum(c * F.col("weight")) / F.sum("weight")
     made = []
-    for task, forest, measure in (("regression", regressor, F.sqrt(F.avg((F.col("prediction") - F.col("confidence")) ** 2))), ("classification", classifier, F.avg((F.col("prediction") == F.col("valid")).cast("double")))):
+    for task, forest, measure in (("regression", regressor, F.sqrt(mean((F.col("prediction") - F.col("confidence")) ** 2))), ("classification", classifier, mean((F.col("prediction") == F.col("valid")).cast("double")))):
         model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), forest]).fit(train)
-        n, m = model.transform(test).agg(F.count("*"), measure).first()
+        n, m = model.transform(test).agg(F.sum("weight").cast("long"), measure).first()
         made.append((task, n, m, *(float(w) for w in model.stages[1].featureImportances.toArray())))
     return spark.createDataFrame(made, schema)
 

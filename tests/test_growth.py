@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from safesheet.functions import confidence_model
+from safesheet.operators import catalog
 
 
 @pytest.fixture
@@ -27,3 +28,13 @@ def test_forests_learn_equal_examples_by_their_number(spark, seen):
     assert len(seen) == 2 and all(n <= 2 * confidence_model.PIECES and w == model.metrics["train_size"] for n, w in seen)
     weights = [r["weight"] for r in confidence_model.weighted(df, ["id"], ["x", "confidence"]).collect()]
     assert sum(weights) == 4000 and len(weights) <= 2 * confidence_model.PIECES
+
+
+def test_ml_train_learns_equal_rows_by_their_number(spark, seen, monkeypatch, tmp_path):
+    from safesheet.operators import answers
+
+    monkeypatch.setattr(answers, "TREES", 3)
+    spark.range(3000).selectExpr("id AS p_partkey", "'ring' AS p_name", "'Brand#1' AS p_brand", "'SMALL' AS p_type", "CAST(id % 3 AS INT) AS p_size", "1.0D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    rows = {r["task"]: r for r in catalog.queries()["ml_train"](spark, str(tmp_path)).collect()}
+    assert len(seen) == 2 and all(n < w / 2 for n, w in seen)
+    assert all(r["n_test"] + seen[0][1] > 26000 for r in rows.values())
