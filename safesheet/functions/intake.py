@@ -45,3 +45,10 @@ def take_texts(texts: DataFrame, registered: DataFrame, size: int = SIZE, overla
     chunks = chunk_documents(judged.filter("outcome = 'taken'").select("content_hash", "source", "title", "text"), size, overlap)
     documents = chunks.filter("chunk_index = 0").select("content_hash", "source", "title", F.col("total_chunks").alias("chunk_count"))
     return documents, chunks.select("content_hash", "chunk_index", "total_chunks", "text"), judged.select("source", "title", "outcome", "content_hash")
+
+
+def first_of_equal(rows: DataFrame, key: str = "file_hash", order: str = "id") -> DataFrame:
+    """The rows before which, by ``order``, there is none with their ``key``; a row without ``key`` or ``order`` is like no other and stays. The least ``order`` of each key is joined, not the rows with each other."""
+    least = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__least"))
+    held = rows.join(least, rows[key] == least["__key"], "left")
+    return held.filter(F.col("__least").isNull() | F.col(order).isNull() | (F.col(order) == F.col("__least"))).select(*[rows[f"`{c}`"] for c in rows.columns])

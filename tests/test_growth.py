@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from safesheet.functions import confidence_model, substrings
+from safesheet.functions import confidence_model, intake, substrings
 from safesheet.operators import catalog
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture
 def seen(monkeypatch):
@@ -50,3 +52,12 @@ def test_named_counts_equal_counted_pairs(spark):
         want[a] = want.get(a, 0) + n
     got = substrings.named_counts(df, F.col("tokens")).collect()
     assert {r["id"]: r["n"] for r in got} == {a: n for a, n in want.items() if n} and len(got) == len({r["id"] for r in got})
+
+
+def test_first_of_equal_keeps_rows_without_an_earlier_one(spark):
+    rows = [(1, "a"), (2, "a"), (1, "a"), (3, None), (4, None), (None, "a"), (5, "b"), (None, "c")]
+    got = intake.first_of_equal(spark.createDataFrame(rows, "id int, file_hash string")).collect()
+    want = [r for r in rows if not any(k[1] is not None and k[1] == r[1] and k[0] is not None and r[0] is not None and k[0] < r[0] for k in rows)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    plan = catalog.queries()["register_new_docs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftOuter" in plan
