@@ -61,3 +61,24 @@ def test_first_of_equal_keeps_rows_without_an_earlier_one(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     plan = catalog.queries()["register_new_docs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and "LeftOuter" in plan
+
+
+def test_rules_are_made_in_parts_that_follow_the_lines(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from safesheet.plans import domain
+
+    spark.createDataFrame([(k, f"name {k}", "Brand#1", "SMALL", k % 7, 1.0) for k in [*range(40), 7]], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    flags = ["R", "A", "N", None, "", "B", "Z", "a", "RR"]
+    lines = [(None if k % 50 == 0 else k % 60, None if k % 41 == 0 else k * 13 % 45, flags[k * k % 9]) for k in range(700)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(domain.duckdb_query("SELECT cas_a, cas_b, rule, source FROM rules")).fetchall())
+    monkeypatch.setattr(domain, "LINES", 50)
+    made = domain.rules_made(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == 2 * (700 // 50 + 1)
+    assert sorted(map(tuple, made.collect())) == want and {r[2] for r in want} == {"R", "I", "C"}
+    both = domain.spark_query(spark, str(tmp_path), "SELECT src, dst, rule FROM both_ways")
+    assert both.count() == 2 * len(want) and "Exchange" not in both._jdf.queryExecution().executedPlan().toString()  # the rules are made once, and read
