@@ -1,4 +1,4 @@
-"""Walks over edges (src, dst): loops of joins with the frontier, each step a checkpoint."""
+"""Walks over edges (src, dst): loops of joins with the frontier, which each step writes; as its size is known then, a small one is broadcast and the edges aren't shuffled."""
 
 from __future__ import annotations
 
@@ -10,11 +10,11 @@ from ..plans.shared import cut, written
 
 def closure(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth) of every node that a walk of at most ``depth`` edges reaches from a start (start): a row for each length of such a walk, cycles too."""
-    e = written(edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct(), "edges")
+    e = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"))
     front = starts.select("start", F.col("start").alias("node")).distinct()
     found = None
     for k in range(1, depth + 1):
-        front = cut(front.join(e, front["node"] == e["__src"]).select("start", F.col("__dst").alias("node")).distinct())
+        front = written(front.join(e, front["node"] == e["__src"]).select("start", F.col("__dst").alias("node")).distinct(), "front")
         step = front.withColumn("depth", F.lit(k))
         found = step if found is None else found.unionByName(step)
     return found
@@ -22,24 +22,26 @@ def closure(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 def nearest(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth) of the nodes but the start itself within ``depth`` edges, at their least distance."""
-    e = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct()
+    e = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"))
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
     front = seen
     for k in range(1, depth + 1):
         reached = front.join(e, front["node"] == e["__src"]).select("start", F.col("__dst").alias("node")).distinct()
-        front = cut(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(k)))
+        front = written(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(k)), "front")
         seen = seen.unionByName(front)
     return seen.filter("depth > 0")
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
     """(start, path) of every path of 1 to ``depth`` edges from a start that meets no node twice."""
-    e = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct()
+    edges = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"))
     front = starts.select("start", F.array("start").alias("path"))
     found = None
     for _ in range(depth):
+        ends = front.select(F.element_at("path", -1).alias("__src")).distinct()
+        e = edges.join(ends, "__src", "left_semi").distinct()
         grown = front.join(e, F.element_at("path", -1) == e["__src"]).filter(~F.array_contains("path", F.col("__dst")))
-        front = cut(grown.select("start", F.array_append("path", F.col("__dst")).alias("path")))
+        front = written(grown.select("start", F.array_append("path", F.col("__dst")).alias("path")), "front")
         found = front if found is None else found.unionByName(front)
     return found
 
@@ -49,7 +51,7 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     near = nearest(edges, starts, depth).select("start", "node").unionByName(starts.select("start", F.col("start").alias("node")))
     a = near.select("start", F.col("node").alias("src"))
     b = near.select("start", F.col("node").alias("dst"))
-    return edges.select("src", "dst").distinct().join(a, "src").join(b, ["start", "dst"]).select("start", "src", "dst")
+    return edges.select("src", "dst").join(a, "src").join(b, ["start", "dst"]).select("start", "src", "dst").distinct()
 
 
 def fingerprint_classes(prints: DataFrame) -> DataFrame:

@@ -82,3 +82,27 @@ def test_rules_are_made_in_parts_that_follow_the_lines(spark, tmp_path, monkeypa
     assert sorted(map(tuple, made.collect())) == want and {r[2] for r in want} == {"R", "I", "C"}
     both = domain.spark_query(spark, str(tmp_path), "SELECT src, dst, rule FROM both_ways")
     assert both.count() == 2 * len(want) and "Exchange" not in both._jdf.queryExecution().executedPlan().toString()  # the rules are made once, and read
+
+
+def test_walks_write_their_fronts_and_leave_equal_edges_out(spark, monkeypatch):
+    from safesheet.functions import walks
+
+    monkeypatch.setattr(walks, "cut", None)  # a checkpoint's size isn't known, so that all edges were shuffled at each step
+    pairs = [(a, b) for a in range(9) for b in range(9) if (a * 5 + b) % 4 == 0 and a != b] * 3
+    near = {a: {b for x, b in pairs if x == a} for a in range(9)}
+    edges, starts = spark.createDataFrame(pairs, "src int, dst int"), spark.createDataFrame([(0,), (5,)], "start int")
+    paths = [[(s,) for s in (0, 5)]]
+    for _ in range(3):
+        paths.append([(*p, b) for p in paths[-1] for b in near[p[-1]] if b not in p])
+    assert sorted(tuple(r["path"]) for r in walks.simple_paths(edges, starts, 3).collect()) == sorted(p for step in paths[1:] for p in step)
+    far = {}
+    for s in (0, 5):
+        seen, front = {s}, {s}
+        for k in (1, 2):
+            front = {b for a in front for b in near[a]} - seen
+            seen |= front
+            far |= {(s, b): k for b in front}
+    assert sorted(map(tuple, walks.nearest(edges, starts, 2).collect())) == sorted((s, b, k) for (s, b), k in far.items())
+    held = {s: {s, *near[s]} for s in (0, 5)}
+    assert sorted(map(tuple, walks.neighbourhood(edges, starts, 1).collect())) == sorted((s, a, b) for s in held for a in held[s] for b in near[a] & held[s])
+    assert {(r["start"], r["node"]) for r in walks.closure(edges, starts, 1).collect()} == {(s, b) for s in (0, 5) for b in near[s]}
