@@ -106,3 +106,15 @@ def test_walks_write_their_fronts_and_leave_equal_edges_out(spark, monkeypatch):
     held = {s: {s, *near[s]} for s in (0, 5)}
     assert sorted(map(tuple, walks.neighbourhood(edges, starts, 1).collect())) == sorted((s, a, b) for s in held for a in held[s] for b in near[a] & held[s])
     assert {(r["start"], r["node"]) for r in walks.closure(edges, starts, 1).collect()} == {(s, b) for s in (0, 5) for b in near[s]}
+
+
+def test_sheets_are_spread_and_their_patterns_run_once(spark):
+    from safesheet.functions import fields
+    from safesheet.operators import sheets
+
+    made = sheets.sheets(spark, SF)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got, plain = fields.extract_fields(made.drop("profile"), context=False), fields.extract_fields(made.drop("profile"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.drop("context").collect())) and "context" not in got.columns
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("GHS0[1-9]") == 2 and "regexp_instr" not in plan  # the pattern names the pictograms twice
