@@ -118,3 +118,13 @@ def test_sheets_are_spread_and_their_patterns_run_once(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.drop("context").collect())) and "context" not in got.columns
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("GHS0[1-9]") == 2 and "regexp_instr" not in plan  # the pattern names the pictograms twice
+
+
+def test_own_patterns_need_no_context(spark):
+    from safesheet.functions import fields
+    from safesheet.operators import sheets
+
+    made = sheets.sheets(spark, SF)
+    plain = fields.extract_fields(made, overrides=sheets.OVERRIDES)
+    got = fields.extract_fields(made, overrides=sheets.OVERRIDES, context=False)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.drop("context").collect())) and got.filter("source = 'heuristic_profile_maker'").count() > 0
