@@ -128,3 +128,7 @@ def test_own_patterns_need_no_context(spark):
     plain = fields.extract_fields(made, overrides=sheets.OVERRIDES)
     got = fields.extract_fields(made, overrides=sheets.OVERRIDES, context=False)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.drop("context").collect())) and got.filter("source = 'heuristic_profile_maker'").count() > 0
+
+
+def test_pages_are_spread(spark):
+    assert catalog.queries()["scraped_pages"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
