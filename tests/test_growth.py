@@ -132,3 +132,22 @@ def test_own_patterns_need_no_context(spark):
 
 def test_pages_are_spread(spark):
     assert catalog.queries()["scraped_pages"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_mixtures_are_sorted_in_parts_that_follow_the_components(spark, monkeypatch):
+    from safesheet.functions import mixtures
+
+    monkeypatch.setattr(mixtures, "COMPONENTS", 20, raising=False)
+    rows = [(k % 7, k, f"{k % 3 + 50}-11-1", f"c{k % 3}", 5.0 + k % 4 * 5) for k in range(300)]
+    parts = spark.createDataFrame(rows, "document_id int, line_no int, cas_number string, name string, max_concentration double")
+    known = spark.createDataFrame([("50111", "H225", "2", "a", "s", "x", 0.5), ("50111", "H225", "2", "b", "s", "y", 0.9), ("51-11-1", "H300", "2", "t", "s", "x", 0.9), ("99-11-1", "H300", "2", "t", "s", "x", 0.9)],
+                                  "cas_number string, hazard_code string, category string, hazard_class string, statement string, source string, confidence double")
+    found = mixtures.mixture_hazards(parts, known)
+    assert found.rdd.getNumPartitions() == 300 // 20 + 1
+    first = {}
+    for d, line, cas, name, most in rows:
+        for code, least, plain in (("H225", 10, "50-11-1"), ("H300", 1, "51-11-1")):
+            if cas == plain and most >= least:
+                first.setdefault((d, code), name)
+    assert {(r["document_id"], r["hazard_code"]): r["source"] for r in found.collect()} == {k: f"Calculated from {v}" for k, v in first.items()}
+    assert {r["hazard_class"] for r in found.collect()} == {"b", "t"}
