@@ -87,7 +87,7 @@ def test_rules_are_made_in_parts_that_follow_the_lines(spark, tmp_path, monkeypa
 def test_walks_write_their_fronts_and_leave_equal_edges_out(spark, monkeypatch):
     from safesheet.functions import walks
 
-    monkeypatch.setattr(walks, "cut", None)  # a checkpoint's size isn't known, so that all edges were shuffled at each step
+    monkeypatch.setattr(walks, "cut", None, raising=False)  # a checkpoint's size isn't known, so that all edges were shuffled at each step
     pairs = [(a, b) for a in range(9) for b in range(9) if (a * 5 + b) % 4 == 0 and a != b] * 3
     near = {a: {b for x, b in pairs if x == a} for a in range(9)}
     edges, starts = spark.createDataFrame(pairs, "src int, dst int"), spark.createDataFrame([(0,), (5,)], "start int")
@@ -151,3 +151,20 @@ def test_mixtures_are_sorted_in_parts_that_follow_the_components(spark, monkeypa
                 first.setdefault((d, code), name)
     assert {(r["document_id"], r["hazard_code"]): r["source"] for r in found.collect()} == {k: f"Calculated from {v}" for k, v in first.items()}
     assert {r["hazard_class"] for r in found.collect()} == {"b", "t"}
+
+
+def test_products_of_blocks_equal_an_aggregate(spark, monkeypatch):
+    from safesheet.functions import vectors
+    from safesheet.operators.vector import _dot
+
+    for name in ("ASKED_BLOCK", "ROWS_BLOCK", "AT_ONCE"):
+        monkeypatch.setattr(vectors, name, 7)
+    rows = [(k, [((k * j * 37) % 19 - 9) / 7 for j in range(1, 6)]) for k in range(60)] + [(None, [1.0] * 5), (70, None), (71, [1.0, None, 2.0, 3.0, 4.0]), (72, [1.0, 2.0]), (73, []), (74, [3.0, 4.0]), (75, []), (3, [0.5] * 5), (76, [float("nan")] * 5)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = df.filter("id % 3 = 0 OR id > 69")
+    a, b = asked.select(F.col("id").alias("id_a"), F.col("embedding").alias("a")), df.select(F.col("id").alias("id_b"), F.col("embedding").alias("b"))
+    want = a.join(b, F.col("id_a") != F.col("id_b")).select("id_a", "id_b", F.round(_dot("a", "b"), 6).alias("score"))
+    plain = lambda found: sorted(str(tuple(r)) for r in found.collect())
+    assert plain(vectors.products(asked, df)) == plain(want)
+    assert plain(vectors.products(asked, df, 0.3)) == plain(want.filter("score > 0.3"))
+    assert vectors.products(asked, df).columns == want.columns
