@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut, written
+from ..plans.shared import written
 
 
 def closure(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -94,15 +94,15 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community) by label propagation over undirected edges (src, dst, weight): a node takes the label with the most weight around it, its own
     counting as one half more than the weakest, the least of equal ones. Not the greedy modularity of an in-memory graph: its merges are a sequence."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).filter("src <> dst")
-    both = cut(both.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
-    labels = both.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct()
+    both = written(both.groupBy("src", "dst").agg(F.max("weight").alias("weight")), "graph")
+    labels = written(both.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct(), "communities")
     stay = both.agg(F.min("weight")).first()[0]
     for k in range(rounds):
         told = both.join(labels, both["dst"] == labels["node"]).select(F.col("src").alias("node"), "community", "weight")
         own = labels.withColumn("weight", F.lit(0.5 * stay if stay is not None else 0.0))
         votes = told.unionByName(own).groupBy("node", "community").agg(F.sum("weight").alias("w"))
         new = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("x")).select("node", F.col("x.community").alias("community"))
-        new = cut(new)
+        new = written(new, "communities")
         if k and not new.exceptAll(labels).take(1):
             break
         labels = new

@@ -168,3 +168,27 @@ def test_products_of_blocks_equal_an_aggregate(spark, monkeypatch):
     assert plain(vectors.products(asked, df)) == plain(want)
     assert plain(vectors.products(asked, df, 0.3)) == plain(want.filter("score > 0.3"))
     assert vectors.products(asked, df).columns == want.columns
+
+
+def _edges_given(spark, monkeypatch, module, function, name):
+    """The plan of the edges that a query hands on."""
+    given = []
+
+    class Enough(Exception):
+        pass
+
+    def stop(edges, *rest):
+        given.append(edges._jdf.queryExecution().executedPlan().toString())
+        raise Enough
+
+    monkeypatch.setattr(module, function, stop)
+    with pytest.raises(Enough):
+        catalog.queries()[name](spark, SF)
+    return given[0]
+
+
+def test_components_read_similarities_that_are_made_once(spark, monkeypatch):
+    from safesheet.functions import walks
+
+    plan = _edges_given(spark, monkeypatch, walks, "communities", "doc_components")
+    assert "Scan parquet" in plan and "CoGroup" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
