@@ -192,3 +192,10 @@ def test_components_read_similarities_that_are_made_once(spark, monkeypatch):
 
     plan = _edges_given(spark, monkeypatch, walks, "communities", "doc_components")
     assert "Scan parquet" in plan and "CoGroup" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_modularity_reads_similarities_that_are_made_once(spark, monkeypatch):
+    from safesheet.functions import communities
+
+    plan = _edges_given(spark, monkeypatch, communities, "by_modularity", "similar_communities")
+    assert "Scan parquet" in plan and "CoGroup" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
