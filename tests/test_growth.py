@@ -199,3 +199,16 @@ def test_modularity_reads_similarities_that_are_made_once(spark, monkeypatch):
 
     plan = _edges_given(spark, monkeypatch, communities, "by_modularity", "similar_communities")
     assert "Scan parquet" in plan and "CoGroup" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_pairs_of_fingerprints_are_dealt_out_by_their_number(spark, monkeypatch):
+    from safesheet.functions import walks
+
+    prints = spark.createDataFrame([(k, [k % 3, 10, 11, 12]) for k in range(90)] + [(90, []), (91, None)], "id int, bits array<int>")
+    monkeypatch.setattr(walks, "MEMBERS", 7, raising=False)
+    monkeypatch.setattr(walks, "PAIRS", 100, raising=False)
+    found = walks.tanimoto_pairs(prints, 0.7)
+    assert found.rdd.getNumPartitions() == 3 * 30 * 30 // 100 + 1
+    assert sorted(map(tuple, found.collect())) == [(a, b, 1.0) for a in range(90) for b in range(a + 1, 90) if a % 3 == b % 3]
+    assert walks.tanimoto_pairs(prints, 0.5).count() == 90 * 89 // 2
+    assert walks.tanimoto_pairs(prints.filter("id >= 90"), 0.5).count() == 0
