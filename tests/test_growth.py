@@ -130,6 +130,21 @@ def test_own_patterns_need_no_context(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.drop("context").collect())) and got.filter("source = 'heuristic_profile_maker'").count() > 0
 
 
+def test_patterns_are_tried_where_what_they_hold_is(spark, monkeypatch):
+    from safesheet.functions import fields
+
+    words = ["OSHA: 5 ppm", "o\u017fha 6 ppm", "Pel 7 ppm", "NIO\u017fH 3 ppm", "n\u0130osh 4 ppm", "N\u0131OSH 5 ppm", "rel-8 ppb", "acg\u0130h 9 ppm", "tlv 1 mg/m\u00b3", "\u0130dlh 2 ppm", "\u0131DLH 3 ppm", "oral x ld50 5 mg/\u212ag", "derma\u217c LD50 6 mg/kg", "Oral LD 50 7 mg/kg",
+             "inala\u00e7\u00e3o lc50: 8 ppm", "t\u017fca l\u0130\u017fted", "Sara 313: yes", "prop 65 no", "Proposition65 s\u0131m", "California x 65 warn\u0130ng", "\u00df \ufb01 \ufb06", "", None]
+    rows = [(k, w, {8: w or ""} if k % 2 else {}) for k, w in enumerate(words + [f"\u00b0 {w}\n{w}" for w in words])]
+    sheets = spark.createDataFrame(rows, "id int, text string, sections map<int,string>")
+    got = fields.extract_fields(sheets)
+    assert "Contains(__upper8" in got._jdf.queryExecution().optimizedPlan().toString()
+    own = fields.extract_fields(sheets, [("toxicity_oral_ld50", 11, fields.ANY_CASE, r"oral\s+(x)")])  # another pattern by a known name isn't held back
+    assert own.count() == 2 and "__upper" not in own._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(fields, "HELD", {})
+    assert sorted(map(str, got.collect())) == sorted(map(str, fields.extract_fields(sheets).collect())) and len({r["field_name"] for r in got.collect()}) >= 9
+
+
 def test_pages_are_spread(spark):
     assert catalog.queries()["scraped_pages"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
