@@ -227,3 +227,19 @@ def test_pairs_of_fingerprints_are_dealt_out_by_their_number(spark, monkeypatch)
     assert sorted(map(tuple, found.collect())) == [(a, b, 1.0) for a in range(90) for b in range(a + 1, 90) if a % 3 == b % 3]
     assert walks.tanimoto_pairs(prints, 0.5).count() == 90 * 89 // 2
     assert walks.tanimoto_pairs(prints.filter("id >= 90"), 0.5).count() == 0
+
+
+def test_forests_without_a_shared_folder_are_an_error(spark, monkeypatch, tmp_path):
+    from safesheet.plans import shared
+
+    def unset(session):
+        raise ValueError("spark.checkpoint.dir has to name a folder")
+
+    plain = shared.shared_dir
+    monkeypatch.setattr(shared, "shared_dir", unset)
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        catalog.queries()["forest_metrics"](spark, SF)
+    monkeypatch.setattr(shared, "shared_dir", plain)
+    spark.read.parquet(f"{SF}/part.parquet").limit(1).write.parquet(f"{tmp_path}/part.parquet")
+    few = catalog.queries()["forest_metrics"](spark, str(tmp_path))
+    assert few.columns == ["measure", "value"] and few.count() == 0
