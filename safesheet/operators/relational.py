@@ -79,3 +79,6 @@ QUERIES = {
     "merge_chemicals": "SELECT cas, max_by(product_name, document_id) AS product_name, max_by(hazard_class, document_id) AS hazard_class FROM chem GROUP BY cas",
     "hazard_relationships": "SELECT DISTINCT cas_number AS cas, 'class' AS kind, hazard_class AS code FROM wide WHERE hazard_class <> '' AND cas_number NOT IN ('NOT_FOUND', 'N/A')",
 }
+
+#: Query -> its table that Spark joins by sorting. Judged by the bytes of a file's few columns, a table of all documents would be broadcast, and the driver would hold it whole.
+SORTED_JOINS = {"bench_q04": "d", "processed_meta": "d", "processed_ts": "d"}

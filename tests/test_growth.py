@@ -243,3 +243,10 @@ def test_forests_without_a_shared_folder_are_an_error(spark, monkeypatch, tmp_pa
     spark.read.parquet(f"{SF}/part.parquet").limit(1).write.parquet(f"{tmp_path}/part.parquet")
     few = catalog.queries()["forest_metrics"](spark, str(tmp_path))
     assert few.columns == ["measure", "value"] and few.count() == 0
+
+
+@pytest.mark.parametrize("name", ["bench_q04", "processed_meta", "processed_ts"])
+def test_documents_are_not_broadcast(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "HashedRelationBroadcastMode" not in plan
+    assert "/*+" not in catalog.oracle_sql()[name]
