@@ -24,7 +24,7 @@ def _run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(_run, _hinted(name)) for name in TEXTS} | vector.QUERIES | answers.QUERIES | sheets.QUERIES | ingest.QUERIES | search.QUERIES | rollups.QUERIES | intake.QUERIES | screens.QUERIES
+    return {name: partial(_run, _hinted(name)) for name in TEXTS} | graph.FRAMES | vector.QUERIES | answers.QUERIES | sheets.QUERIES | ingest.QUERIES | search.QUERIES | rollups.QUERIES | intake.QUERIES | screens.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,5 +1,10 @@
 """Graph operators: edges and nodes, bounded walks as unrolled joins, degrees, neighbourhoods, shared and similar chemicals."""
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.domain import partners_made
+
 START = "(SELECT min(cas_a) AS cas FROM rules WHERE rule = 'I')"
 
 QUERIES = {
@@ -28,3 +33,12 @@ QUERIES = {
     "ghs_path": "SELECT DISTINCT a.hazard_class AS class_a, b.hazard_class AS class_b, r.rule FROM rules r JOIN wide a ON a.cas_number = r.cas_a JOIN wide b ON b.cas_number = r.cas_b WHERE a.hazard_class <> '' AND b.hazard_class <> ''",
     "neighborhood": f"SELECT w.document_id, w.product_name, w.cas_number FROM wide w WHERE w.cas_number IN (SELECT e.dst FROM both_ways e JOIN {START} s ON e.src = s.cas UNION SELECT cas FROM {START} t)",
 }
+
+
+def chemical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the query's SQL, by lists of parts in place of the rules."""
+    return partners_made(spark, sf_dir).filter("n >= 5").select(F.col("src").alias("cas"), "n", "partners")
+
+
+#: Queries of which the oracle alone runs the SQL.
+FRAMES = {"chemical_clusters": chemical_clusters}
